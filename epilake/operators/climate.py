@@ -9,6 +9,8 @@ facility-day and case tables on (geography_id, date).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,37 @@ def rain_regime(climate: DataFrame, geography: DataFrame) -> DataFrame:
         F.when(rainy, F.lit(float(X.HUMIDITY_BASE["rainy"])))
          .otherwise(F.lit(float(X.HUMIDITY_BASE["dry"]))).alias("humidity_base"),
     )
+
+
+# sd of the observed daily average around the normal: noise sd 2 plus the two
+# half-span draws U(5,12)/2 on min and max, i.e. var += 2 * ((12-5)^2/12) / 16
+ANOMALY_SD = math.sqrt(X.TEMP_NOISE_SD ** 2
+                       + 2 * ((X.TEMP_SPAN_RANGE[1] - X.TEMP_SPAN_RANGE[0]) ** 2 / 12) / 16)
+
+
+def round_half_up(c, digits: int):
+    """floor(x * 10^d + 0.5) / 10^d: the same double in Spark and SQL engines."""
+    f = float(10 ** digits)
+    return F.floor(c * f + F.lit(0.5)) / f
+
+
+def normals(climate: DataFrame, geography: DataFrame) -> DataFrame:
+    """M8: seasonal normal temperature per geography-day."""
+    g = geography.select("geography_id", "latitude", "region_name")
+    j = climate.join(g, "geography_id", "inner")
+    normal = M.climate_normal("latitude", "region_name", F.dayofyear("obs_date"))
+    return j.select("geography_id", "obs_date", "latitude", M.coastal("region_name").alias("is_coastal"),
+                    F.dayofyear("obs_date").alias("day_of_year"), normal.alias("temp_normal_c"),
+                    round_half_up(normal, 1).alias("temp_normal_1dp"),
+                    "temperature_min_c", "temperature_max_c")
+
+
+def anomaly(climate: DataFrame, geography: DataFrame) -> DataFrame:
+    """M9: observed daily average minus the normal; z against the generator's sd."""
+    n = normals(climate, geography)
+    obs = M.temperature_avg("temperature_min_c", "temperature_max_c")
+    a = obs - F.col("temp_normal_c")
+    z = a / F.lit(ANOMALY_SD)
+    return n.select("geography_id", "obs_date", obs.alias("temperature_avg_c"), "temp_normal_c",
+                    a.alias("anomaly_c"), z.alias("anomaly_z"),
+                    F.coalesce(F.abs(z) > 3, F.lit(False)).alias("is_anomalous"))

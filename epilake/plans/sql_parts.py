@@ -48,3 +48,25 @@ TB = ("population / 100000 * (CASE WHEN is_urban THEN 0.8e0 ELSE 0.5e0 END)"
 def pos(e: str) -> str:
     """Non-positive or null expected value -> 0."""
     return f"(CASE WHEN ({e}) > 0 THEN ({e}) ELSE 0e0 END)"
+
+
+def lit(v) -> str:
+    """A DuckDB literal: strings quoted, floats as DOUBLE, lists as lists."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, float):
+        r = repr(v)
+        return r if "e" in r else r + "e0"
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(lit(x) for x in v) + "]"
+    return str(v)
+
+
+def values(rows, cols) -> str:
+    """`(VALUES ...) t(cols)` from Python rows (fixed values shared with the Spark side)."""
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) AS t({', '.join(cols)})"
