@@ -147,10 +147,14 @@ class Bindings:
     def case(self) -> DataFrame:
         return self._get("case", self._case)
 
+    LINEITEM_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                     "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+
     def _case(self) -> DataFrame:
-        li = self.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                       "l_quantity", "l_discount", "l_returnflag",
-                                       "l_linestatus", "l_shipdate")
+        return self.case_from(self.t("lineitem").select(*self.LINEITEM_COLS))
+
+    def case_from(self, li: DataFrame) -> DataFrame:
+        """Case rows from lineitem rows (batch or stream; facility is static)."""
         f = self.facility().select("s_suppkey", "facility_id", "geography_id")
         j = li.join(f, li.l_suppkey == f.s_suppkey, "inner")
         pk = F.col("l_partkey")
