@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from epilake.plans import q_cases, q_geo, q_incidence, q_outbreaks, q_quality  # noqa: F401
-from epilake.plans import q_io, q_warehouse  # noqa: F401
+from epilake.plans import q_io, q_streams, q_warehouse  # noqa: F401
 from epilake.plans.registry import REGISTRY
 
 FLAGSHIP = "expected_malaria"
