@@ -49,12 +49,13 @@ def case_delay() -> Column:
 
 # ----------------------------------------------------------------- row rules
 def case_row_flags(cases: DataFrame) -> dict[str, Column]:
-    """Row-level case rules -> boolean Column (true = violation)."""
+    """Row-level case rules -> boolean Column (true = violation, never null, so
+    every row is either clean or quarantined)."""
     nc, de, rc = F.col("new_cases"), F.col("deaths"), F.col("recoveries")
     d = case_delay()
     return {
         "null_new_cases": nc.isNull(),
-        "negative_count": (nc < 0) | (de < 0),
+        "negative_count": F.coalesce(nc < 0, F.lit(False)) | F.coalesce(de < 0, F.lit(False)),
         "deaths_gt_cases": F.coalesce(de > nc, F.lit(False)),
         "outcomes_gt_cases": F.coalesce(de + rc > nc, F.lit(False)),
         "delay_out_of_range": F.coalesce(~d.between(0, X.MAX_REPORT_DELAY_DAYS), F.lit(False)),

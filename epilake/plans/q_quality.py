@@ -150,7 +150,7 @@ def U(parts):
     return "\nUNION ALL\n".join(parts)
 
 
-CASE_FLAGS = (f"(new_cases IS NULL OR (new_cases < 0 OR deaths < 0) OR coalesce(deaths > new_cases, false) "
+CASE_FLAGS = (f"(new_cases IS NULL OR coalesce(new_cases < 0, false) OR coalesce(deaths < 0, false) OR coalesce(deaths > new_cases, false) "
               f"OR coalesce(deaths + recoveries > new_cases, false) "
               f"OR coalesce(NOT ({DELAY} BETWEEN 0 AND {X.MAX_REPORT_DELAY_DAYS}), false) "
               f"OR NOT ({_in('disease', X.DISEASES)} AND {_in('age_group', X.AGE_GROUPS)} "
