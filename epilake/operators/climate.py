@@ -57,16 +57,17 @@ def country_climate_dim(spark) -> DataFrame:
     return spark.createDataFrame(rows, "country_code string, rainy_months array<int>, base_rainfall double")
 
 
-def rain_regime(climate: DataFrame, geography: DataFrame) -> DataFrame:
-    """Rainy-season flag by country (unknown country: never rainy, base 50),
-    rain cap 200/50 and humidity base 70/50."""
+def with_regime(climate: DataFrame, geography: DataFrame) -> DataFrame:
+    """M10 columns added to every climate row: rainy-season flag by country (unknown
+    country: never rainy, base 50), rain cap 200/50 and humidity base 70/50.
+    Both joins are to bounded tables (geography, the literal country dimension)."""
     dim = constant_dim(country_climate_dim(climate.sparkSession))
     g = geography.select("geography_id", "country_code")
     j = (climate.join(g, "geography_id", "left")
          .join(dim, "country_code", "left"))
     rainy = F.coalesce(F.array_contains(F.col("rainy_months"), F.month("obs_date")), F.lit(False))
     return j.select(
-        "geography_id", "obs_date", "country_code", "rainfall_mm", "humidity_pct",
+        *climate.columns, "country_code",
         rainy.alias("rainy_season"),
         F.coalesce(F.col("base_rainfall"), F.lit(float(X.DEFAULT_BASE_RAINFALL))).alias("base_rainfall"),
         F.when(rainy, F.lit(float(X.RAIN_CAP["rainy"]))).otherwise(F.lit(float(X.RAIN_CAP["dry"]))).alias("rain_cap"),
@@ -75,6 +76,13 @@ def rain_regime(climate: DataFrame, geography: DataFrame) -> DataFrame:
     )
 
 
+def rain_regime(climate: DataFrame, geography: DataFrame) -> DataFrame:
+    """M10 per climate row."""
+    return with_regime(climate, geography).select(
+        "geography_id", "obs_date", "country_code", "rainfall_mm", "humidity_pct", "rainy_season",
+        "base_rainfall", "rain_cap", "humidity_base")
+
+
 # sd of the observed daily average around the normal: noise sd 2 plus the two
 # half-span draws U(5,12)/2 on min and max, i.e. var += 2 * ((12-5)^2/12) / 16
 ANOMALY_SD = math.sqrt(X.TEMP_NOISE_SD ** 2

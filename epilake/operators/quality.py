@@ -3,22 +3,29 @@ reference injects: each rule yields violation rows
 
     (table_name, rule, record_key, column_name, value, value_text)
 
-Row rules are filters (no shuffle). Key rules aggregate (partial
-aggregation map-side, so a key with a third of all rows is summed before
-the shuffle). `report` is one union and one aggregate; `clean_cases` keeps
-the first row per case id and drops rows failing any row rule.
+Row rules are specs (rule, column, condition, value). A table's rules run
+in ONE pass over the table: each row emits the violations it has through
+`explode(array_compact(array(when(cond, struct(...)), ...)))`, so the
+report reads every table once however many rules there are. Rules that
+need a small dimension (types, level ranges, country boxes, climate
+regime) get one broadcast join before the pass. Key rules aggregate
+(partial aggregation map-side, so a key holding a third of all rows is
+counted before the shuffle); orphan checks are anti joins.
+`clean_cases` keeps the first row per case id and drops rows failing any
+row rule, with no join.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epilake import fixed as X
 from epilake.operators import facilities as FA
-from epilake.operators.climate import rain_regime
+from epilake.operators.climate import with_regime
 from epilake.operators.generic import first_per_key, missing_days
 from epilake.operators.joins import constant_dim
 from epilake.sources.bind import Bindings
@@ -65,29 +72,138 @@ def case_row_flags(cases: DataFrame) -> dict[str, Column]:
     }
 
 
+class Rule(NamedTuple):
+    """A row rule: `cond` true means a violation (null counts as no violation)."""
+    rule: str
+    column: str
+    cond: Column
+    value: Column | None = None
+    text: Column | None = None
+
+
+def emit(df: DataFrame, table: str, key: Column, rules: list[Rule]) -> DataFrame:
+    """One pass over `df`: one output row per (input row, rule it breaks)."""
+    hits = F.array_compact(F.array(*[
+        F.when(r.cond, F.struct(
+            F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"),
+            (r.value if r.value is not None else F.lit(None)).cast("double").alias("value"),
+            (r.text if r.text is not None else F.lit(None)).cast("string").alias("value_text")))
+        for r in rules]))
+    return (df.select(F.lit(table).alias("table_name"), key.alias("record_key"), F.explode(hits).alias("v"))
+            .select("table_name", "v.rule", "record_key", "v.column_name", "v.value", "v.value_text"))
+
+
+def _outside(c: Column, allowed) -> Column:
+    return ~F.coalesce(c.isin(allowed), F.lit(False))
+
+
+# ---------------------------------------------------------------------- cases
+def case_rules() -> dict[str, list[Rule]]:
+    nc, de, rc = F.col("new_cases"), F.col("deaths"), F.col("recoveries")
+    d = case_delay()
+    return {
+        "nulls": [Rule("null_new_cases", "new_cases", nc.isNull()),
+                  Rule("null_deaths", "deaths", de.isNull())],
+        "negative": [Rule("negative_count", "new_cases", (nc < 0) | (de < 0), nc)],
+        "counts": [Rule("deaths_gt_cases", "deaths", de > nc, de),
+                   Rule("outcomes_gt_cases", "recoveries", de + rc > nc, de + rc)],
+        "delay": [Rule("delay_out_of_range", "case_date", ~d.between(0, X.MAX_REPORT_DELAY_DAYS), d)],
+        "domain": [Rule("bad_domain", c, _outside(F.col(c), allowed), None, F.col(c))
+                   for c, allowed in [("disease", X.DISEASES), ("age_group", X.AGE_GROUPS),
+                                      ("gender", X.GENDERS)]],
+    }
+
+
+def case_violations(b: Bindings, groups=None) -> DataFrame:
+    r = case_rules()
+    rules = [x for g in (groups or r) for x in r[g]]
+    return emit(b.case(), "case", F.col("case_id"), rules)
+
+
 def negative_cases(cases: DataFrame) -> DataFrame:
     """Q4: negative new_cases or deaths."""
     neg = cases.filter((F.col("new_cases") < 0) | (F.col("deaths") < 0))
     return neg.select("case_id", "facility_id", "report_date", "disease", "new_cases", "deaths")
 
 
-def climate_range(climate: DataFrame) -> DataFrame:
-    """Q5, Q6: negative rainfall; temperature outside the plausible band."""
+def case_counts(b: Bindings) -> DataFrame:
+    """Q10: deaths > new_cases, deaths + recoveries > new_cases."""
+    return case_violations(b, ["counts"])
+
+
+def delay_range(b: Bindings) -> DataFrame:
+    """Q11: reporting delay outside 0..14 days."""
+    return case_violations(b, ["delay"])
+
+
+# -------------------------------------------------------------------- climate
+def climate_frame(b: Bindings) -> DataFrame:
+    """Climate rows with their regime (one left join to geography and the dimension)."""
+    return with_regime(b.climate(), b.geography_b())
+
+
+def climate_rules() -> dict[str, list[Rule]]:
     lo, hi = TEMP_PLAUSIBLE
-    neg = _viol(climate.filter(F.col("rainfall_mm") < 0), "climate", "negative_rainfall",
-                climate_key(), "rainfall_mm", F.col("rainfall_mm"))
-    tmax = _viol(climate.filter(~F.col("temperature_max_c").between(lo, hi)), "climate",
-                 "temperature_outlier", climate_key(), "temperature_max_c", F.col("temperature_max_c"))
-    tmin = _viol(climate.filter(~F.col("temperature_min_c").between(lo, hi)), "climate",
-                 "temperature_outlier", climate_key(), "temperature_min_c", F.col("temperature_min_c"))
-    return neg.unionByName(tmax).unionByName(tmin)
+    tmin, tmax = F.col("temperature_min_c"), F.col("temperature_max_c")
+    rain, h, base = F.col("rainfall_mm"), F.col("humidity_pct"), F.col("humidity_base")
+    s_lo, s_hi = X.TEMP_SPAN_RANGE
+    span = tmax - tmin
+    lo_w, hi_w = X.HUMIDITY_WET_ADD
+    lo_d, hi_d = X.HUMIDITY_DRY_SUB
+    hmin, hmax = X.HUMIDITY_RANGE
+    wet_ok = h.between(F.least(base + lo_w, F.lit(float(hmax))), F.least(base + hi_w, F.lit(float(hmax))))
+    dry_ok = h.between(F.greatest(base - hi_d, F.lit(float(hmin))), F.greatest(base - lo_d, F.lit(float(hmin))))
+    # rain exactly 0.0 (a trace may have been rounded away) or unknown: either band
+    ok = (F.when(rain.isNull() | (rain == 0), wet_ok | dry_ok)
+          .when(rain > 0, wet_ok).otherwise(dry_ok)) & h.between(hmin, hmax)
+    return {
+        "nulls": [Rule("null_rainfall", "rainfall_mm", rain.isNull())],
+        "range": [Rule("negative_rainfall", "rainfall_mm", rain < 0, rain),
+                  Rule("temperature_outlier", "temperature_max_c", ~tmax.between(lo, hi), tmax),
+                  Rule("temperature_outlier", "temperature_min_c", ~tmin.between(lo, hi), tmin)],
+        "offline": [Rule("station_offline", "*", tmin.isNull() & tmax.isNull() & rain.isNull() & h.isNull())],
+        "span": [Rule("temperature_span", "temperature_max_c",
+                      (span < s_lo - ROUND_TOL) | (span > s_hi + ROUND_TOL), span)],
+        "rain_cap": [Rule("rain_above_cap", "rainfall_mm", rain > F.col("rain_cap"), rain)],
+        "humidity": [Rule("humidity_inconsistent", "humidity_pct",
+                          h.isNotNull() & ~F.coalesce(ok, F.lit(False)), h)],
+    }
+
+
+NEEDS_REGIME = {"rain_cap", "humidity"}
+
+
+def climate_violations(b: Bindings, groups=None) -> DataFrame:
+    r = climate_rules()
+    groups = list(groups or r)
+    frame = climate_frame(b) if NEEDS_REGIME & set(groups) else b.climate()
+    return emit(frame, "climate", climate_key(), [x for g in groups for x in r[g]])
+
+
+def climate_range(b: Bindings) -> DataFrame:
+    """Q5, Q6: negative rainfall; temperature outside the plausible band."""
+    return climate_violations(b, ["range"])
 
 
-def station_offline(climate: DataFrame) -> DataFrame:
+def station_offline(b: Bindings) -> DataFrame:
     """Q7: all four measures null."""
-    cond = reduce(lambda a, c: a & F.col(c).isNull(),
-                  ["temperature_max_c", "rainfall_mm", "humidity_pct"], F.col("temperature_min_c").isNull())
-    return _viol(climate.filter(cond), "climate", "station_offline", climate_key(), "*")
+    return climate_violations(b, ["offline"])
+
+
+def temp_span(b: Bindings) -> DataFrame:
+    """Q18: max - min outside [5, 12] (+-0.1 for rounding)."""
+    return climate_violations(b, ["span"])
+
+
+def rain_cap(b: Bindings) -> DataFrame:
+    """Q19: rainfall above the regime's cap (200 rainy season, 50 otherwise)."""
+    return climate_violations(b, ["rain_cap"])
+
+
+def humidity(b: Bindings) -> DataFrame:
+    """Q20: humidity consistent with the day's rain and season. Wet day: [base+10, base+30]
+    capped at 100; dry day: [base-15, base-5] floored at 20; always [20, 100]."""
+    return climate_violations(b, ["humidity"])
 
 
 def panel_gaps(b: Bindings) -> DataFrame:
@@ -100,152 +216,133 @@ def panel_gaps(b: Bindings) -> DataFrame:
     return missing_days(geo, "geography_id", clim, "obs_date", start, end)
 
 
-def beds_no_staff(fac: DataFrame) -> DataFrame:
-    """Q9: capacity > 0 and staff_count = 0."""
-    return _viol(fac.filter((F.col("capacity") > 0) & (F.col("staff_count") == 0)), "facility",
-                 "beds_no_staff", F.col("facility_id"), "staff_count", F.col("capacity"))
+# ------------------------------------------------------------------ facility
+def facility_frame(b: Bindings) -> DataFrame:
+    """Facility rows with their type's level, their level's ranges and their
+    geography's point (three left joins to bounded tables, all broadcast)."""
+    types = constant_dim(FA.facility_type_dim(b.spark).select("facility_type", F.col("level").alias("type_level")))
+    ranges = constant_dim(FA.level_range_dim(b.spark))
+    g = b.geography_b().select("geography_id", F.col("latitude").alias("g_lat"), F.col("longitude").alias("g_lon"))
+    return (b.facility().join(types, "facility_type", "left").join(ranges, "facility_level", "left")
+            .join(g, "geography_id", "left"))
 
 
-def case_counts(cases: DataFrame) -> DataFrame:
-    """Q10: deaths > new_cases, deaths + recoveries > new_cases."""
-    f = case_row_flags(cases)
-    a = _viol(cases.filter(f["deaths_gt_cases"]), "case", "deaths_gt_cases", F.col("case_id"),
-              "deaths", F.col("deaths"))
-    b = _viol(cases.filter(f["outcomes_gt_cases"]), "case", "outcomes_gt_cases", F.col("case_id"),
-              "recoveries", F.col("deaths") + F.col("recoveries"))
-    return a.unionByName(b)
+def facility_rules() -> dict[str, list[Rule]]:
+    lvl, tl = F.col("facility_level"), F.col("type_level")
+    full = F.coalesce(F.col("has_lab") & F.col("has_isolation_ward") & F.col("has_xray"), F.lit(False))
+    tol = X.FACILITY_OFFSET_DEG + 1e-6
+    dlat = F.abs(F.col("latitude") - F.col("g_lat"))
+    dlon = F.abs(F.col("longitude") - F.col("g_lon"))
+    y = F.col("established_year")
+    ylo, yhi = X.ESTABLISHED_YEAR_RANGE
 
+    def out(c, lo, hi):
+        v = F.col(c)
+        return Rule(f"{c}_out_of_range", c, (v < F.col(lo)) | (v >= F.col(hi)), v)
+    return {
+        "domain": [Rule("bad_domain", "operational_status",
+                        _outside(F.col("operational_status"), [s for s, _ in X.OPERATIONAL_STATUS]),
+                        None, F.col("operational_status"))],
+        "nulls": [Rule("null_capacity", "capacity", F.col("capacity").isNull())],
+        "beds": [Rule("beds_no_staff", "staff_count", (F.col("capacity") > 0) & (F.col("staff_count") == 0),
+                      F.col("capacity"))],
+        "capability": [Rule("missing_services", "facility_type", (tl >= X.FULL_SERVICE_MIN_LEVEL) & ~full, tl,
+                            F.col("facility_type")),
+                       Rule("level_mismatch", "facility_level", tl != lvl, lvl, F.col("facility_type"))],
+        "ranges": [out("capacity", "capacity_lo", "capacity_hi"), out("staff_count", "staff_lo", "staff_hi"),
+                   out("ambulance_count", "ambulance_lo", "ambulance_hi")],
+        "distance": [Rule("far_from_geography", "latitude", dlat > tol, dlat),
+                     Rule("far_from_geography", "longitude", dlon > tol, dlon)],
+        "year": [Rule("established_year_out_of_range", "established_year", (y < ylo) | (y >= yhi), y)],
+    }
 
-def delay_range(cases: DataFrame) -> DataFrame:
-    """Q11: reporting delay outside 0..14 days."""
-    f = case_row_flags(cases)
-    return _viol(cases.filter(f["delay_out_of_range"]), "case", "delay_out_of_range",
-                 F.col("case_id"), "case_date", case_delay())
 
+def facility_violations(b: Bindings, groups=None) -> DataFrame:
+    r = facility_rules()
+    rules = [x for g in (groups or r) for x in r[g]]
+    return emit(facility_frame(b), "facility", F.col("facility_id"), rules)
 
-def domain_values(b: Bindings) -> DataFrame:
-    """Q12: values outside the allowed sets."""
-    cases, fac, geo = b.case(), b.facility(), b.geography()
-
-    def bad(df, table, key, col, allowed):
-        c = F.col(col)
-        return _viol(df.filter(~F.coalesce(c.isin(allowed), F.lit(False))), table, "bad_domain",
-                     F.col(key), col, None, c)
-    parts = [
-        bad(cases, "case", "case_id", "disease", X.DISEASES),
-        bad(cases, "case", "case_id", "age_group", X.AGE_GROUPS),
-        bad(cases, "case", "case_id", "gender", X.GENDERS),
-        bad(fac, "facility", "facility_id", "operational_status", [s for s, _ in X.OPERATIONAL_STATUS]),
-        bad(geo, "geography", "geography_id", "urban_rural", X.URBAN_RURAL),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+def beds_no_staff(b: Bindings) -> DataFrame:
+    """Q9: capacity > 0 and staff_count = 0."""
+    return facility_violations(b, ["beds"])
 
 
 def capability(b: Bindings) -> DataFrame:
     """Facility type -> level (dimension lookup); level >= 4 must have lab,
     isolation ward and X-ray; recorded level must equal the type's level."""
-    types = constant_dim(FA.facility_type_dim(b.spark).select("facility_type", F.col("level").alias("type_level")))
-    f = b.facility().join(types, "facility_type", "inner")
-    full = F.col("has_lab") & F.col("has_isolation_ward") & F.col("has_xray")
-    miss = _viol(f.filter((F.col("type_level") >= X.FULL_SERVICE_MIN_LEVEL) & ~F.coalesce(full, F.lit(False))),
-                 "facility", "missing_services", F.col("facility_id"), "facility_type", F.col("type_level"),
-                 F.col("facility_type"))
-    lvl = _viol(f.filter(F.col("type_level") != F.col("facility_level")), "facility", "level_mismatch",
-                F.col("facility_id"), "facility_level", F.col("facility_level"), F.col("facility_type"))
-    return miss.unionByName(lvl)
+    return facility_violations(b, ["capability"])
 
 
 def capacity_range(b: Bindings) -> DataFrame:
     """Q14: capacity, staff, ambulances within [lo, hi) of the facility's level."""
-    dim = constant_dim(FA.level_range_dim(b.spark))
-    f = b.facility().join(dim, "facility_level", "inner")
-
-    def out(col, lo, hi):
-        c = F.col(col)
-        return _viol(f.filter((c < F.col(lo)) | (c >= F.col(hi))), "facility", f"{col}_out_of_range",
-                     F.col("facility_id"), col, c)
-    return (out("capacity", "capacity_lo", "capacity_hi")
-            .unionByName(out("staff_count", "staff_lo", "staff_hi"))
-            .unionByName(out("ambulance_count", "ambulance_lo", "ambulance_hi")))
+    return facility_violations(b, ["ranges"])
 
 
 def facility_distance(b: Bindings) -> DataFrame:
     """Q15: facility more than 0.05 degrees from its geography point."""
-    g = b.geography_b().select("geography_id", F.col("latitude").alias("g_lat"),
-                               F.col("longitude").alias("g_lon"))
-    f = b.facility().join(g, "geography_id", "inner")
-    tol = X.FACILITY_OFFSET_DEG + 1e-6
-    dlat = F.abs(F.col("latitude") - F.col("g_lat"))
-    dlon = F.abs(F.col("longitude") - F.col("g_lon"))
-    return (_viol(f.filter(dlat > tol), "facility", "far_from_geography", F.col("facility_id"), "latitude", dlat)
-            .unionByName(_viol(f.filter(dlon > tol), "facility", "far_from_geography", F.col("facility_id"),
-                               "longitude", dlon)))
+    return facility_violations(b, ["distance"])
 
 
-def geo_bounds(b: Bindings) -> DataFrame:
-    """Q16: geography point outside its country's box (configured countries only)."""
+def established_year(b: Bindings) -> DataFrame:
+    """Q21: established year outside [1990, 2024)."""
+    return facility_violations(b, ["year"])
+
+
+# ----------------------------------------------------------------- geography
+def geography_frame(b: Bindings) -> DataFrame:
     dim = constant_dim(FA.country_dim(b.spark).select("country_code", "lat_lo", "lat_hi", "lon_lo", "lon_hi"))
-    g = b.geography().join(dim, "country_code", "inner")
-    lat, lon = F.col("latitude"), F.col("longitude")
-    return (_viol(g.filter(~lat.between(F.col("lat_lo"), F.col("lat_hi"))), "geography", "outside_country",
-                  F.col("geography_id"), "latitude", lat)
-            .unionByName(_viol(g.filter(~lon.between(F.col("lon_lo"), F.col("lon_hi"))), "geography",
-                               "outside_country", F.col("geography_id"), "longitude", lon)))
+    return b.geography().join(dim, "country_code", "left")
 
 
-def population_range(geo: DataFrame) -> DataFrame:
-    """Q17: population [lo, hi) and density [lo, hi) by urban/rural class."""
-    def out(col, ranges, rule):
-        c, u = F.col(col), F.col("urban_rural")
-        cond = None
-        for cls, (lo, hi) in ranges.items():
-            e = (c < lo) | (c >= hi)
-            cond = F.when(u == cls, e) if cond is None else cond.when(u == cls, e)
-        return _viol(geo.filter(F.coalesce(cond, F.lit(False))), "geography", rule, F.col("geography_id"), col, c)
-    return (out("population", X.POPULATION_RANGE, "population_out_of_range")
-            .unionByName(out("population_density", X.DENSITY_RANGE, "density_out_of_range")))
+def _by_class(c: Column, ranges) -> Column:
+    u = F.col("urban_rural")
+    cond = None
+    for cls, (lo, hi) in ranges.items():
+        e = (c < lo) | (c >= hi)
+        cond = F.when(u == cls, e) if cond is None else cond.when(u == cls, e)
+    return cond
 
 
-def temp_span(climate: DataFrame) -> DataFrame:
-    """Q18: max - min outside [5, 12] (+-0.1 for rounding), or min > max."""
-    lo, hi = X.TEMP_SPAN_RANGE
-    span = F.col("temperature_max_c") - F.col("temperature_min_c")
-    bad = (span < lo - ROUND_TOL) | (span > hi + ROUND_TOL)
-    return _viol(climate.filter(bad), "climate", "temperature_span", climate_key(), "temperature_max_c", span)
+def geography_rules() -> dict[str, list[Rule]]:
+    lat, lon = F.col("latitude"), F.col("longitude")
+    pop, dens = F.col("population"), F.col("population_density")
+    return {
+        "domain": [Rule("bad_domain", "urban_rural", _outside(F.col("urban_rural"), X.URBAN_RURAL), None,
+                        F.col("urban_rural"))],
+        "nulls": [Rule("null_population", "population", pop.isNull())],
+        # unknown countries have no box (null bounds): not checked
+        "bounds": [Rule("outside_country", "latitude", ~lat.between(F.col("lat_lo"), F.col("lat_hi")), lat),
+                   Rule("outside_country", "longitude", ~lon.between(F.col("lon_lo"), F.col("lon_hi")), lon)],
+        "population": [Rule("population_out_of_range", "population", _by_class(pop, X.POPULATION_RANGE), pop),
+                       Rule("density_out_of_range", "population_density", _by_class(dens, X.DENSITY_RANGE), dens)],
+    }
 
 
-def rain_cap(b: Bindings) -> DataFrame:
-    """Q19: rainfall above the regime's cap (200 rainy season, 50 otherwise)."""
-    r = rain_regime(b.climate(), b.geography_b())
-    return _viol(r.filter(F.col("rainfall_mm") > F.col("rain_cap")), "climate", "rain_above_cap",
-                 climate_key(), "rainfall_mm", F.col("rainfall_mm"))
+def geography_violations(b: Bindings, groups=None) -> DataFrame:
+    r = geography_rules()
+    groups = list(groups or r)
+    frame = geography_frame(b) if "bounds" in groups else b.geography()
+    return emit(frame, "geography", F.col("geography_id"), [x for g in groups for x in r[g]])
 
 
-def humidity(b: Bindings) -> DataFrame:
-    """Q20: humidity consistent with the day's rain and season. Wet day: [base+10, base+30]
-    capped at 100; dry day: [base-15, base-5] floored at 20; always [20, 100]. At exactly
-    0.0 mm, or with rain unknown, either band is accepted."""
-    r = rain_regime(b.climate(), b.geography_b())
-    h, base, rain = F.col("humidity_pct"), F.col("humidity_base"), F.col("rainfall_mm")
-    lo_w, hi_w = X.HUMIDITY_WET_ADD
-    lo_d, hi_d = X.HUMIDITY_DRY_SUB
-    hmin, hmax = X.HUMIDITY_RANGE
-    wet_ok = h.between(F.least(base + lo_w, F.lit(float(hmax))), F.least(base + hi_w, F.lit(float(hmax))))
-    dry_ok = h.between(F.greatest(base - hi_d, F.lit(float(hmin))), F.greatest(base - lo_d, F.lit(float(hmin))))
-    ok = (F.when(rain.isNull() | (rain == 0), wet_ok | dry_ok)
-          .when(rain > 0, wet_ok).otherwise(dry_ok)) & h.between(hmin, hmax)
-    return _viol(r.filter(h.isNotNull() & ~F.coalesce(ok, F.lit(False))), "climate", "humidity_inconsistent",
-                 climate_key(), "humidity_pct", h)
+def geo_bounds(b: Bindings) -> DataFrame:
+    """Q16: geography point outside its country's box (configured countries only)."""
+    return geography_violations(b, ["bounds"])
 
 
-def established_year(fac: DataFrame) -> DataFrame:
-    """Q21: established year outside [1990, 2024)."""
-    lo, hi = X.ESTABLISHED_YEAR_RANGE
-    y = F.col("established_year")
-    return _viol(fac.filter((y < lo) | (y >= hi)), "facility", "established_year_out_of_range",
-                 F.col("facility_id"), "established_year", y)
+def population_range(b: Bindings) -> DataFrame:
+    """Q17: population [lo, hi) and density [lo, hi) by urban/rural class."""
+    return geography_violations(b, ["population"])
+
+
+def domain_values(b: Bindings) -> DataFrame:
+    """Q12: values outside the allowed sets."""
+    return (case_violations(b, ["domain"]).unionByName(facility_violations(b, ["domain"]))
+            .unionByName(geography_violations(b, ["domain"])))
 
 
+# ---------------------------------------------------------------- key rules
 def duplicate_keys(b: Bindings) -> DataFrame:
     """Q2: keys present more than once (case_id, geography_id, facility_id)."""
     def dup(df, table, key):
@@ -289,27 +386,9 @@ def orphans(b: Bindings) -> DataFrame:
 
 
 def all_violations(b: Bindings) -> DataFrame:
-    """Q22 input: every rule's violation rows."""
-    cases, clim, fac, geo = b.case(), b.climate(), b.facility(), b.geography()
-    f = case_row_flags(cases)
-    row_case = [
-        _viol(cases.filter(f["null_new_cases"]), "case", "null_new_cases", F.col("case_id"), "new_cases"),
-        _viol(cases.filter(F.col("deaths").isNull()), "case", "null_deaths", F.col("case_id"), "deaths"),
-        _viol(cases.filter(f["negative_count"]), "case", "negative_count", F.col("case_id"), "new_cases",
-              F.col("new_cases")),
-    ]
-    parts = row_case + [
-        case_counts(cases), delay_range(cases), domain_values(b), duplicate_keys(b),
-        _viol(clim.filter(F.col("rainfall_mm").isNull()), "climate", "null_rainfall", climate_key(),
-              "rainfall_mm"),
-        climate_range(clim), station_offline(clim), temp_span(clim), rain_cap(b), humidity(b),
-        _viol(fac.filter(F.col("capacity").isNull()), "facility", "null_capacity", F.col("facility_id"),
-              "capacity"),
-        beds_no_staff(fac), capability(b), capacity_range(b), facility_distance(b), established_year(fac),
-        _viol(geo.filter(F.col("population").isNull()), "geography", "null_population",
-              F.col("geography_id"), "population"),
-        geo_bounds(b), population_range(geo), orphans(b),
-    ]
+    """Q22 input: every rule's violation rows; each table is read once for its row rules."""
+    parts = [case_violations(b), climate_violations(b), facility_violations(b), geography_violations(b),
+             duplicate_keys(b), orphans(b)]
     return reduce(DataFrame.unionByName, parts)
 
 

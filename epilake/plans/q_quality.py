@@ -189,13 +189,13 @@ def dq_negative_cases(b):
 @query("dq_climate_range", U(R_CLIMATE_RANGE))
 def dq_climate_range(b):
     """Q5, Q6: negative rainfall, temperature outliers."""
-    return Q.climate_range(b.climate())
+    return Q.climate_range(b)
 
 
 @query("dq_station_offline", U(R_OFFLINE))
 def dq_station_offline(b):
     """Q7: all four climate measures null."""
-    return Q.station_offline(b.climate())
+    return Q.station_offline(b)
 
 
 @query("climate_panel_gaps", """
@@ -215,19 +215,19 @@ def climate_panel_gaps(b):
 @query("dq_beds_no_staff", U(R_BEDS))
 def dq_beds_no_staff(b):
     """Q9: beds but no staff."""
-    return Q.beds_no_staff(b.facility())
+    return Q.beds_no_staff(b)
 
 
 @query("dq_case_counts", U(R_CASE_COUNTS))
 def dq_case_counts(b):
     """Q10: deaths and outcomes above new cases."""
-    return Q.case_counts(b.case())
+    return Q.case_counts(b)
 
 
 @query("dq_delay_range", U(R_DELAY))
 def dq_delay_range(b):
     """Q11: reporting delay outside 0..14 days."""
-    return Q.delay_range(b.case())
+    return Q.delay_range(b)
 
 
 @query("dq_domain_values", U(R_DOMAIN))
@@ -263,13 +263,13 @@ def dq_geo_bounds(b):
 @query("dq_population_range", U(R_POP))
 def dq_population_range(b):
     """Q17: population and density range by class."""
-    return Q.population_range(b.geography())
+    return Q.population_range(b)
 
 
 @query("dq_temp_span", U(R_SPAN))
 def dq_temp_span(b):
     """Q18: daily temperature span."""
-    return Q.temp_span(b.climate())
+    return Q.temp_span(b)
 
 
 @query("dq_rain_cap", REGIME + U(R_RAIN_CAP))
@@ -287,7 +287,7 @@ def dq_humidity(b):
 @query("dq_established_year", U(R_YEAR))
 def dq_established_year(b):
     """Q21: established year range."""
-    return Q.established_year(b.facility())
+    return Q.established_year(b)
 
 
 @query("dq_orphans", U(R_ORPHANS))
