@@ -24,6 +24,13 @@ from epilake.sources.tables import Tables
 GEOGRAPHY_BROADCAST_ROWS = 100_000
 
 
+def zero_pad(n: Column, width: int) -> Column:
+    """Decimal text of a non-negative integer, left-padded with zeros to `width`
+    and never truncated (as printf's %0Nd; cheaper than format_string per row)."""
+    s = n.cast("string")
+    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
+
+
 def _country_code(regionkey: Column, region_name: Column) -> Column:
     return (F.when(regionkey == 0, F.lit("KE"))
             .when(regionkey == 1, F.lit("NG"))
@@ -95,7 +102,7 @@ class Bindings:
                  .when(m6 == 1, F.lit("Clinic")).otherwise(F.lit("Dispensary")))
         j = s.join(g, s.s_nationkey == g.n_nationkey, "inner")
         return j.select(
-            F.format_string("FAC-%05d", k).alias("facility_id"),
+            F.concat(F.lit("FAC-"), zero_pad(k, 5)).alias("facility_id"),
             F.concat_ws(" ", "district_name", F.concat(ftype, F.lit("-"), k.cast("string"))).alias("facility_name"),
             "geography_id", "country_code", "region_name", "district_name",
             (m6 + 1).cast("int").alias("facility_level"),
@@ -162,7 +169,7 @@ class Bindings:
         ln = F.col("l_linenumber")
         rd = F.col("l_shipdate").cast("date")
         return j.select(
-            F.format_string("CASE-%07d", F.col("l_orderkey") * 10 + ln).alias("case_id"),
+            F.concat(F.lit("CASE-"), zero_pad(F.col("l_orderkey") * 10 + ln, 7)).alias("case_id"),
             rd.alias("report_date"),
             F.date_sub(rd, (pk % 18).cast("int")).alias("case_date"),
             "facility_id", "geography_id",
