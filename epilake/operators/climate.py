@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from epilake import fixed as X
 from epilake.functions import measures as M
 from epilake.operators.generic import day_range_window, first_per_key
-from epilake.operators.joins import constant_dim
+from epilake.operators.joins import constant_dim, literal_table
 
 
 def climate_first_per_day(climate: DataFrame, key: str = "geography_id",
@@ -54,7 +54,8 @@ def climate_features(climate: DataFrame) -> DataFrame:
 def country_climate_dim(spark) -> DataFrame:
     """J6 dimension: country -> (rainy months, base rainfall)."""
     rows = [(cc, months, float(base)) for cc, months, base in X.CLIMATE]
-    return spark.createDataFrame(rows, "country_code string, rainy_months array<int>, base_rainfall double")
+    return literal_table(spark, "country_climate", rows,
+                         "country_code string, rainy_months array<int>, base_rainfall double")
 
 
 def with_regime(climate: DataFrame, geography: DataFrame) -> DataFrame:

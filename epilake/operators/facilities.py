@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from epilake import fixed as X
 from epilake.functions import measures as M
 from epilake.operators.generic import share_of_total, share_within
-from epilake.operators.joins import constant_dim
+from epilake.operators.joins import constant_dim, literal_table
 
 
 def facility_type_dim(spark) -> DataFrame:
     rows = [(t, lvl, float(cap[0]), float(cap[1]), float(st[0]), float(st[1]), float(dens), float(w))
             for t, lvl, cap, st, dens, w in X.FACILITY_TYPES]
-    return spark.createDataFrame(
-        rows, "facility_type string, level int, capacity_lo double, capacity_hi double, "
+    return literal_table(
+        spark, "facility_type", rows, "facility_type string, level int, capacity_lo double, capacity_hi double, "
               "staff_lo double, staff_hi double, min_pop_density double, type_weight double")
 
 
@@ -32,16 +32,16 @@ def level_range_dim(spark) -> DataFrame:
         for lvl in range(min_lvl, upper):
             rows.append((lvl, cap[0], cap[1], st[0], st[1], amb[0], amb[1]))
         upper = min_lvl
-    return spark.createDataFrame(
-        rows, "facility_level int, capacity_lo int, capacity_hi int, staff_lo int, staff_hi int, "
+    return literal_table(
+        spark, "level_range", rows, "facility_level int, capacity_lo int, capacity_hi int, staff_lo int, staff_hi int, "
               "ambulance_lo int, ambulance_hi int")
 
 
 def country_dim(spark) -> DataFrame:
     rows = [(cc, name, share, urban, pop, lat[0], lat[1], lon[0], lon[1], len(X.REGIONS[cc]))
             for cc, name, share, urban, pop, lat, lon in X.COUNTRIES]
-    return spark.createDataFrame(
-        rows, "country_code string, ref_country_name string, district_share double, "
+    return literal_table(
+        spark, "country", rows, "country_code string, ref_country_name string, district_share double, "
               "urban_share double, ref_population long, lat_lo double, lat_hi double, "
               "lon_lo double, lon_hi double, n_ref_regions int")
 

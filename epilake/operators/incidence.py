@@ -35,7 +35,7 @@ def facility_days(b: Bindings) -> DataFrame:
     """J2 + P14: operational facility-days that have a climate row (inner join on
     geography; the climate rows supply the days)."""
     fac = active_facilities(b).select("facility_id", "geography_id", "population", "is_urban")
-    clim = climate_features(b.climate())
+    clim = b.geo_day_side(climate_features(b.climate()))
     return fac.join(clim, "geography_id", "inner")
 
 

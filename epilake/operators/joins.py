@@ -42,3 +42,16 @@ def bounded_broadcast(df: DataFrame, bound_by: DataFrame | None = None,
 def constant_dim(df: DataFrame) -> DataFrame:
     """Broadcast a dimension built from literal rows (size fixed in code)."""
     return F.broadcast(df)
+
+
+_literal: dict[tuple[str, str], DataFrame] = {}
+
+
+def literal_table(spark, name: str, rows, schema: str) -> DataFrame:
+    """A small table from literal rows, created once per application."""
+    key = (spark.sparkContext.applicationId, name)
+    df = _literal.get(key)
+    if df is None:
+        df = spark.createDataFrame(rows, schema)
+        _literal[key] = df
+    return df

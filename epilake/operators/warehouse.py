@@ -78,8 +78,8 @@ def fact_surveillance(b: Bindings, expected_long: DataFrame) -> DataFrame:
     c = b.case()
     f = b.facility().select("facility_id", "facility_type")
     g = b.geography_b().select("geography_id", "country_code", "region_name")
-    cl = with_daily_avg(b.climate()).select("geography_id", F.col("obs_date").alias("report_date"),
-                                            "rainfall_mm", "temperature_avg_c")
+    cl = b.geo_day_side(with_daily_avg(b.climate()).select(
+        "geography_id", F.col("obs_date").alias("report_date"), "rainfall_mm", "temperature_avg_c"))
     e = expected_long.select("facility_id", F.col("obs_date").alias("report_date"), "disease", "expected_cases")
     j = (c.join(f, "facility_id", "left").join(g, "geography_id", "left")
          .join(cl, ["geography_id", "report_date"], "left")

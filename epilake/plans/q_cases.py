@@ -10,7 +10,7 @@ from epilake.functions import measures as M
 from epilake.operators import climate as C
 from epilake.operators import incidence as I
 from epilake.operators.generic import date_spine, first_per_key, sample_n, sequence_id, share_within
-from epilake.operators.joins import constant_dim
+from epilake.operators.joins import constant_dim, literal_table
 from epilake.plans import sql_parts as S
 from epilake.plans.q_geo import REGIME
 from epilake.plans.q_outbreaks import J8, expected_long, CHOLERA
@@ -107,7 +107,7 @@ FROM v_case c LEFT JOIN {CFR_SQL} ON c.disease = t.disease GROUP BY c.disease
 """)
 def case_fatality(b):
     """Observed case fatality by disease beside the configured rate."""
-    dim = constant_dim(b.spark.createDataFrame(X.CASE_FATALITY, "disease string, configured_cfr double"))
+    dim = constant_dim(literal_table(b.spark, "case_fatality", X.CASE_FATALITY, "disease string, configured_cfr double"))
     agg = b.case().groupBy("disease").agg(F.sum("new_cases").alias("total_cases"),
                                           F.sum("deaths").alias("total_deaths"))
     return agg.join(dim, "disease", "left").select(
@@ -200,7 +200,8 @@ LEFT JOIN {STATUS_SQL} ON s.operational_status = t.operational_status
 """)
 def status_share(b):
     """Facility status shares against the configured split."""
-    dim = constant_dim(b.spark.createDataFrame(X.OPERATIONAL_STATUS, "operational_status string, configured_share double"))
+    dim = constant_dim(literal_table(b.spark, "status_share", X.OPERATIONAL_STATUS,
+                                     "operational_status string, configured_share double"))
     f = b.facility()
     total = f.select(F.count(F.lit(1))).scalar()
     g = f.groupBy("operational_status").agg(F.count(F.lit(1)).alias("n"))
@@ -219,7 +220,8 @@ FROM a LEFT JOIN {AGE_SQL} ON a.disease = t.disease AND a.age_group = t.age_grou
 """)
 def age_share(b):
     """Age-group shares by disease against the configured weights."""
-    dim = constant_dim(b.spark.createDataFrame(AGE_ROWS, "disease string, age_group string, configured_share double"))
+    dim = constant_dim(literal_table(b.spark, "age_share", AGE_ROWS,
+                                     "disease string, age_group string, configured_share double"))
     a = b.case().groupBy("disease", "age_group").agg(F.count(F.lit(1)).alias("n"))
     a = share_within(a, ["disease"], "n", "share")
     return a.join(dim, ["disease", "age_group"], "left").select("disease", "age_group", "n", "share",
@@ -236,7 +238,7 @@ FROM (SELECT gender, count(*) AS n FROM v_case GROUP BY 1) s LEFT JOIN {GENDER_S
 """)
 def gender_share(b):
     """Gender shares against the configured 0.47 / 0.53."""
-    dim = constant_dim(b.spark.createDataFrame(GENDER_ROWS, "gender string, configured_share double"))
+    dim = constant_dim(literal_table(b.spark, "gender_share", GENDER_ROWS, "gender string, configured_share double"))
     c = b.case()
     total = c.select(F.count(F.lit(1))).scalar()
     g = c.groupBy("gender").agg(F.count(F.lit(1)).alias("n"))

@@ -25,6 +25,16 @@ class Tables:
         return f"{self.sf_dir}/{name}.parquet"
 
     def __call__(self, name: str) -> DataFrame:
+        """The table as a DataFrame; one reader per (application, path), so repeated
+        use does not list files and read footers again."""
         if name not in TABLES:
             raise KeyError(f"unknown table {name!r}")
-        return self.spark.read.parquet(self.path(name))
+        key = (self.spark.sparkContext.applicationId, self.path(name))
+        df = _READERS.get(key)
+        if df is None:
+            df = self.spark.read.parquet(self.path(name))
+            _READERS[key] = df
+        return df
+
+
+_READERS: dict[tuple[str, str], DataFrame] = {}

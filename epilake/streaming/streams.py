@@ -81,11 +81,9 @@ def dedupe(cases: DataFrame) -> DataFrame:
 
 
 def climate_stream(b: Bindings) -> DataFrame:
-    """Climate as a file stream: the climate table written once to the shared folder."""
-    path = tagged_path(b.spark, b.t.sf_dir, "stream_src", "climate")
+    """Climate as a file stream over the climate table Spark wrote to the shared folder."""
     clim = b.climate()
-    clim.write.mode("overwrite").parquet(path)
-    return b.spark.readStream.schema(clim.schema).parquet(path)
+    return b.spark.readStream.schema(clim.schema).parquet(b.climate_path())
 
 
 RAIN_WATERMARK = "1 day"
@@ -148,8 +146,10 @@ class OutbreakTracker(StatefulProcessor):
 def trigger_stream(b: Bindings, cases: DataFrame) -> DataFrame:
     """Cholera reports with cases > 0 on a day with rain > 80 (stream-static join
     with the climate table)."""
-    clim = (b.climate().filter(F.col("rainfall_mm") > X.OUTBREAK_TRIGGER_RAIN)
-            .select("geography_id", F.col("obs_date").alias("report_date")))
+    # static side: the written climate table, so each micro-batch reads a small
+    # table instead of recomputing it
+    clim = b.geo_day_side(b.climate().filter(F.col("rainfall_mm") > X.OUTBREAK_TRIGGER_RAIN)
+                          .select("geography_id", F.col("obs_date").alias("report_date")))
     t = (cases.filter((F.col("disease") == "Cholera") & (F.col("new_cases") > 0))
          .join(clim, ["geography_id", "report_date"], "inner"))
     return t.select("geography_id", F.unix_date("report_date").alias("trigger_day"))

@@ -40,6 +40,9 @@ class FakeBindings:
     def case(self) -> DataFrame:
         return self._k
 
+    def geo_day_side(self, df: DataFrame) -> DataFrame:
+        return df
+
 
 @pytest.fixture
 def fake():
