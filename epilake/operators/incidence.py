@@ -39,6 +39,16 @@ def facility_days(b: Bindings) -> DataFrame:
     return fac.join(clim, "geography_id", "inner")
 
 
+def facility_days_outbreaks(b: Bindings) -> DataFrame:
+    """Facility-days with climate features and the J8 outbreak: the two geography-day
+    tables are joined to each other first (small), so the large facility side takes a
+    single join."""
+    from epilake.operators.outbreaks import outbreak_day_columns, resolve_for_facility
+    fac = active_facilities(b).select("facility_id", "geography_id", "population", "is_urban")
+    gd = climate_features(b.climate()).join(outbreak_day_columns(b), ["geography_id", "obs_date"], "left")
+    return resolve_for_facility(fac.join(b.geo_day_side(gd), "geography_id", "inner"))
+
+
 def expected_malaria(b: Bindings) -> DataFrame:
     fd = facility_days(b)
     return fd.select(

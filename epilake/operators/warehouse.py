@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epilake import fixed as X
-from epilake.functions import measures as M
 from epilake.operators.climate import with_daily_avg
 from epilake.operators.generic import date_spine, day_range_window, sequence_id
 from epilake.sources.bind import Bindings

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from epilake.operators import incidence as I
 from epilake.plans import sql_parts as S

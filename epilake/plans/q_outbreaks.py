@@ -65,7 +65,7 @@ CHOLERA = ("population / 100000 * (CASE WHEN is_urban THEN 5.0e0 ELSE 3.0e0 END)
 
 
 def _fdc(b):
-    return O.active_for_facility_days(b, I.facility_days(b))
+    return I.facility_days_outbreaks(b)
 
 
 def _expected_cholera_col():
