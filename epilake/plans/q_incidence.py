@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from epilake.operators import incidence as I
 from epilake.plans import sql_parts as S
 from epilake.plans.registry import query
