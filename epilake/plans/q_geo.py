@@ -104,7 +104,7 @@ def facility_slots(b):
 , r AS (
   SELECT rg.country_code, rg.region_name, nr.n_regions,
     CAST(trunc(30 * coalesce(t.district_share, 0e0)) AS INTEGER) AS country_districts,
-    row_number() OVER (PARTITION BY rg.country_code ORDER BY rg.region_name) AS region_idx
+    CAST(row_number() OVER (PARTITION BY rg.country_code ORDER BY rg.region_name) AS INTEGER) AS region_idx
   FROM rg JOIN nr ON rg.country_code = nr.country_code LEFT JOIN {SHARES_SQL} ON rg.country_code = t.country_code
 )
 SELECT country_code, region_name, n_regions, country_districts, region_idx,
@@ -157,8 +157,8 @@ def geography_summary(b):
 @query("ordinal_in_parent", """
 SELECT geography_id, country_code, region_name, district_name, district_no,
   region_name || ' District ' || CAST(district_no AS VARCHAR) AS district_label
-FROM (SELECT *, row_number() OVER (PARTITION BY country_code, region_name
-        ORDER BY district_name, geography_id) AS district_no FROM v_geography)
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY country_code, region_name
+        ORDER BY district_name, geography_id) AS INTEGER) AS district_no FROM v_geography)
 """)
 def ordinal_in_parent(b):
     """Ordinal of a district within its region, and its label."""
@@ -186,7 +186,7 @@ def dq_adjacent_duplicate(b):
 
 @query("ref_dims", f"""
 SELECT g.geography_id, g.country_code, t.ref_country_name, t.district_share, t.urban_share, t.n_ref_regions,
-  coalesce(c.base_rainfall, 50e0) AS base_rainfall, coalesce(len(c.rainy_months), 0) AS n_rainy_months
+  coalesce(c.base_rainfall, 50e0) AS base_rainfall, CAST(coalesce(len(c.rainy_months), 0) AS INTEGER) AS n_rainy_months
 FROM v_geography g LEFT JOIN {COUNTRY_SQL} ON g.country_code = t.country_code
 LEFT JOIN (SELECT * FROM {CLIMATE_SQL}) c ON g.country_code = c.country_code
 """)
@@ -233,7 +233,7 @@ NORMAL = "(30e0 - abs(latitude) / 3e0 + sin(dayofyear(obs_date) / 365e0 * 2e0 *
 NORMALS = f"""
 , nrm AS (
   SELECT cl.geography_id, cl.obs_date, g.latitude, {COASTAL_SQL} AS is_coastal,
-    dayofyear(cl.obs_date) AS day_of_year, cl.temperature_min_c, cl.temperature_max_c
+    CAST(dayofyear(cl.obs_date) AS INTEGER) AS day_of_year, cl.temperature_min_c, cl.temperature_max_c
   FROM v_climate cl JOIN v_geography g ON cl.geography_id = g.geography_id
 )
 , nrm2 AS (SELECT *, {NORMAL.format(c="is_coastal")} AS temp_normal_c FROM nrm)

@@ -137,7 +137,7 @@ def lead_features(b):
 , j AS (SELECT coalesce(s.district_name, b.district_name) AS district_name, s.still_sick, b.beds,
           s.still_sick / nullif(b.beds, 0) AS pressure
         FROM sick s FULL OUTER JOIN beds b ON s.district_name = b.district_name)
-SELECT *, row_number() OVER (ORDER BY pressure DESC NULLS LAST, district_name) AS pressure_rank FROM j
+SELECT *, CAST(row_number() OVER (ORDER BY pressure DESC NULLS LAST, district_name) AS INTEGER) AS pressure_rank FROM j
 """)
 def bed_pressure(b):
     """Still-sick patients over operational beds by district, ranked."""

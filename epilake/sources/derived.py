@@ -13,6 +13,7 @@ application the input folder is treated as immutable.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from epilake.sources.lake import tagged_path
 
 _written: dict[tuple[str, str, str], str] = {}
+_lock = threading.Lock()
 
 
 def materialized_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> str:
     """Path of the written table, writing it on first use in this application."""
     app = spark.sparkContext.applicationId
     key = (app, sf_dir.rstrip("/"), name)
-    path = _written.get(key)
-    if path is None:
-        path = tagged_path(spark, sf_dir, "derived", app, name)
-        build().write.mode("overwrite").parquet(path)
-        _written[key] = path
+    with _lock:  # queries built from several threads write each table once
+        path = _written.get(key)
+        if path is None:
+            path = tagged_path(spark, sf_dir, "derived", app, name)
+            build().write.mode("overwrite").parquet(path)
+            _written[key] = path
     return path
 
 
