@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from epilake.sources.lake import tagged_path
 
 _written: dict[tuple[str, str, str], str] = {}
-_lock = threading.Lock()
+_lock = threading.RLock()  # re-entrant: building one table may build another
 
 
 def materialized_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> str:
