@@ -68,17 +68,24 @@ def sequence_id(df: DataFrame, order: Sequence[str], name: str = "seq",
 
     Range-partition and sort by `order` (sampled bounds keep partitions even
     even when one value dominates, since `order` should be a total order),
-    take the in-partition position from `monotonically_increasing_id`, count
-    rows per partition (one row per partition, broadcast) and add the running
-    offset of earlier partitions. Both branches reuse the one range exchange.
+    take the in-partition position from `monotonically_increasing_id`, then
+    cut the lineage with a reliable checkpoint in the shared folder: range
+    bounds are sampled, so two evaluations of an input whose row order is not
+    fixed could place rows differently. Both the per-partition counts (one
+    row per partition, broadcast as running offsets) and the numbered rows
+    read that one checkpoint, so they always agree, and a lost executor
+    re-reads it instead of re-sampling.
     """
+    from epilake.session import ensure_work_dir
+    ensure_work_dir(df.sparkSession)
     n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     n = int(n)
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     mid = F.monotonically_increasing_id()
-    s = s.withColumn("_mid", mid)
-    s = s.withColumn("_pid", F.shiftright(F.col("_mid"), 33)) \
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    s = (s.withColumn("_mid", mid)
+         .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+         .checkpoint(eager=True))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
