@@ -53,8 +53,18 @@ def case_stream(b: Bindings) -> DataFrame:
     return b.case_from(li)
 
 
+def day_start_ts(date_col: str) -> F.Column:
+    """Midnight UTC of a date as a timestamp, independent of the session time zone."""
+    return F.timestamp_seconds(F.unix_date(F.col(date_col)).cast("long") * 86400)
+
+
+def ts_day(ts: F.Column) -> F.Column:
+    """The UTC day of a timestamp, independent of the session time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+
+
 def with_event_time(cases: DataFrame) -> DataFrame:
-    return cases.withColumn("event_ts", F.col("report_date").cast("timestamp"))
+    return cases.withColumn("event_ts", day_start_ts("report_date"))
 
 
 def enrich(b: Bindings, cases: DataFrame) -> DataFrame:
@@ -69,8 +79,8 @@ def daily_counts(cases: DataFrame) -> DataFrame:
     ev = with_event_time(cases).withWatermark("event_ts", DELAY)
     agg = (ev.groupBy(F.window("event_ts", "1 day"), "disease", "geography_id")
            .agg(F.count(F.lit(1)).alias("n_reports"), F.sum("new_cases").alias("cases")))
-    return agg.select(F.col("window.start").cast("date").alias("window_start"),
-                      F.col("window.end").cast("date").alias("window_end"),
+    return agg.select(ts_day(F.col("window.start")).alias("window_start"),
+                      ts_day(F.col("window.end")).alias("window_end"),
                       "disease", "geography_id", "n_reports", "cases")
 
 
@@ -92,12 +102,12 @@ RAIN_WATERMARK = "1 day"
 def rain_21d(climate: DataFrame) -> DataFrame:
     """Sliding 21-day rain with a 1-day slide; the window ending at day d holds
     days d-21..d-1, i.e. the batch trailing sum W1 at day d."""
-    ev = climate.withColumn("event_ts", F.col("obs_date").cast("timestamp")).withWatermark("event_ts", RAIN_WATERMARK)
+    ev = climate.withColumn("event_ts", day_start_ts("obs_date")).withWatermark("event_ts", RAIN_WATERMARK)
     w = F.window("event_ts", f"{X.MALARIA_HISTORY_DAYS} days", "1 day")
     agg = ev.groupBy(w, "geography_id").agg(
         F.sum(F.col("rainfall_mm").cast("decimal(18,1)")).cast("double").alias("rain_21d"),
         F.count(F.lit(1)).alias("n_days"))
-    return agg.select("geography_id", F.col("window.end").cast("date").alias("window_end"), "rain_21d", "n_days")
+    return agg.select("geography_id", ts_day(F.col("window.end")).alias("window_end"), "rain_21d", "n_days")
 
 
 # ------------------------------------------------------------- T5 outbreak tracker

@@ -87,3 +87,24 @@ def test_daily_counts_emit_only_final_days(spark, tmp_path):
     got = sorted(r.window_start for r in out.collect())
     assert got == want_days
     assert out.agg(F.sum("n_reports")).first()[0] == 10 * len(want_days)
+
+
+def test_daily_counts_independent_of_session_time_zone(spark, tmp_path):
+    d0 = dt.date(2023, 3, 1)
+    rows = [(f"C{i}", d0 + dt.timedelta(days=i % 30), "Cholera", "G", 2) for i in range(300)]
+    df = pd.DataFrame(rows, columns=["case_id", "report_date", "disease", "geography_id", "new_cases"])
+    src = str(tmp_path / "src")
+    _write_two_batches(src, df.iloc[:150], df.iloc[150:])
+    schema = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("report_date", T.DateType()),
+                           T.StructField("disease", T.StringType()), T.StructField("geography_id", T.StringType()),
+                           T.StructField("new_cases", T.LongType())])
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        stream = spark.readStream.schema(schema).parquet(src)
+        out = _run(ST.daily_counts(stream), str(tmp_path / "run")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert all(r.window_end == r.window_start + dt.timedelta(days=1) for r in out)
+    assert {r.window_start for r in out} == {d0 + dt.timedelta(days=i) for i in range(15)}
+    assert all(r.n_reports == 10 for r in out)
