@@ -41,9 +41,11 @@ def with_rain_history(climate: DataFrame, days: int = X.MALARIA_HISTORY_DAYS,
     not depend on the order in which rows are added.
     """
     w = day_range_window([key], date_col, -days, -1)
-    return (climate
-            .withColumn("rain_21d", F.sum(F.col("rainfall_mm").cast("decimal(18,1)")).over(w).cast("double"))
-            .withColumn("history_days", F.count(F.lit(1)).over(w)))
+    # both aggregates in one select: one Window operator, one sort
+    return climate.select(
+        "*",
+        F.sum(F.col("rainfall_mm").cast("decimal(18,1)")).over(w).cast("double").alias("rain_21d"),
+        F.count(F.lit(1)).over(w).alias("history_days"))
 
 
 def climate_features(climate: DataFrame) -> DataFrame:
