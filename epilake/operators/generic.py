@@ -89,6 +89,7 @@ def sequence_id(df: DataFrame, order: Sequence[str], name: str = "seq",
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # offsets: one row per partition (n rows by construction)
     out = s.join(F.broadcast(offsets), "_pid", "inner")
     return out.select(*df.columns, (F.col("_off") + F.col("_pos") + 1).alias(name))
 

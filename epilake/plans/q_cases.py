@@ -10,11 +10,12 @@ from epilake.functions import measures as M
 from epilake.operators import climate as C
 from epilake.operators import incidence as I
 from epilake.operators.generic import date_spine, first_per_key, sample_n, sequence_id, share_within
-from epilake.operators.joins import constant_dim, literal_table
+from epilake.operators.joins import bounded_broadcast, constant_dim, literal_table
 from epilake.plans import sql_parts as S
 from epilake.plans.q_geo import REGIME
 from epilake.plans.q_outbreaks import J8, expected_long, CHOLERA
 from epilake.plans.registry import query
+from epilake.sources.bind import GEOGRAPHY_BROADCAST_ROWS
 
 CASE_COLS = ["case_id", "report_date", "case_date", "facility_id", "geography_id", "disease", "new_cases",
              "deaths", "recoveries", "age_group", "gender"]
@@ -364,7 +365,10 @@ def surrogate_ids(b):
     gseq = sequence_id(g.select("country_code", "region_name", "geography_id"),
                        ["country_code", "region_name", "geography_id"], "geo_seq", num_partitions=1)
     cases = sequence_id(b.case(), BUILD_ORDER, "seq")
-    j = cases.join(F.broadcast(gseq), "geography_id", "inner")
+    # one row per geography: broadcast under the geography bound (checked on nation)
+    gseq = bounded_broadcast(gseq, bound_by=b.t("nation"), max_rows=GEOGRAPHY_BROADCAST_ROWS,
+                             cache_key=b.t.path("nation"))
+    j = cases.join(gseq, "geography_id", "inner")
     return j.select("case_id", "report_date", "facility_id", "disease", "seq",
                     F.format_string("CASE-%07d", "seq").alias("new_case_id"),
                     F.concat("country_code", F.lit("-"), F.upper(F.substring("region_name", 1, 3)), F.lit("-"),

@@ -82,3 +82,34 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared work folder (URI-safe join)."""
     base = ensure_work_dir(spark)
     return "/".join([base, *parts])
+
+
+# Target bytes per task for scans and shuffles on a cluster: large enough to keep
+# task overhead low, small enough that a sort or hash aggregate of one partition
+# fits in an executor core's share of memory and spills little.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def cluster_settings(input_bytes: int, shuffle_expansion: float = 1.0,
+                     target_bytes: int = TARGET_PARTITION_BYTES) -> dict[str, str]:
+    """Partition sizing for a job reading `input_bytes` (compressed Parquet).
+
+    Shuffle partitions ~ shuffled bytes / target, at least 200; AQE then
+    coalesces small partitions to the advisory size and splits skewed ones,
+    so the number is an upper bound, not a guess to get exactly right.
+    """
+    shuffled = input_bytes * shuffle_expansion
+    parts = max(200, -(-int(shuffled) // target_bytes))
+    mb = f"{target_bytes // (1024 * 1024)}m"
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_bytes),
+    }
+
+
+def configure_for_input(spark: SparkSession, input_bytes: int, shuffle_expansion: float = 1.0) -> None:
+    for k, v in cluster_settings(input_bytes, shuffle_expansion).items():
+        spark.conf.set(k, v)

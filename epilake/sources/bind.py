@@ -71,7 +71,8 @@ class Bindings:
         cust = self.t("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_cust"))
         cc = _country_code(F.col("r_regionkey"), F.col("r_name"))
         k = F.col("n_nationkey")
-        j = (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "inner")
+        r = bounded_broadcast(r, max_rows=GEOGRAPHY_BROADCAST_ROWS, cache_key=self.t.path("region"))
+        j = (n.join(r, n.n_regionkey == r.r_regionkey, "inner")
              .join(cust, k == F.col("c_nationkey"), "left"))
         return j.select(
             F.concat(cc, F.lit("-"), F.upper(F.substring("n_name", 1, 3)), F.lit("-"),

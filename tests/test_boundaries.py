@@ -198,3 +198,12 @@ def test_sample_n_deterministic(spark):
     a = [r.k for r in sample_n(df, 10, ["k"], 42).collect()]
     b = [r.k for r in sample_n(df.repartition(7), 10, ["k"], 42).collect()]
     assert a == b and len(set(a)) == 10
+
+
+def test_cluster_settings_scale():
+    from epilake.session import cluster_settings
+    small = cluster_settings(10 * 1024 ** 2)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    big = cluster_settings(100 * 1024 ** 4)        # 100 TiB read
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
+    assert big["spark.sql.files.maxPartitionBytes"] == "256m"
