@@ -23,16 +23,17 @@ def _csv_round_trip(b, compress: bool):
     base = L.tagged_path(spark, b.t.sf_dir, name)
     L.write_csv(b.geography(), f"{base}/geography", compress)
     L.write_csv(b.facility(), f"{base}/facility", compress)
-    L.write_csv(b.climate(), f"{base}/climate", compress)
-    L.write_csv(b.case(), f"{base}/case", compress)
+    L.write_csv(b.climate(), f"{base}/climate", compress, sort_cols=["geography_id", "obs_date"])
+    L.write_csv(b.case(), f"{base}/case", compress, sort_cols=["report_date", "facility_id", "disease"])
     back = L.read_csv(spark, f"{base}/case", L.CASE_READ)
     return L.cast_counts(back)
 
 
 @query("csv_round_trip", CASE_SQL)
 def csv_round_trip(b):
-    """Write the four tables as CSV with header, read the cases back
-    under an explicit schema (counts as double, cast after reading)."""
+    """Write the four tables as CSV with header (cases in date,
+    facility, disease order; climate in geography, date order within each file),
+    read the cases back under an explicit schema (counts as double, cast after)."""
     return _csv_round_trip(b, compress=False)
 
 

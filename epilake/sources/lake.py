@@ -40,8 +40,12 @@ CLIMATE_READ = T.StructType([
 ])
 
 
-def write_csv(df: DataFrame, path: str, compress: bool = False) -> str:
-    """Header, no index, overwrite; the writer creates the folder."""
+def write_csv(df: DataFrame, path: str, compress: bool = False, sort_cols: list[str] | None = None) -> str:
+    """Header, no index, overwrite; the writer creates the folder.
+    K3: rows of each output file in `sort_cols` order (sorted within partitions,
+    no shuffle)."""
+    if sort_cols:
+        df = df.sortWithinPartitions(*sort_cols)
     w = df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd")
     if compress:
         w = w.option("compression", "gzip")
