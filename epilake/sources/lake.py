@@ -25,6 +25,15 @@ GEOGRAPHY_READ = T.StructType([
     T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()),
     T.StructField("population_density", T.DoubleType()),
 ])
+# The reference's geography file layout (its CSV header order).
+REFERENCE_GEOGRAPHY_READ = T.StructType([
+    T.StructField("geography_id", T.StringType()), T.StructField("country_code", T.StringType()),
+    T.StructField("country_name", T.StringType()), T.StructField("region_name", T.StringType()),
+    T.StructField("district_name", T.StringType()), T.StructField("sub_district_name", T.StringType()),
+    T.StructField("population", T.DoubleType()), T.StructField("urban_rural", T.StringType()),
+    T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()),
+    T.StructField("population_density", T.DoubleType()),
+])
 CASE_READ = T.StructType([
     T.StructField("case_id", T.StringType()), T.StructField("report_date", T.DateType()),
     T.StructField("case_date", T.DateType()), T.StructField("facility_id", T.StringType()),
