@@ -53,7 +53,7 @@ def date_parts(b):
     txt = F.date_format("report_date", "yyyy-MM-dd")
     delay = F.datediff("report_date", "case_date")
     return c.select("case_id", "report_date", txt.alias("report_text"),
-                    F.to_date(txt, "yyyy-MM-dd").alias("parsed_date"),
+                    F.try_to_date(txt, "yyyy-MM-dd").alias("parsed_date"),
                     F.date_format("report_date", "yyyy-MM").alias("report_month"),
                     F.month("report_date").alias("month"), F.dayofmonth("report_date").alias("day_of_month"),
                     F.dayofyear("report_date").alias("day_of_year"), delay.alias("delay_days"),
@@ -98,6 +98,23 @@ def delay_histogram(b):
                     F.coalesce(F.col("delay_days") > X.MAX_REPORT_DELAY_DAYS, F.lit(False)).alias("is_late"))
 
 
+@query("delay_percentiles", """
+SELECT disease, count(*) AS n_reports, avg(datediff('day', case_date, report_date)) AS mean_delay,
+  quantile_cont(datediff('day', case_date, report_date), 0.5) AS p50_delay,
+  quantile_cont(datediff('day', case_date, report_date), 0.9) AS p90_delay,
+  avg(CAST(datediff('day', case_date, report_date) > 14 AS INTEGER)) AS share_late
+FROM v_case GROUP BY disease
+""")
+def delay_percentiles(b):
+    """Reporting-delay percentiles by disease (exact: the aggregate keeps a
+    count per distinct delay, a small domain, and merges partial counts map-side)."""
+    d = F.datediff("report_date", "case_date")
+    return b.case().groupBy("disease").agg(
+        F.count(F.lit(1)).alias("n_reports"), F.avg(d).alias("mean_delay"),
+        F.percentile(d, F.lit(0.5)).alias("p50_delay"), F.percentile(d, F.lit(0.9)).alias("p90_delay"),
+        F.avg((d > X.MAX_REPORT_DELAY_DAYS).cast("int")).alias("share_late"))
+
+
 CFR_SQL = S.values(X.CASE_FATALITY, ["disease", "configured_cfr"])
 
 
