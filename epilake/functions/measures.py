@@ -82,11 +82,18 @@ def outbreak_curve(age_days) -> Column:
     return F.exp(F.lit(-0.5) * F.pow(z, 2))
 
 
-def expected_cholera(pop, urban, age_days, intensity) -> Column:
-    """Inside an active outbreak; 0 outside (age or intensity null)."""
+def outbreak_curve_value(age_days: int) -> float:
+    """The curve for one integer age, in the C library's arithmetic."""
+    z = (age_days - X.OUTBREAK_PEAK_DAY) / float(X.OUTBREAK_WIDTH_DAYS)
+    return math.exp(-0.5 * z ** 2)
+
+
+def expected_cholera(pop, urban, curve, intensity) -> Column:
+    """Inside an active outbreak; 0 outside (curve or intensity null). `curve` is
+    the outbreak curve at the day's age (a column; see `outbreak_curve_table`)."""
     base = (F.when(_c(urban), F.lit(X.CHOLERA_OUTBREAK_BASE["urban"]))
             .otherwise(F.lit(X.CHOLERA_OUTBREAK_BASE["rural"])))
-    e = per_population(pop) * base * outbreak_curve(age_days) * _c(intensity)
+    e = per_population(pop) * base * _c(curve) * _c(intensity)
     return positive_or_zero(e)
 
 

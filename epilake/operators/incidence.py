@@ -46,7 +46,8 @@ def facility_days_outbreaks(b: Bindings) -> DataFrame:
     from epilake.operators.outbreaks import outbreak_day_columns, resolve_for_facility
     fac = active_facilities(b).select("facility_id", "geography_id", "population", "is_urban")
     gd = climate_features(b.climate()).join(outbreak_day_columns(b), ["geography_id", "obs_date"], "left")
-    return resolve_for_facility(fac.join(b.geo_day_side(gd), "geography_id", "inner"))
+    from epilake.operators.outbreaks import with_curve
+    return with_curve(resolve_for_facility(fac.join(b.geo_day_side(gd), "geography_id", "inner")))
 
 
 def expected_malaria(b: Bindings) -> DataFrame:

@@ -69,7 +69,7 @@ def _fdc(b):
 
 
 def _expected_cholera_col():
-    return M.expected_cholera("population", "is_urban", "age_days", "outbreak_intensity")
+    return M.expected_cholera("population", "is_urban", "outbreak_curve", "outbreak_intensity")
 
 
 @query("outbreak_triggers", TRIG + """
@@ -116,8 +116,8 @@ FROM ad WHERE outbreak_start IS NOT NULL
 """)
 def outbreak_curve(b):
     """Bell curve of outbreak intensity by age on active geography-days."""
-    ad = O.active_daily(b).filter(F.col("outbreak_start").isNotNull())
-    return ad.select("geography_id", "obs_date", "age_days", M.outbreak_curve("age_days").alias("curve"))
+    ad = O.with_curve(O.active_daily(b).filter(F.col("outbreak_start").isNotNull()))
+    return ad.select("geography_id", "obs_date", "age_days", F.col("outbreak_curve").alias("curve"))
 
 
 @query("active_outbreaks_asof", TRIG + """

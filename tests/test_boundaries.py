@@ -207,3 +207,11 @@ def test_cluster_settings_scale():
     big = cluster_settings(100 * 1024 ** 4)        # 100 TiB read
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
     assert big["spark.sql.files.maxPartitionBytes"] == "256m"
+
+
+def test_outbreak_curve_table_matches_formula(spark):
+    from epilake.operators.outbreaks import outbreak_curve_table
+    t = outbreak_curve_table(spark)
+    rows = t.select("age_days", "outbreak_curve", M.outbreak_curve("age_days").alias("f")).collect()
+    assert sorted(r.age_days for r in rows) == list(range(60))
+    assert all(abs(r.outbreak_curve - r.f) <= 1e-15 for r in rows)
