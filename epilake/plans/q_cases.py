@@ -182,9 +182,14 @@ FROM obs o FULL OUTER JOIN (SELECT facility_id, obs_date, disease, expected_case
 def excess_cases(b):
     """Observed - expected per facility, day and disease (full outer join);
     z = excess / sqrt(expected) under a Poisson count."""
+    return excess(b, expected_long(b))
+
+
+def excess(b, expected):
+    """M17 against a given expected-cases table (e.g. one already written)."""
     obs = b.case().groupBy("facility_id", F.col("report_date").alias("obs_date"), "disease") \
         .agg(F.sum("new_cases").alias("observed"))
-    exp = expected_long(b).select("facility_id", "obs_date", "disease", "expected_cases")
+    exp = expected.select("facility_id", "obs_date", "disease", "expected_cases")
     j = obs.join(exp, ["facility_id", "obs_date", "disease"], "full")
     excess = F.coalesce(F.col("observed"), F.lit(0)) - F.coalesce(F.col("expected_cases"), F.lit(0.0))
     return j.select("facility_id", "obs_date", "disease", "observed", "expected_cases", excess.alias("excess"),
