@@ -52,13 +52,15 @@ def stream_rain_21d(b):
     return ST.run_available(ST.rain_21d(ST.climate_stream(b)), b.spark, b.t.sf_dir, "rain_21d")
 
 
-@query("stream_outbreaks", TRIG + """
+@query("stream_outbreaks", TRIG + f"""
 SELECT t.geography_id, t.start_date AS trigger_date, min(p.start_date) AS earliest_active_start, count(*) AS n_active
 FROM trig t JOIN trig p ON p.geography_id = t.geography_id AND p.start_date BETWEEN t.start_date - 59 AND t.start_date
+WHERE t.start_date + 1 <= (SELECT max(report_date) FROM v_case) - {X.MAX_REPORT_DELAY_DAYS}
 GROUP BY t.geography_id, t.start_date
 """)
 def stream_outbreaks(b):
-    """T5: stateful outbreak tracker; per trigger day the earliest active start and the
-    number of active outbreaks (expiry 60 days from start)."""
+    """T5: stateful outbreak tracker in event time; per trigger day, once final under the
+    14-day watermark, the earliest active start and the number of active outbreaks
+    (expiry 60 days from start)."""
     out = ST.run_available(ST.outbreak_tracker(b, ST.case_stream(b)), b.spark, b.t.sf_dir, "outbreaks")
     return ST.tracker_as_dates(out)

@@ -119,35 +119,64 @@ TRACKER_OUT = T.StructType([
 ])
 
 
+MS_PER_DAY = 86_400_000
+
+
 class OutbreakTracker(StatefulProcessor):
-    """Per geography: the start days of outbreaks still active (age < 60 days,
-    counted from the start). Each new trigger day prunes the list, appends
-    itself and emits the earliest active start and the number active.
-    Rows are reduced to distinct days chunk by chunk, so a geography with
-    many reports holds only its days in memory. Triggers are expected in
-    event-time order per geography (older days than the state are ignored)."""
+    """Per geography, in event time: outbreaks start on trigger days and stay active
+    while their age (day - start) is under 60 days.
+
+    Trigger days are buffered in `pending` with a timer at the end of the day. When
+    the watermark (latest report - 14 days) passes a day, every report of it has
+    arrived, so due days are taken in day order: the active list (`starts`) is
+    pruned, the day appended, and (day, earliest active start, number active)
+    emitted. Reports arriving out of order within the watermark are therefore
+    handled exactly; rows are reduced chunk by chunk to distinct days, so a
+    geography with many reports holds only its days in state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.starts = handle.getListState("starts", T.StructType([T.StructField("day", T.IntegerType())]))
+        self.handle = handle
+        day = T.StructType([T.StructField("day", T.IntegerType())])
+        self.starts = handle.getListState("starts", day)
+        self.pending = handle.getListState("pending", day)
+
+    @staticmethod
+    def _days(state) -> list[int]:
+        return [int(r[0]) for r in state.get()] if state.exists() else []
 
     def handleInputRows(self, key, rows, timerValues):
         days: set[int] = set()
         for pdf in rows:
             days.update(int(d) for d in pdf["trigger_day"].unique())
-        active = [int(r[0]) for r in self.starts.get()] if self.starts.exists() else []
-        last = max(active) if active else None
+        done = self._days(self.starts)
+        last_done = max(done) if done else None
+        pending = set(self._days(self.pending))
+        new = sorted(d for d in days - pending if last_done is None or d > last_done)
+        for d in new:
+            self.handle.registerTimer((d + 1) * MS_PER_DAY)
+        if new:
+            self.pending.appendList([(d,) for d in new])
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        wm = timerValues.getCurrentWatermarkInMs()
+        pending = sorted(set(self._days(self.pending)))
+        due = [d for d in pending if (d + 1) * MS_PER_DAY <= wm]
+        if not due:
+            return iter([])
+        active = self._days(self.starts)
         out = []
-        for d in sorted(days):
-            if last is not None and d <= last:
-                continue
+        for d in due:
             active = [s for s in active if d - s < X.OUTBREAK_ACTIVE_DAYS]
             active.append(d)
-            last = d
             out.append((key[0], d, min(active), len(active)))
-        if active:
-            self.starts.put([(s,) for s in active])
-        if out:
-            yield pd.DataFrame(out, columns=["geography_id", "trigger_day", "earliest_day", "n_active"])
+        self.starts.put([(s,) for s in active])
+        rest = [d for d in pending if (d + 1) * MS_PER_DAY > wm]
+        if rest:
+            self.pending.put([(d,) for d in rest])
+        else:
+            self.pending.clear()
+        return iter([pd.DataFrame(out, columns=["geography_id", "trigger_day", "earliest_day", "n_active"])])
 
     def close(self) -> None:
         pass
@@ -162,7 +191,8 @@ def trigger_stream(b: Bindings, cases: DataFrame) -> DataFrame:
                           .select("geography_id", F.col("obs_date").alias("report_date")))
     t = (cases.filter((F.col("disease") == "Cholera") & (F.col("new_cases") > 0))
          .join(clim, ["geography_id", "report_date"], "inner"))
-    return t.select("geography_id", F.unix_date("report_date").alias("trigger_day"))
+    keep = ["event_ts"] if "event_ts" in cases.columns else []
+    return t.select("geography_id", F.unix_date("report_date").alias("trigger_day"), *keep)
 
 
 def outbreak_tracker(b: Bindings, cases: DataFrame) -> DataFrame:
@@ -170,9 +200,15 @@ def outbreak_tracker(b: Bindings, cases: DataFrame) -> DataFrame:
     spark = b.spark
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    trig = trigger_stream(b, cases)
-    return trig.groupBy("geography_id").transformWithStateInPandas(
-        statefulProcessor=OutbreakTracker(), outputStructType=TRACKER_OUT, outputMode="Append", timeMode="None")
+    trig = trigger_stream(b, with_event_time(cases).withWatermark("event_ts", DELAY))
+    return track(trig)
+
+
+def track(triggers: DataFrame) -> DataFrame:
+    """Run the tracker over (geography_id, trigger_day) rows of a watermarked stream."""
+    return triggers.groupBy("geography_id").transformWithStateInPandas(
+        statefulProcessor=OutbreakTracker(), outputStructType=TRACKER_OUT, outputMode="Append",
+        timeMode="EventTime")
 
 
 def tracker_as_dates(df: DataFrame) -> DataFrame:

@@ -28,28 +28,34 @@ def _run(df, base):
     return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def test_outbreak_tracker_state_across_batches(spark, tmp_path):
+def test_outbreak_tracker_event_time_out_of_order(spark, tmp_path):
+    """Batch 2 brings late trigger days (70..89, behind batch 1's latest day but inside
+    the 30-day watermark): they must be slotted in day order. Only days the final
+    watermark has passed are emitted."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
     rnd = random.Random(5)
     rows = [(g, d) for g in ["HOT", "A"] for d in range(0, 200) if rnd.random() < (0.3 if g == "HOT" else 0.1)]
     rows += [("HOT", 10)] * 5                      # repeated reports of one day
     df = pd.DataFrame(rows, columns=["geography_id", "trigger_day"]).astype({"trigger_day": "int32"})
+    late = (df.trigger_day >= 70) & (df.trigger_day < 90)
+    first, second = df[(df.trigger_day < 90) & ~late], df[(df.trigger_day >= 90) | late].iloc[::-1]
     src = str(tmp_path / "src")
-    _write_two_batches(src, df[df.trigger_day < 90], df[df.trigger_day >= 90])
+    _write_two_batches(src, first, second)
     schema = T.StructType([T.StructField("geography_id", T.StringType()),
                            T.StructField("trigger_day", T.IntegerType())])
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = stream.groupBy("geography_id").transformWithStateInPandas(
-        statefulProcessor=ST.OutbreakTracker(), outputStructType=ST.TRACKER_OUT,
-        outputMode="Append", timeMode="None")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+              .withColumn("event_ts", F.timestamp_seconds(F.col("trigger_day").cast("long") * 86400))
+              .withWatermark("event_ts", "30 days"))
     got = {(r.geography_id, r.trigger_day): (r.earliest_day, r.n_active)
-           for r in _run(out, str(tmp_path / "run")).collect()}
+           for r in _run(ST.track(stream), str(tmp_path / "run")).collect()}
+    final_wm_day = df.trigger_day.max() - 30
     want = {}
     for g in ["HOT", "A"]:
         days = sorted({d for gg, d in rows if gg == g})
         for d in days:
-            active = [s for s in days if 0 <= d - s < X.OUTBREAK_ACTIVE_DAYS]
-            want[(g, d)] = (min(active), len(active))
+            if d + 1 <= final_wm_day:
+                active = [s for s in days if 0 <= d - s < X.OUTBREAK_ACTIVE_DAYS]
+                want[(g, d)] = (min(active), len(active))
     assert got == want
 
 
