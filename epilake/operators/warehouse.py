@@ -71,18 +71,33 @@ def scd2_facilities(b: Bindings) -> DataFrame:
     return scd2(cur, incoming_facilities(b))
 
 
-def fact_surveillance(b: Bindings, expected_long: DataFrame) -> DataFrame:
+def fact_surveillance(b: Bindings, expected: DataFrame) -> DataFrame:
     """L4: one row per case report with facility, geography, same-day climate and the
-    expected count for that facility, day and disease."""
+    expected count for that facility, day and disease (null when not positive).
+
+    `expected` is either the wide facility-day table (one column per disease: joined
+    on facility and day, 3x fewer rows than the long form, and the report's disease
+    picks its column) or the long table (joined on facility, day and disease)."""
     c = b.case()
     f = b.facility().select("facility_id", "facility_type")
     g = b.geography_b().select("geography_id", "country_code", "region_name")
     cl = b.geo_day_side(with_daily_avg(b.climate()).select(
         "geography_id", F.col("obs_date").alias("report_date"), "rainfall_mm", "temperature_avg_c"))
-    e = expected_long.select("facility_id", F.col("obs_date").alias("report_date"), "disease", "expected_cases")
     j = (c.join(f, "facility_id", "left").join(g, "geography_id", "left")
-         .join(cl, ["geography_id", "report_date"], "left")
-         .join(e, ["facility_id", "report_date", "disease"], "left"))
+         .join(cl, ["geography_id", "report_date"], "left"))
+    if "disease" in expected.columns:
+        e = expected.select("facility_id", F.col("obs_date").alias("report_date"), "disease", "expected_cases")
+        j = j.join(e, ["facility_id", "report_date", "disease"], "left")
+    else:
+        diseases = [x for x in expected.columns if x not in ("facility_id", "geography_id", "obs_date")]
+        e = expected.select("facility_id", F.col("obs_date").alias("report_date"),
+                            *[F.col(x).alias(f"_e_{x}") for x in diseases])
+        pick = None
+        for x in diseases:
+            pick = (F.when(F.col("disease") == x, F.col(f"_e_{x}")) if pick is None
+                    else pick.when(F.col("disease") == x, F.col(f"_e_{x}")))
+        j = j.join(e, ["facility_id", "report_date"], "left").withColumn(
+            "expected_cases", F.when(pick > 0, pick))
     return j.select("case_id", "report_date", "facility_id", "facility_type", "geography_id", "country_code",
                     "region_name", "disease", "new_cases", "deaths", "rainfall_mm", "temperature_avg_c",
                     "expected_cases")

@@ -159,15 +159,21 @@ def expected_cases_long(b):
     return expected_long(b)
 
 
-def expected_long(b):
-    fdc = _fdc(b)
-    wide = fdc.select(
+DISEASE_COLS = ["Malaria", "Cholera", "Tuberculosis"]
+
+
+def expected_wide(b):
+    """Expected cases per facility-day, one column per disease (named as the disease)."""
+    return _fdc(b).select(
         "facility_id", "geography_id", "obs_date",
         M.expected_malaria("population", "is_urban", F.month("obs_date"), "history_days",
                            "rain_21d", "temperature_avg_c").alias("Malaria"),
         _expected_cholera_col().alias("Cholera"),
         M.expected_tb("population", "is_urban", F.month("obs_date")).alias("Tuberculosis"),
     )
-    long = wide.unpivot(["facility_id", "geography_id", "obs_date"],
-                        ["Malaria", "Cholera", "Tuberculosis"], "disease", "expected_cases")
+
+
+def expected_long(b):
+    long = expected_wide(b).unpivot(["facility_id", "geography_id", "obs_date"], DISEASE_COLS,
+                                    "disease", "expected_cases")
     return long.filter(F.col("expected_cases") > 0)

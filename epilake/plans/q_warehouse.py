@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from epilake.operators import warehouse as WH
 from epilake.plans.q_cases import EXL
-from epilake.plans.q_outbreaks import expected_long
+from epilake.plans.q_outbreaks import expected_wide
 from epilake.plans.registry import query
 
 _H = "md5(concat_ws('|', CAST(capacity AS VARCHAR), CAST(staff_count AS VARCHAR), operational_status, facility_type))"
@@ -51,7 +51,7 @@ LEFT JOIN exl e ON e.facility_id = c.facility_id AND e.obs_date = c.report_date
 """)
 def fact_surveillance(b):
     """L4: surveillance fact, one row per case report."""
-    return WH.fact_surveillance(b, expected_long(b))
+    return WH.fact_surveillance(b, expected_wide(b))
 
 
 @query("dim_facilities", """

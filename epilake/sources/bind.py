@@ -58,6 +58,11 @@ class Bindings:
             self._memo[name] = build()
         return self._memo[name]
 
+    def derived(self, name: str, build) -> DataFrame:
+        """A table derived from these inputs, written once per application to the
+        shared folder and read back (for small tables many queries share)."""
+        return self._get(name, lambda: materialized(self.spark, self.t.sf_dir, name, build))
+
     # ------------------------------------------------------------------ geography
     def geography(self) -> DataFrame:
         """Geography, written once per application (one row per nation row)."""

@@ -43,6 +43,9 @@ class FakeBindings:
     def geo_day_side(self, df: DataFrame) -> DataFrame:
         return df
 
+    def derived(self, name, build) -> DataFrame:
+        return build()
+
 
 @pytest.fixture
 def fake():
