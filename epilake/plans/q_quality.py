@@ -320,7 +320,21 @@ def clean_cases(b):
     return Q.clean_cases(b)
 
 
-@query("quarantined_cases")
+_REASONS = [
+    ("null_new_cases", "new_cases IS NULL"),
+    ("negative_count", "coalesce(new_cases < 0, false) OR coalesce(deaths < 0, false)"),
+    ("deaths_gt_cases", "coalesce(deaths > new_cases, false)"),
+    ("outcomes_gt_cases", "coalesce(deaths + recoveries > new_cases, false)"),
+    ("delay_out_of_range", f"coalesce(NOT ({DELAY} BETWEEN 0 AND {X.MAX_REPORT_DELAY_DAYS}), false)"),
+    ("bad_domain", f"NOT ({_in('disease', X.DISEASES)} AND {_in('age_group', X.AGE_GROUPS)} "
+                   f"AND {_in('gender', X.GENDERS)})"),
+]
+
+
+@query("quarantined_cases", f"""
+SELECT *, concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _REASONS)}) AS reasons
+FROM v_case WHERE {CASE_FLAGS}
+""")
 def quarantined_cases(b):
     """Q23 complement: case rows failing a row rule, with reasons."""
     return Q.quarantined_cases(b)
