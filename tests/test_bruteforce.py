@@ -107,3 +107,32 @@ def test_active_daily_counts_day_zero_for_all(spark, fake):
     b = fake(spark, geography=geo, climate=clim, case=case)
     r = O.active_daily(b).filter(F.col("obs_date") == D0).collect()[0]
     assert r.outbreak_start == D0 and r.age_days == 0
+
+
+def test_mutations_are_detected(spark, fake):
+    """SURVEY 5.5: shifting a window constant (21 -> 20 history days, 60 -> 61 active
+    days) must change results on a fixture built to expose it."""
+    rows = [("G", D0, 10.0), ("G", D0 + dt.timedelta(days=21), 0.0)]
+    clim = spark.createDataFrame(rows, "geography_id string, obs_date date, rainfall_mm double")
+    at21 = {r.obs_date: r.rain_21d for r in C.with_rain_history(clim).collect()}
+    at20 = {r.obs_date: r.rain_21d for r in C.with_rain_history(clim, days=20).collect()}
+    assert at21[D0 + dt.timedelta(days=21)] == 10.0 and at20[D0 + dt.timedelta(days=21)] is None
+
+    import epilake.operators.outbreaks as OB
+    geo = spark.createDataFrame([("G", 1.0, "Rural")], "geography_id string, population double, urban_rural string")
+    clim2 = spark.createDataFrame([("G", D0 + dt.timedelta(days=n), 100.0 if n == 0 else 0.0, 20.0, 25.0, 50.0)
+                                   for n in (0, 60)],
+                                  "geography_id string, obs_date date, rainfall_mm double, temperature_min_c double, "
+                                  "temperature_max_c double, humidity_pct double")
+    case = spark.createDataFrame([("F1", "G", D0, "Cholera", 1)],
+                                 "facility_id string, geography_id string, report_date date, disease string, "
+                                 "new_cases int")
+    b = fake(spark, geography=geo, climate=clim2, case=case)
+    day60 = D0 + dt.timedelta(days=60)
+    assert {r.obs_date: r.outbreak_start for r in OB.active_daily(b).collect()}[day60] is None
+    saved = OB.ACTIVE
+    try:
+        OB.ACTIVE = 61
+        assert {r.obs_date: r.outbreak_start for r in OB.active_daily(b).collect()}[day60] == D0
+    finally:
+        OB.ACTIVE = saved
