@@ -105,7 +105,5 @@ AGE_WEIGHTS = {
 }
 GENDERS = ["M", "F"]
 MALE_SHARE = 0.47
-STILL_SICK_SHARE = (0.1, 0.3)
 MAX_REPORT_DELAY_DAYS = 14
 URBAN_RURAL = ["Urban", "Rural"]
-URBAN_SHARE = {"first_region": 0.3, "other_region": 0.15}

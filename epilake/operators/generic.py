@@ -18,10 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cols(cs) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cs]
-
-
 # ---------------------------------------------------------------- date spine
 def date_spine(start: Column, end: Column, name: str = "date") -> Column:
     """Generator column: every day from start to end inclusive (empty if end < start)."""

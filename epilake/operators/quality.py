@@ -30,8 +30,6 @@ from epilake.operators.generic import first_per_key, missing_days
 from epilake.operators.joins import constant_dim
 from epilake.sources.bind import Bindings
 
-VIOLATION_COLS = ["table_name", "rule", "record_key", "column_name", "value", "value_text"]
-
 # plausible band for a daily temperature, degrees C
 TEMP_PLAUSIBLE = (-30.0, 60.0)
 # tolerance for values the generator rounded (1 decimal)

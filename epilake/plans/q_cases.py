@@ -269,14 +269,34 @@ def gender_share(b):
                                                 "configured_share")
 
 
-@query("urban_share", """
+_P_FIRST = round(X.URBAN_PROB_FIRST_REGION * 100)
+_P_OTHER = round(X.URBAN_PROB_OTHER_REGION * 100)
+
+
+@query("urban_share", f"""
+, fr AS (SELECT country_code, min(region_name) AS first_region FROM v_geography GROUP BY country_code)
+, pc AS (SELECT g.country_code, sum(CASE WHEN g.region_name = fr.first_region THEN {_P_FIRST} ELSE {_P_OTHER} END)
+           / (count(*) * 100e0) AS p_urban
+         FROM v_geography g JOIN fr ON g.country_code = fr.country_code GROUP BY g.country_code)
 , u AS (SELECT country_code, urban_rural, count(*) AS n FROM v_geography GROUP BY ALL)
-SELECT country_code, urban_rural, n, n / sum(n) OVER (PARTITION BY country_code) AS share FROM u
+SELECT u.country_code, urban_rural, n, n / sum(n) OVER (PARTITION BY u.country_code) AS share,
+  CASE WHEN urban_rural = 'Urban' THEN p_urban WHEN urban_rural = 'Rural' THEN 1 - p_urban END AS configured_share
+FROM u JOIN pc ON u.country_code = pc.country_code
 """)
 def urban_share(b):
-    """urban/rural share of geographies by country."""
-    u = b.geography().groupBy("country_code", "urban_rural").agg(F.count(F.lit(1)).alias("n"))
-    return share_within(u, ["country_code"], "n", "share").select("country_code", "urban_rural", "n", "share")
+    """urban/rural share of geographies by country beside the configured share:
+    the generator's urban probability, 0.3 in a country's first region (name order)
+    and 0.15 elsewhere, averaged over the country's geographies."""
+    g = b.geography()
+    first = g.groupBy("country_code").agg(F.min("region_name").alias("first_region"))
+    pct = F.when(F.col("region_name") == F.col("first_region"), F.lit(_P_FIRST)).otherwise(F.lit(_P_OTHER))
+    conf = (g.join(first, "country_code", "inner").groupBy("country_code")
+            .agg((F.sum(pct) / (F.count(F.lit(1)) * F.lit(100.0))).alias("p_urban")))
+    u = g.groupBy("country_code", "urban_rural").agg(F.count(F.lit(1)).alias("n"))
+    u = share_within(u, ["country_code"], "n", "share").join(conf, "country_code", "inner")
+    return u.select("country_code", "urban_rural", "n", "share",
+                    F.when(F.col("urban_rural") == "Urban", F.col("p_urban"))
+                    .when(F.col("urban_rural") == "Rural", F.lit(1) - F.col("p_urban")).alias("configured_share"))
 
 
 @query("rain_climatology", REGIME + """

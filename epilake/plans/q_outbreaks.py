@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from epilake import fixed as X
 from epilake.functions import measures as M
 from epilake.operators import incidence as I
 from epilake.operators import outbreaks as O
@@ -133,12 +134,12 @@ def active_outbreaks_asof(b):
 
 @query("cholera_rain_alert", AD + """
 SELECT geography_id, obs_date, rainfall_mm FROM ad
-WHERE outbreak_start IS NULL AND rainfall_mm > 50
+WHERE outbreak_start IS NULL AND rainfall_mm > """ + str(X.CHOLERA_ALERT_RAIN) + """
 """)
 def cholera_rain_alert(b):
     """M7: geography-days with no active outbreak and rain > 50 mm."""
     ad = O.active_daily(b)
-    return ad.filter(F.col("outbreak_start").isNull() & (F.col("rainfall_mm") > 50)) \
+    return ad.filter(F.col("outbreak_start").isNull() & (F.col("rainfall_mm") > X.CHOLERA_ALERT_RAIN)) \
         .select("geography_id", "obs_date", "rainfall_mm")
 
 

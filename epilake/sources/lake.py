@@ -17,14 +17,6 @@ from epilake.session import work_path
 
 # Read schemas: counts that the reference writes as floats (NaN made them
 # float) are read as DOUBLE and cast after reading.
-GEOGRAPHY_READ = T.StructType([
-    T.StructField("geography_id", T.StringType()), T.StructField("n_nationkey", T.IntegerType()),
-    T.StructField("country_code", T.StringType()), T.StructField("country_name", T.StringType()),
-    T.StructField("region_name", T.StringType()), T.StructField("district_name", T.StringType()),
-    T.StructField("population", T.DoubleType()), T.StructField("urban_rural", T.StringType()),
-    T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()),
-    T.StructField("population_density", T.DoubleType()),
-])
 # The reference's geography file layout (its CSV header order).
 REFERENCE_GEOGRAPHY_READ = T.StructType([
     T.StructField("geography_id", T.StringType()), T.StructField("country_code", T.StringType()),
@@ -42,13 +34,6 @@ CASE_READ = T.StructType([
     T.StructField("recoveries", T.IntegerType()), T.StructField("age_group", T.StringType()),
     T.StructField("gender", T.StringType()),
 ])
-CLIMATE_READ = T.StructType([
-    T.StructField("obs_date", T.DateType()), T.StructField("geography_id", T.StringType()),
-    T.StructField("temperature_min_c", T.DoubleType()), T.StructField("temperature_max_c", T.DoubleType()),
-    T.StructField("rainfall_mm", T.DoubleType()), T.StructField("humidity_pct", T.DoubleType()),
-])
-
-
 def write_csv(df: DataFrame, path: str, compress: bool = False, sort_cols: list[str] | None = None) -> str:
     """Header, no index, overwrite; the writer creates the folder.
     K3: rows of each output file in `sort_cols` order (sorted within partitions,
