@@ -201,6 +201,10 @@ def outbreak_tracker(b: Bindings, cases: DataFrame) -> DataFrame:
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     trig = trigger_stream(b, with_event_time(cases).withWatermark("event_ts", DELAY))
+    # one row per geography-day before the per-geography state: the dedupe state is
+    # keyed by (geography, day), so a geography with many reports is spread over tasks
+    # and only its distinct days reach the tracker
+    trig = trig.dropDuplicatesWithinWatermark(["geography_id", "trigger_day"])
     return track(trig)
 
 
