@@ -8,7 +8,7 @@ recomputing the customer aggregate, the supplier join and the orders x
 customer aggregate. Cases (lineitem-sized) stay a lazy view.
 The mapping has no health meaning; it gives deterministic inputs with
 nulls, duplicates and out-of-range values planted by key arithmetic.
-The same definitions are written as SQL in `epilake.plans.oracle`.
+The same definitions are written as SQL in `epilake.plans.oracle_views`.
 
 Scale: geography has one row per nation row (checked bound, broadcast);
 facility grows with supplier, climate with distinct (day, geography),
