@@ -40,10 +40,19 @@ def _canon(cols, rows):
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+# DuckDB result types as the Spark type each query must produce
+DUCK_TO_SPARK = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
+                 "DATE": "date", "BOOLEAN": "boolean"}
+
+
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_matches_oracle(spark, duck, key):
     df = QUERIES[key](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(ORACLES[key])
+    stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    dtypes = {n: DUCK_TO_SPARK.get(str(t), str(t)) for n, t in zip(rel.columns, rel.types)}
+    assert stypes == dtypes
     cur = duck.execute(ORACLES[key])
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
