@@ -7,6 +7,8 @@ lossless.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from epilake.plans.batch_job import build_surveillance
@@ -17,10 +19,15 @@ from epilake.sources import lake as L
 CASE_SQL = "SELECT * FROM v_case"
 
 
+def _run_id() -> str:
+    """Each call writes its own folder, so a DataFrame returned earlier keeps its files."""
+    return uuid.uuid4().hex[:12]
+
+
 def _csv_round_trip(b, compress: bool):
     spark = b.spark
     name = "csv_gz" if compress else "csv"
-    base = L.tagged_path(spark, b.t.sf_dir, name)
+    base = L.tagged_path(spark, b.t.sf_dir, name, _run_id())
     L.write_csv(b.geography(), f"{base}/geography", compress)
     L.write_csv(b.facility(), f"{base}/facility", compress)
     L.write_csv(b.climate(), f"{base}/climate", compress, sort_cols=["geography_id", "obs_date"])
@@ -53,7 +60,7 @@ def lake_cases(b):
     spark = b.spark
     df = (b.case().join(b.geography_b().select("geography_id", "region_name"), "geography_id", "left")
           .withColumn("report_month", F.date_format("report_date", "yyyy-MM")))
-    path = L.tagged_path(spark, b.t.sf_dir, "lake", "cases")
+    path = L.tagged_path(spark, b.t.sf_dir, "lake", "cases", _run_id())
     L.write_partitioned(df.select(*b.case().columns, "report_month", "region_name"), path,
                         ["report_month", "region_name"])
     back = spark.read.schema(df.select(*b.case().columns, "report_month", "region_name").schema).parquet(path)
@@ -67,7 +74,7 @@ def lake_climate(b):
     """L2: climate partitioned by month, read back."""
     spark = b.spark
     df = b.climate().withColumn("obs_month", F.date_format("obs_date", "yyyy-MM"))
-    path = L.tagged_path(spark, b.t.sf_dir, "lake", "climate")
+    path = L.tagged_path(spark, b.t.sf_dir, "lake", "climate", _run_id())
     L.write_partitioned(df, path, ["obs_month"])
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,5 +84,5 @@ def surveillance_batch(b):
     """Run the batch job (quality, quarantine, measures, partitioned writes) and
     return its data-quality report as written."""
     spark = b.spark
-    out = build_surveillance(spark, b.t.sf_dir, L.tagged_path(spark, b.t.sf_dir, "surveillance"))
+    out = build_surveillance(spark, b.t.sf_dir, L.tagged_path(spark, b.t.sf_dir, "surveillance", _run_id()))
     return spark.read.parquet(out["dq_report"])
