@@ -164,9 +164,13 @@ def lead_features(b: Bindings) -> DataFrame:
 def bed_pressure(b: Bindings, days: int = X.MAX_REPORT_DELAY_DAYS) -> DataFrame:
     """Patients still sick (M18) in the last `days` report days per district over
     operational beds, ranked (district table is bounded by geography)."""
-    c = b.case()
-    last = c.select(F.max("report_date")).scalar()
-    recent = c.filter(F.col("report_date") > F.date_sub(last, days))
+    # the last report day as a value (one narrow scan), so the recent-days bound is a
+    # literal that reaches the lineitem scan as a pushed filter
+    last = b.case().agg(F.max("report_date")).first()[0]
+    if last is None:
+        recent = b.case().filter(F.lit(False))
+    else:
+        recent = b.case_reported_since(last - _dt.timedelta(days=days - 1))
     fac = b.facility().select("facility_id", "district_name", "capacity", "operational_status")
     sick = (recent.join(fac.select("facility_id", "district_name"), "facility_id", "inner")
             .groupBy("district_name")

@@ -193,6 +193,13 @@ class Bindings:
     def _case(self) -> DataFrame:
         return self.case_from(self.t("lineitem").select(*self.LINEITEM_COLS))
 
+    def case_reported_since(self, first_day) -> DataFrame:
+        """Cases with report_date >= `first_day` (a date value). The bound is put on
+        `l_shipdate` itself, so Parquet skips row groups outside the range."""
+        li = (self.t("lineitem").select(*self.LINEITEM_COLS)
+              .filter(F.col("l_shipdate") >= F.lit(first_day).cast("timestamp_ntz")))
+        return self.case_from(li)
+
     def case_from(self, li: DataFrame) -> DataFrame:
         """Case rows from lineitem rows (batch or stream; facility is static)."""
         f = self.facility().select("s_suppkey", "facility_id", "geography_id")
