@@ -44,3 +44,8 @@ def test_flagship_does_not_shuffle_facilities(spark):
 def test_quality_report_reads_cases_at_most_three_times(spark):
     p = plan(spark, "dq_report")
     assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*lineitem\.parquet\]", p)) <= 3
+
+
+def test_recent_days_bound_reaches_the_lineitem_scan(spark):
+    p = plan(spark, "bed_pressure")
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate,", p)
