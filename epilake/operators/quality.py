@@ -27,7 +27,7 @@ from epilake import fixed as X
 from epilake.operators import facilities as FA
 from epilake.operators.climate import with_regime
 from epilake.operators.generic import first_per_key, missing_days
-from epilake.operators.joins import constant_dim
+from epilake.operators.joins import bounded_broadcast, constant_dim
 from epilake.sources.bind import Bindings
 
 # plausible band for a daily temperature, degrees C
@@ -112,10 +112,27 @@ def case_rules() -> dict[str, list[Rule]]:
     }
 
 
-def case_violations(b: Bindings, groups=None) -> DataFrame:
+# facility rows under which the facility key list is broadcast into the case pass
+FACILITY_BROADCAST_ROWS = 5_000_000
+
+
+def case_violations(b: Bindings, groups=None, with_orphans: bool = False) -> DataFrame:
+    """Case row rules in one pass. With `with_orphans`, the pass also flags cases whose
+    facility is missing (J10): a left join to the facility keys (broadcast when the
+    written facility table proves small) replaces a separate scan and anti join."""
     r = case_rules()
     rules = [x for g in (groups or r) for x in r[g]]
-    return emit(b.case(), "case", F.col("case_id"), rules)
+    frame = b.case()
+    if with_orphans:
+        # distinct keys: a duplicated facility id must not multiply case rows
+        keys = bounded_broadcast(b.facility().select("facility_id").distinct()
+                                 .withColumn("_has_facility", F.lit(True)),
+                                 bound_by=b.facility(), max_rows=FACILITY_BROADCAST_ROWS,
+                                 cache_key=f"facility:{b.t.sf_dir}")
+        frame = frame.join(keys, "facility_id", "left")
+        rules = rules + [Rule("orphan_facility", "facility_id", F.col("_has_facility").isNull(), None,
+                              F.col("facility_id"))]
+    return emit(frame, "case", F.col("case_id"), rules)
 
 
 def negative_cases(cases: DataFrame) -> DataFrame:
@@ -368,25 +385,27 @@ def null_rates(b: Bindings) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def orphans(b: Bindings) -> DataFrame:
+def orphans(b: Bindings, include_cases: bool = True) -> DataFrame:
     """Foreign keys without a parent row (left anti joins)."""
     geo = b.geography_b().select("geography_id")
     fac = b.facility()
     f_orph = fac.join(geo, "geography_id", "left_anti")
-    c_orph = b.case().join(fac.select("facility_id"), "facility_id", "left_anti")
     cl_orph = b.climate().join(geo, "geography_id", "left_anti")
-    return (_viol(f_orph, "facility", "orphan_geography", F.col("facility_id"), "geography_id", None,
-                  F.col("geography_id"))
-            .unionByName(_viol(c_orph, "case", "orphan_facility", F.col("case_id"), "facility_id", None,
-                               F.col("facility_id")))
-            .unionByName(_viol(cl_orph, "climate", "orphan_geography", climate_key(), "geography_id", None,
-                               F.col("geography_id"))))
+    out = (_viol(f_orph, "facility", "orphan_geography", F.col("facility_id"), "geography_id", None,
+                 F.col("geography_id"))
+           .unionByName(_viol(cl_orph, "climate", "orphan_geography", climate_key(), "geography_id", None,
+                              F.col("geography_id"))))
+    if include_cases:
+        c_orph = b.case().join(fac.select("facility_id"), "facility_id", "left_anti")
+        out = out.unionByName(_viol(c_orph, "case", "orphan_facility", F.col("case_id"), "facility_id", None,
+                                    F.col("facility_id")))
+    return out
 
 
 def all_violations(b: Bindings) -> DataFrame:
     """Q22 input: every rule's violation rows; each table is read once for its row rules."""
-    parts = [case_violations(b), climate_violations(b), facility_violations(b), geography_violations(b),
-             duplicate_keys(b), orphans(b)]
+    parts = [case_violations(b, with_orphans=True), climate_violations(b), facility_violations(b),
+             geography_violations(b), duplicate_keys(b), orphans(b, include_cases=False)]
     return reduce(DataFrame.unionByName, parts)
 
 

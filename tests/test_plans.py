@@ -41,9 +41,9 @@ def test_flagship_does_not_shuffle_facilities(spark):
     assert fac_scan and "EqualTo(operational_status,Operational)" in fac_scan[0]
 
 
-def test_quality_report_reads_cases_at_most_three_times(spark):
+def test_quality_report_reads_cases_at_most_twice(spark):
     p = plan(spark, "dq_report")
-    assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*lineitem\.parquet\]", p)) <= 3
+    assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*lineitem\.parquet\]", p)) <= 2
 
 
 def test_recent_days_bound_reaches_the_lineitem_scan(spark):
