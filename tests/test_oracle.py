@@ -61,9 +61,10 @@ def test_matches_oracle(spark, duck, key):
     assert _canon(df.columns, srows) == _canon(dcols, drows)
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs_without_oracle(spark, key):
-    assert QUERIES[key](spark, SF_SMALL).count() >= 0
+def test_queries_without_oracle_run(spark):
+    """Queries that SQL cannot state (none at present) must at least run."""
+    for key in sorted(set(QUERIES) - set(ORACLES)):
+        assert QUERIES[key](spark, SF_SMALL).count() >= 0
 
 
 def test_entry_smoke(spark):
