@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from epilake.llm.mixing import OP5_SQL, op5_mix_sources
+from epilake.llm.near_dup import op10_minhash
 from epilake.llm.simhash import op2_simhash
 from epilake.llm.tokens import op1_token_orc
 from epilake.llm.warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {q.__name__: q for q in (
-    op1_token_orc, op2_simhash, op3_warc_revisits, op5_mix_sources,
+    op1_token_orc, op2_simhash, op3_warc_revisits, op5_mix_sources, op10_minhash,
 )}
 ORACLES = {"op3_warc_revisits": OP3_SQL, "op5_mix_sources": OP5_SQL}
