@@ -120,10 +120,21 @@ def _blocks(texts: list[bytes], sep: np.ndarray) -> Iterator[tuple[bytes, np.nda
         yield flush()
 
 
-def words(texts: list[bytes], sep: np.ndarray = SPACE, fold: bool = True,
+def _fold_latin(b: np.ndarray) -> np.ndarray:
+    """Capital letters of Latin-1 (bytes C3 80 to C3 9E, but for the multiplication sign) in lower case."""
+    capital = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
+    out = b.copy()
+    out[1:][capital] += 0x20
+    return out
+
+
+def words(texts: list[bytes], sep: np.ndarray = SPACE, fold: bool = True, latin: bool = False,
           also: Callable | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Hashes of the words of all texts in order, the number of words of each text, and
-    what `also(bytes as uint8, starts, ends, hash)` gives for the words of each block."""
+    what `also(bytes as uint8, starts, ends, hash)` gives for the words of each block.
+
+    fold: A-Z as a-z; latin: the same for the other letters of Latin-1.
+    """
     table = _FOLD if fold else _TABLE
     counts = np.zeros(len(texts), np.int64)
     hashes, more = [], []
@@ -134,7 +145,7 @@ def words(texts: list[bytes], sep: np.ndarray = SPACE, fold: bool = True,
         with np.errstate(over="ignore"):
             sums = np.empty(len(b) + 1, np.uint64)
             sums[0] = 0
-            np.cumsum(table[b] * _powers(_BASE, len(b))[:len(b)], out=sums[1:])
+            np.cumsum(table[_fold_latin(b) if latin else b] * _powers(_BASE, len(b))[:len(b)], out=sums[1:])
 
             def span(s, e, sums=sums):
                 return mix((sums[e] - sums[s]) * _powers(_INVERSE, len(sums))[s] + (e - s).astype(np.uint64))
