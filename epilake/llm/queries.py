@@ -6,11 +6,14 @@ from epilake.llm.decontaminate import op7_decontaminate
 from epilake.llm.lang_id import op4_lang_id
 from epilake.llm.mixing import OP5_SQL, op5_mix_sources
 from epilake.llm.near_dup import op10_minhash
+from epilake.llm.quality import op6_importance_resampling
 from epilake.llm.simhash import op2_simhash
 from epilake.llm.tokens import op1_token_orc
+from epilake.llm.toxicity import op8_toxicity
 from epilake.llm.warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {q.__name__: q for q in (
-    op1_token_orc, op2_simhash, op3_warc_revisits, op4_lang_id, op5_mix_sources, op7_decontaminate, op10_minhash,
+    op1_token_orc, op2_simhash, op3_warc_revisits, op4_lang_id, op5_mix_sources, op6_importance_resampling, op7_decontaminate,
+    op8_toxicity, op10_minhash,
 )}
 ORACLES = {"op3_warc_revisits": OP3_SQL, "op5_mix_sources": OP5_SQL}

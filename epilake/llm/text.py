@@ -30,6 +30,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Everything but ASCII letters and digits and bytes of longer characters.
 PUNCT = np.ones(256, bool)
 PUNCT[48:58] = PUNCT[65:91] = PUNCT[97:123] = PUNCT[128:] = False
+#: Classes of bytes: runs of letters and digits, and runs of punctuation, are tokens of their own.
+TOKENS = np.where(SPACE, 0, np.where(PUNCT, 2, 1)).astype(np.uint8)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -133,15 +135,21 @@ def words(texts: list[bytes], sep: np.ndarray = SPACE, fold: bool = True, latin:
     """Hashes of the words of all texts in order, the number of words of each text, and
     what `also(bytes as uint8, starts, ends, hash)` gives for the words of each block.
 
+    sep: separators, or classes of bytes of which 0 separates and a change of class ends a word.
     fold: A-Z as a-z; latin: the same for the other letters of Latin-1.
     """
     table = _FOLD if fold else _TABLE
+    classes = np.where(sep, 0, 1).astype(np.uint8) if sep.dtype == bool else sep
+    sep = classes == 0
     counts = np.zeros(len(texts), np.int64)
     hashes, more = [], []
     for block, at, owner in _blocks(texts, sep):
         b = np.frombuffer(block, np.uint8)
-        edge = np.diff(sep[b].view(np.int8), prepend=np.int8(1))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        kind = classes[b]
+        edge = np.flatnonzero(np.append(kind[:1] != 0, kind[1:] != kind[:-1]))
+        starts = edge[kind[edge] != 0]
+        ends = edge[edge > 0]
+        ends = ends[kind[ends - 1] != 0]  # a block ends with a separator
         with np.errstate(over="ignore"):
             sums = np.empty(len(b) + 1, np.uint64)
             sums[0] = 0
