@@ -417,21 +417,38 @@ def report(b: Bindings) -> DataFrame:
 
 
 def clean_cases(b: Bindings) -> DataFrame:
-    """Q23: first row per case id (duplicate keys resolved), rows failing any row
-    rule removed. Row rules are filters, so no join is needed."""
-    f = case_row_flags(b.case())
-    bad = reduce(lambda a, c: a | c, f.values())
-    first = first_per_key(b.case(), ["case_id"], ["report_date", "facility_id", "disease"])
-    return first.filter(~bad)
+    """Q23: rows failing any row rule removed, then the first good row per case id.
+    A bad copy never hides a good one."""
+    return first_per_key(_split_cases(b)[0], ["case_id"], CASE_ORDER)
 
 
-def quarantined_cases(b: Bindings) -> DataFrame:
-    """Q23 complement: rows failing a row rule, with the rules they fail."""
+CASE_ORDER = ["report_date", "facility_id", "disease"]
+
+
+def _split_cases(b: Bindings) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and bad rows with the rules they fail."""
     cases = b.case()
     f = case_row_flags(cases)
     bad = reduce(lambda a, c: a | c, f.values())
     reasons = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in f.items()]))
-    return cases.filter(bad).withColumn("reasons", F.array_join(reasons, ","))
+    return cases.filter(~bad), cases.filter(bad).withColumn("reasons", F.array_join(reasons, ","))
+
+
+def quarantined_cases(b: Bindings) -> DataFrame:
+    """Q23 complement: rows failing a row rule, with the rules they fail, and the good
+    rows that are not the first of their case id, as `duplicate_key`.
+
+    Surplus copies come from counts of equal rows (combined map-side), not from a
+    window, so a case id with very many copies is not sorted in one task.
+    """
+    good, bad = _split_cases(b)
+    cols = good.columns
+    first = first_per_key(good, ["case_id"], CASE_ORDER).select("case_id", F.struct(*cols).alias("_first"))
+    copies = good.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).join(first, "case_id")
+    surplus = F.col("_n") - F.when(F.struct(*cols).eqNullSafe(F.col("_first")), 1).otherwise(0)
+    copies = copies.select(*cols, surplus.cast("int").alias("_n")).filter("_n > 0")
+    copies = copies.select(*cols, F.explode(F.array_repeat(F.lit("duplicate_key"), F.col("_n"))).alias("reasons"))
+    return bad.unionByName(copies)
 
 
 def facilities_with_climate(b: Bindings) -> DataFrame:

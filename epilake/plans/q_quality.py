@@ -305,18 +305,20 @@ def dq_report(b):
     return Q.report(b)
 
 
-@query("clean_cases", f"""
-, firsts AS (
-  SELECT * EXCLUDE (rn) FROM (
+# good rows, numbered within a case id
+RANKED = f"""
     SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY report_date NULLS FIRST, facility_id NULLS FIRST,
       disease NULLS FIRST, case_date NULLS FIRST, geography_id NULLS FIRST, new_cases NULLS FIRST,
       deaths NULLS FIRST, recoveries NULLS FIRST, age_group NULLS FIRST, gender NULLS FIRST) AS rn
-    FROM v_case) WHERE rn = 1
-)
-SELECT * FROM firsts WHERE NOT {CASE_FLAGS}
+    FROM v_case WHERE NOT {CASE_FLAGS}"""
+
+
+@query("clean_cases", """
+, ranked AS (""" + RANKED + """)
+SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1
 """)
 def clean_cases(b):
-    """Q23: clean case table (first row per case id, no row-rule violation)."""
+    """Q23: clean case table (first good row per case id)."""
     return Q.clean_cases(b)
 
 
@@ -334,9 +336,10 @@ _REASONS = [
 @query("quarantined_cases", f"""
 SELECT *, concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _REASONS)}) AS reasons
 FROM v_case WHERE {CASE_FLAGS}
+UNION ALL SELECT * EXCLUDE (rn), 'duplicate_key' FROM ({RANKED}) WHERE rn > 1
 """)
 def quarantined_cases(b):
-    """Q23 complement: case rows failing a row rule, with reasons."""
+    """Q23 complement: case rows failing a row rule, and surplus copies, with reasons."""
     return Q.quarantined_cases(b)
 
 

@@ -25,14 +25,29 @@ def test_type_shares_sum_to_one(spark):
     assert s.filter(F.abs(F.col("s") - 1) > 1e-9).count() == 0
 
 
-def test_quarantine_and_clean_partition_first_rows(spark):
+def test_every_case_row_is_clean_or_quarantined(spark):
     b = Bindings(spark, SF_SMALL)
-    firsts = Q.first_per_key(b.case(), ["case_id"], ["report_date", "facility_id", "disease"])
-    clean = Q.clean_cases(b)
-    flags = Q.case_row_flags(firsts)
-    any_bad = None
-    for c in flags.values():
-        any_bad = c if any_bad is None else any_bad | c
-    bad = firsts.filter(any_bad)
-    assert clean.count() + bad.count() == firsts.count()
-    assert clean.join(bad, list(clean.columns), "inner").count() == 0
+    cases, clean, held = b.case(), Q.clean_cases(b), Q.quarantined_cases(b)
+    assert clean.count() + held.count() == cases.count()
+    assert clean.unionByName(held.select(*cases.columns)).exceptAll(cases).count() == 0
+    assert clean.count() == clean.select("case_id").distinct().count()
+    bad = None
+    for c in Q.case_row_flags(cases).values():
+        bad = c if bad is None else bad | c
+    # no case id with a good row is missing
+    assert cases.filter(~bad).select("case_id").distinct().count() == clean.count()
+
+
+def test_bad_and_repeated_copies(spark, fake):
+    """A bad copy that sorts first hides no good row; equal good copies are quarantined but one."""
+    good = ("C1", "2020-01-05", "2020-01-03", "F", "G", "Malaria", 4, 0, 1, "0-5", "M")
+    late = ("C1", "2020-01-06", "2020-01-03", "F", "G", "Malaria", 4, 0, 1, "0-5", "M")
+    wrong = ("C1", "2020-01-04", "2020-01-03", "F", "G", "Malaria", -4, 0, 1, "0-5", "M")
+    schema = ("case_id string, report_date string, case_date string, facility_id string, geography_id string, disease string, "
+              "new_cases int, deaths int, recoveries int, age_group string, gender string")
+    df = spark.createDataFrame([good, good, good, late, wrong], schema)
+    df = df.withColumns({c: F.to_date(c) for c in ("report_date", "case_date")})
+    b = fake(spark, case=df)
+    assert [r.report_date.day for r in Q.clean_cases(b).collect()] == [5]
+    held = sorted((r.report_date.day, "duplicate_key" in r.reasons) for r in Q.quarantined_cases(b).collect())
+    assert held == [(4, False), (5, True), (5, True), (6, True)]
