@@ -91,10 +91,31 @@ def expected_by_type(geography: DataFrame, total: int = X.DEFAULT_TOTAL_FACILITI
             .withColumn("expected_facilities", F.col("n_facilities") * F.col("type_share")))
 
 
+def region_dim(spark) -> DataFrame:
+    """(country_code, region_name, position from 1, number of regions) as configured."""
+    rows = [(c, name, i + 1, len(names)) for c, names in X.REGIONS.items() for i, name in enumerate(names)]
+    return constant_dim(literal_table(spark, "regions", rows,
+                                      "country_code string, region_name string, region_pos int, n_of_country int"))
+
+
+def with_region_order(regions: DataFrame) -> DataFrame:
+    """Adds region_idx (the configured position; others follow in name order) and n_configured
+    (null for a country that is not configured) to distinct (country_code, region_name) rows."""
+    dim = region_dim(regions.sparkSession)
+    sizes = constant_dim(dim.groupBy("country_code").agg(F.max("n_of_country").alias("n_configured")))
+    r = regions.join(dim.select("country_code", "region_name", "region_pos"), ["country_code", "region_name"], "left")
+    r = r.join(sizes, "country_code", "left")
+    # one row per region of a country: a bounded window
+    other = F.row_number().over(Window.partitionBy("country_code", F.col("region_pos").isNull()).orderBy("region_name"))
+    idx = F.coalesce("region_pos", F.coalesce("n_configured", F.lit(0)) + other)
+    return r.withColumn("region_idx", idx.cast("int")).drop("region_pos")
+
+
 def district_quota(geography: DataFrame, n: int = X.DEFAULT_TOTAL_DISTRICTS) -> DataFrame:
     """Per country c = int(n * share); per region max(1, c div regions); the
-    first region (in name order) gets int(c * 0.4). Countries and regions come from
-    the geography table; countries without a configured share get share 0."""
+    first region gets int(c * 0.4). Regions have their configured order and number;
+    regions and countries that are not configured follow in name order, countries
+    without a configured share get share 0."""
     spark = geography.sparkSession
     regions = geography.select("country_code", "region_name").distinct()
     shares = constant_dim(country_dim(spark).select("country_code", "district_share"))
@@ -103,10 +124,10 @@ def district_quota(geography: DataFrame, n: int = X.DEFAULT_TOTAL_DISTRICTS) ->
     r = r.join(n_reg, "country_code", "inner")
     c = (F.lit(n) * F.coalesce(F.col("district_share"), F.lit(0.0))).cast("int")
     r = r.withColumn("country_districts", c)
-    idx = F.row_number().over(Window.partitionBy("country_code").orderBy("region_name"))
+    r = with_region_order(r)
     return r.select(
-        "country_code", "region_name", "n_regions", "country_districts",
-        idx.alias("region_idx"),
+        "country_code", "region_name", F.coalesce("n_configured", "n_regions").cast("long").alias("n_regions"),
+        "country_districts", "region_idx",
     ).withColumn("region_districts",
                  F.when(F.col("region_idx") == 1,
                         (F.col("country_districts") * F.lit(X.FIRST_REGION_DISTRICT_SHARE)).cast("int"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from epilake import fixed as X
 from epilake.functions import measures as M
 from epilake.operators import climate as C
+from epilake.operators import facilities as FA
 from epilake.operators import incidence as I
 from epilake.operators.generic import date_spine, first_per_key, sample_n, sequence_id, share_within
 from epilake.operators.joins import bounded_broadcast, constant_dim, literal_table
 from epilake.plans import sql_parts as S
-from epilake.plans.q_geo import REGIME
+from epilake.plans.q_geo import REGIME, REGION_INDEX_SQL
 from epilake.plans.q_outbreaks import J8, expected_long, CHOLERA
 from epilake.plans.registry import query
 from epilake.sources.bind import GEOGRAPHY_BROADCAST_ROWS
@@ -274,10 +275,11 @@ _P_OTHER = round(X.URBAN_PROB_OTHER_REGION * 100)
 
 
 @query("urban_share", f"""
-, fr AS (SELECT country_code, min(region_name) AS first_region FROM v_geography GROUP BY country_code)
-, pc AS (SELECT g.country_code, sum(CASE WHEN g.region_name = fr.first_region THEN {_P_FIRST} ELSE {_P_OTHER} END)
+, rg AS (SELECT DISTINCT country_code, region_name FROM v_geography)
+, {REGION_INDEX_SQL}
+, pc AS (SELECT g.country_code, sum(CASE WHEN ri.region_idx = 1 THEN {_P_FIRST} ELSE {_P_OTHER} END)
            / (count(*) * 100e0) AS p_urban
-         FROM v_geography g JOIN fr ON g.country_code = fr.country_code GROUP BY g.country_code)
+         FROM v_geography g JOIN ri ON g.country_code = ri.country_code AND g.region_name = ri.region_name GROUP BY g.country_code)
 , u AS (SELECT country_code, urban_rural, count(*) AS n FROM v_geography GROUP BY ALL)
 SELECT u.country_code, urban_rural, n, n / sum(n) OVER (PARTITION BY u.country_code) AS share,
   CASE WHEN urban_rural = 'Urban' THEN p_urban WHEN urban_rural = 'Rural' THEN 1 - p_urban END AS configured_share
@@ -285,12 +287,12 @@ FROM u JOIN pc ON u.country_code = pc.country_code
 """)
 def urban_share(b):
     """urban/rural share of geographies by country beside the configured share:
-    the generator's urban probability, 0.3 in a country's first region (name order)
-    and 0.15 elsewhere, averaged over the country's geographies."""
+    the generator's urban probability, 0.3 in a country's first region (in configured
+    order) and 0.15 elsewhere, averaged over the country's geographies."""
     g = b.geography()
-    first = g.groupBy("country_code").agg(F.min("region_name").alias("first_region"))
-    pct = F.when(F.col("region_name") == F.col("first_region"), F.lit(_P_FIRST)).otherwise(F.lit(_P_OTHER))
-    conf = (g.join(first, "country_code", "inner").groupBy("country_code")
+    order = FA.with_region_order(g.select("country_code", "region_name").distinct())
+    pct = F.when(F.col("region_idx") == 1, F.lit(_P_FIRST)).otherwise(F.lit(_P_OTHER))
+    conf = (g.join(order.select("country_code", "region_name", "region_idx"), ["country_code", "region_name"], "inner").groupBy("country_code")
             .agg((F.sum(pct) / (F.count(F.lit(1)) * F.lit(100.0))).alias("p_urban")))
     u = g.groupBy("country_code", "urban_rural").agg(F.count(F.lit(1)).alias("n"))
     u = share_within(u, ["country_code"], "n", "share").join(conf, "country_code", "inner")

@@ -18,6 +18,16 @@ TYPES_SQL = S.values([(t, lvl, float(dens), float(w)) for t, lvl, _c, _s, dens,
                      ["facility_type", "level", "min_pop_density", "type_weight"])
 _LEVELS = {t: lvl for t, lvl, *_ in X.FACILITY_TYPES}
 FALLBACK_SQL = S.values([(t, _LEVELS[t]) for t in X.FALLBACK_TYPES], ["facility_type", "facility_level"])
+_REGION_ROWS = ", ".join(f"('{c}', '{name}', {i + 1}, {len(names)})" for c, names in X.REGIONS.items() for i, name in enumerate(names))
+# after a CTE rg (country_code, region_name): ri adds region_idx and n_configured
+REGION_INDEX_SQL = f"""rgd AS (SELECT * FROM (VALUES {_REGION_ROWS}) v(country_code, region_name, region_pos, n_configured))
+, ri AS (
+  SELECT rg.country_code, rg.region_name, c.n_configured,
+    CAST(coalesce(d.region_pos, coalesce(c.n_configured, 0)
+      + row_number() OVER (PARTITION BY rg.country_code, d.region_pos IS NULL ORDER BY rg.region_name)) AS INTEGER) AS region_idx
+  FROM rg LEFT JOIN rgd d ON d.country_code = rg.country_code AND d.region_name = rg.region_name
+  LEFT JOIN (SELECT country_code, max(n_configured) AS n_configured FROM rgd GROUP BY country_code) c ON c.country_code = rg.country_code
+)"""
 SHARES_SQL = S.values([(cc, share) for cc, _n, share, *_ in X.COUNTRIES], ["country_code", "district_share"])
 CLIMATE_SQL = S.values([(cc, months, float(base)) for cc, months, base in X.CLIMATE],
                        ["country_code", "rainy_months", "base_rainfall"])
@@ -100,12 +110,14 @@ def facility_slots(b):
 
 @query("district_quota", f"""
 , rg AS (SELECT DISTINCT country_code, region_name FROM v_geography)
-, nr AS (SELECT country_code, count(*) AS n_regions FROM rg GROUP BY country_code)
+, {REGION_INDEX_SQL}
+, nr AS (SELECT country_code, CAST(max(coalesce(n_configured, n)) AS BIGINT) AS n_regions
+         FROM (SELECT country_code, n_configured, count(*) OVER (PARTITION BY country_code) AS n FROM ri) GROUP BY country_code)
 , r AS (
   SELECT rg.country_code, rg.region_name, nr.n_regions,
     CAST(trunc(30 * coalesce(t.district_share, 0e0)) AS INTEGER) AS country_districts,
-    CAST(row_number() OVER (PARTITION BY rg.country_code ORDER BY rg.region_name) AS INTEGER) AS region_idx
-  FROM rg JOIN nr ON rg.country_code = nr.country_code LEFT JOIN {SHARES_SQL} ON rg.country_code = t.country_code
+    rg.region_idx
+  FROM ri rg JOIN nr ON rg.country_code = nr.country_code LEFT JOIN {SHARES_SQL} ON rg.country_code = t.country_code
 )
 SELECT country_code, region_name, n_regions, country_districts, region_idx,
   CASE WHEN region_idx = 1 THEN CAST(trunc(country_districts * 0.4e0) AS INTEGER)

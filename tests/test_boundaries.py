@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from epilake import fixed as X
 from epilake.functions import measures as M
 from epilake.operators import climate as C
 from epilake.operators import facilities as FA
@@ -149,18 +150,24 @@ def test_allocation_urban_doubles_and_null_density(spark):
 
 
 def test_district_quota_n30(spark):
-    rows = []
-    for cc, regions in [("KE", 7), ("NG", 7), ("ZA", 7)]:
-        for i in range(regions):
-            rows.append((f"{cc}{i}", cc, f"R{i}"))
+    rows = [(f"{cc}{i}", cc, name) for cc, names in X.REGIONS.items() for i, name in enumerate(names)]
     geo = spark.createDataFrame(rows, "geography_id string, country_code string, region_name string")
     q = FA.district_quota(geo, 30).collect()
     tot = {}
     for r in q:
         tot[r.country_code] = tot.get(r.country_code, 0) + r.region_districts
     assert tot == {"KE": 9, "NG": 8, "ZA": 8}
-    first = {r.country_code: r.region_districts for r in q if r.region_idx == 1}
-    assert first == {"KE": 3, "NG": 2, "ZA": 2}
+    first = {r.region_name: r.region_districts for r in q if r.region_idx == 1}
+    assert first == {"Nairobi": 3, "Lagos": 2, "Gauteng": 2}
+
+
+def test_district_quota_missing_and_unknown_regions(spark):
+    """A missing region changes no other's quota; unknown countries and regions follow in name order."""
+    rows = [("k", "KE", "Western"), ("k", "KE", "Nairobi"), ("x", "XX", "B"), ("x", "XX", "A"), ("k", "KE", "Atlantis")]
+    geo = spark.createDataFrame(rows, "geography_id string, country_code string, region_name string")
+    got = {(r.country_code, r.region_name): (r.n_regions, r.region_idx, r.region_districts) for r in FA.district_quota(geo, 30).collect()}
+    assert got == {("KE", "Nairobi"): (7, 1, 3), ("KE", "Western"): (7, 6, 1), ("KE", "Atlantis"): (7, 8, 1),
+                   ("XX", "A"): (2, 1, 0), ("XX", "B"): (2, 2, 1)}
 
 
 def test_climate_normal(spark):
