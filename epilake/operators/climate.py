@@ -49,8 +49,12 @@ def with_rain_history(climate: DataFrame, days: int = X.MALARIA_HISTORY_DAYS,
 
 
 def climate_features(climate: DataFrame) -> DataFrame:
-    """First row per geography-day, daily average and trailing rain."""
-    return with_rain_history(with_daily_avg(climate_first_per_day(climate)))
+    """First row per geography-day, daily average and trailing rain.
+
+    The rain sum takes every row of the days before, repeated ones included; only the
+    day's own row is reduced to one. All rows of a day see the same sum.
+    """
+    return climate_first_per_day(with_rain_history(with_daily_avg(climate)))
 
 
 def country_climate_dim(spark) -> DataFrame:

@@ -10,6 +10,8 @@ CF = """
   FROM v_climate
   WINDOW w21 AS (PARTITION BY geography_id ORDER BY obs_date
                  RANGE BETWEEN INTERVAL 21 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)
+  QUALIFY row_number() OVER (PARTITION BY geography_id, obs_date ORDER BY temperature_min_c NULLS FIRST,
+    temperature_max_c NULLS FIRST, rainfall_mm NULLS FIRST, humidity_pct NULLS FIRST) = 1
 )
 """
 
