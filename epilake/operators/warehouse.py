@@ -22,7 +22,8 @@ SCD_TRACKED = ["capacity", "staff_count", "operational_status", "facility_type"]
 
 
 def row_hash(cols) -> F.Column:
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
+    """Hash of the tracked values; a null is marked, so (null, 5) and (5, null) differ."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]))
 
 
 def incoming_facilities(b: Bindings) -> DataFrame:
@@ -66,6 +67,15 @@ def scd2(current: DataFrame, incoming: DataFrame, as_of=SCD_AS_OF) -> DataFrame:
     return out.select("facility_id", "v.*")
 
 
+def scd2_merge(history: DataFrame, incoming: DataFrame, as_of=SCD_AS_OF) -> DataFrame:
+    """A later merge: closed versions of `history` (rows of `scd2`) stay as they are, the open ones
+    meet the new snapshot."""
+    cols = ["facility_id", *SCD_TRACKED, "row_hash", "valid_from", "valid_to", "is_current"]
+    merged = scd2(history.filter("is_current").select("facility_id", *SCD_TRACKED, "valid_from"), incoming, as_of)
+    return history.filter(~F.col("is_current")).select(*cols).withColumn("change_type", F.lit("history")).unionByName(
+        merged.select(*cols, "change_type"))
+
+
 def scd2_facilities(b: Bindings) -> DataFrame:
     cur = b.facility().withColumn("valid_from", F.make_date("established_year", F.lit(1), F.lit(1)))
     return scd2(cur, incoming_facilities(b))

@@ -7,7 +7,7 @@ from epilake.plans.q_cases import EXL
 from epilake.plans.q_outbreaks import expected_wide
 from epilake.plans.registry import query
 
-_H = "md5(concat_ws('|', CAST(capacity AS VARCHAR), CAST(staff_count AS VARCHAR), operational_status, facility_type))"
+_H = ("md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in WH.SCD_TRACKED) + "))")
 _ASOF = f"DATE '{WH.SCD_AS_OF.isoformat()}'"
 
 
