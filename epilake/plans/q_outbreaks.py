@@ -15,7 +15,8 @@ TRIG = """
 , trig AS (
   SELECT c.geography_id, c.start_date, c.n_reports, c.first_facility_id, cl.rainfall_mm,
     1.5e0 + 1.5e0 * ((least(cl.rainfall_mm, 200e0) - 80e0) / 120e0) AS intensity
-  FROM (SELECT geography_id, report_date AS start_date, count(*) AS n_reports, min(facility_id) AS first_facility_id
+  FROM (SELECT geography_id, report_date AS start_date, count(*) AS n_reports, 
+          arg_min(facility_id, {'n': length(facility_id), 'id': facility_id}) AS first_facility_id
         FROM v_case WHERE disease = 'Cholera' AND new_cases > 0 GROUP BY geography_id, report_date) c
   JOIN v_climate cl ON cl.geography_id = c.geography_id AND cl.obs_date = c.start_date
   WHERE cl.rainfall_mm > 80
@@ -46,7 +47,7 @@ J8 = S.FD + TRIG + """
   SELECT fd.facility_id, fd.geography_id, fd.obs_date, min(t.start_date) AS outbreak_start
   FROM fd LEFT JOIN trig_ev t ON t.geography_id = fd.geography_id
     AND t.start_date BETWEEN fd.obs_date - 59 AND fd.obs_date
-    AND (t.start_date < fd.obs_date OR t.facility_id < fd.facility_id)
+    AND (t.start_date < fd.obs_date OR (length(t.facility_id), t.facility_id) < (length(fd.facility_id), fd.facility_id))
   GROUP BY fd.facility_id, fd.geography_id, fd.obs_date
 )
 , j8 AS (
