@@ -31,7 +31,7 @@ v_facility AS (
     concat_ws(' ', district_name,
       (CASE s_suppkey % 6 WHEN 5 THEN 'National Hospital' WHEN 4 THEN 'Regional Hospital' WHEN 3 THEN 'District Hospital'
         WHEN 2 THEN 'Health Center' WHEN 1 THEN 'Clinic' ELSE 'Dispensary' END) || '-' || CAST(s_suppkey AS VARCHAR)) AS facility_name,
-    geography_id, country_code, region_name, district_name,
+    coalesce(geography_id, 'UNK-' || s_nationkey) AS geography_id, country_code, region_name, district_name,
     CAST(s_suppkey % 6 + 1 AS INTEGER) AS facility_level,
     CASE s_suppkey % 6 WHEN 5 THEN 'National Hospital' WHEN 4 THEN 'Regional Hospital' WHEN 3 THEN 'District Hospital'
       WHEN 2 THEN 'Health Center' WHEN 1 THEN 'Clinic' ELSE 'Dispensary' END AS facility_type,
@@ -46,32 +46,33 @@ v_facility AS (
     CASE WHEN s_suppkey % 20 < 17 THEN 'Operational' WHEN s_suppkey % 20 < 19 THEN 'Under Construction' ELSE 'Closed' END AS operational_status,
     CAST(1985 + s_suppkey % 42 AS INTEGER) AS established_year,
     s_suppkey
-  FROM supplier JOIN v_geography ON s_nationkey = n_nationkey
+  FROM supplier LEFT JOIN v_geography ON s_nationkey = n_nationkey
 ),
 v_climate AS (
   SELECT
-    CAST(o_orderdate AS DATE) AS obs_date, geography_id,
+    CAST(o_orderdate AS DATE) AS obs_date,
+    coalesce(geography_id, 'UNK-' || coalesce(CAST(c_nationkey AS VARCHAR), '')) AS geography_id,
     round(min(o_totalprice) / 50000, 1) AS temperature_min_c,
     CASE WHEN max(o_orderkey) % 499 = 0 THEN 999.9e0 ELSE round(max(o_totalprice) / 12000, 1) END AS temperature_max_c,
     CASE WHEN max(o_orderkey) % 200 = 0 THEN NULL WHEN max(o_orderkey) % 503 = 0 THEN -5e0
       WHEN max(o_orderkey) % 3 = 0 THEN 0e0 ELSE round(max(o_totalprice) / 2500, 1) END AS rainfall_mm,
     CAST(15 + max(o_orderkey) % 90 AS DOUBLE) AS humidity_pct
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN v_geography ON c_nationkey = n_nationkey
-  GROUP BY CAST(o_orderdate AS DATE), geography_id
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN v_geography ON c_nationkey = n_nationkey
+  GROUP BY 1, 2
 ),
 v_case AS (
   SELECT
     printf('CASE-%07d', l_orderkey * 10 + l_linenumber) AS case_id,
     CAST(l_shipdate AS DATE) AS report_date,
     CAST(l_shipdate AS DATE) - CAST(l_partkey % 18 AS INTEGER) AS case_date,
-    facility_id, geography_id,
+    printf('FAC-%05d', l_suppkey) AS facility_id, geography_id,
     CASE l_returnflag WHEN 'A' THEN 'Malaria' WHEN 'R' THEN 'Cholera' ELSE 'Tuberculosis' END AS disease,
     CASE WHEN l_partkey % 101 = 0 THEN NULL WHEN l_partkey % 397 = 5 THEN -5 ELSE CAST(l_quantity AS INTEGER) END AS new_cases,
     CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE CAST(floor(l_quantity * l_discount * 0.5e0) AS INTEGER) END AS deaths,
     CAST(floor(l_quantity * 0.75e0) AS INTEGER) AS recoveries,
     CASE l_linenumber % 5 WHEN 0 THEN '0-5' WHEN 1 THEN '6-17' WHEN 2 THEN '18-49' WHEN 3 THEN '50-64' ELSE '65+' END AS age_group,
     CASE l_linestatus WHEN 'O' THEN 'M' ELSE 'F' END AS gender
-  FROM lineitem JOIN v_facility ON l_suppkey = s_suppkey
+  FROM lineitem LEFT JOIN v_facility ON l_suppkey = s_suppkey
 )
 """
 

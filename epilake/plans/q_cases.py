@@ -50,7 +50,7 @@ FROM v_case
 """)
 def date_parts(b):
     """Date text, parsing, parts, differences."""
-    c = b.case()
+    c = b.reports()
     txt = F.date_format("report_date", "yyyy-MM-dd")
     delay = F.datediff("report_date", "case_date")
     return c.select("case_id", "report_date", txt.alias("report_text"),
@@ -69,7 +69,7 @@ FROM v_case GROUP BY disease
 """)
 def still_sick(b):
     """New cases - deaths - recoveries, by disease."""
-    c = b.case()
+    c = b.reports()
     ss = F.col("new_cases") - F.col("deaths") - F.col("recoveries")
     sv = F.col("new_cases") - F.col("deaths")
     return c.groupBy("disease").agg(
@@ -90,7 +90,7 @@ FROM h
 def delay_histogram(b):
     """Reporting-delay distribution with cumulative share (the delay domain
     is small, so the running window is over a few dozen rows)."""
-    h = b.case().groupBy(F.datediff("report_date", "case_date").alias("delay_days")) \
+    h = b.reports().groupBy(F.datediff("report_date", "case_date").alias("delay_days")) \
         .agg(F.count(F.lit(1)).alias("n_reports"))
     total = h.select(F.sum("n_reports")).scalar()
     w = Window.orderBy("delay_days").rowsBetween(Window.unboundedPreceding, 0)
@@ -110,7 +110,7 @@ def delay_percentiles(b):
     """Reporting-delay percentiles by disease (exact: the aggregate keeps a
     count per distinct delay, a small domain, and merges partial counts map-side)."""
     d = F.datediff("report_date", "case_date")
-    return b.case().groupBy("disease").agg(
+    return b.reports().groupBy("disease").agg(
         F.count(F.lit(1)).alias("n_reports"), F.avg(d).alias("mean_delay"),
         F.percentile(d, F.lit(0.5)).alias("p50_delay"), F.percentile(d, F.lit(0.9)).alias("p90_delay"),
         F.avg((d > X.MAX_REPORT_DELAY_DAYS).cast("int")).alias("share_late"))
@@ -127,7 +127,7 @@ FROM v_case c LEFT JOIN {CFR_SQL} ON c.disease = t.disease GROUP BY c.disease
 def case_fatality(b):
     """Observed case fatality by disease beside the configured rate."""
     dim = constant_dim(literal_table(b.spark, "case_fatality", X.CASE_FATALITY, "disease string, configured_cfr double"))
-    agg = b.case().groupBy("disease").agg(F.sum("new_cases").alias("total_cases"),
+    agg = b.reports().groupBy("disease").agg(F.sum("new_cases").alias("total_cases"),
                                           F.sum("deaths").alias("total_deaths"))
     return agg.join(dim, "disease", "left").select(
         "disease", "total_cases", "total_deaths",
@@ -246,7 +246,7 @@ def age_share(b):
     """Age-group shares by disease against the configured weights."""
     dim = constant_dim(literal_table(b.spark, "age_share", AGE_ROWS,
                                      "disease string, age_group string, configured_share double"))
-    a = b.case().groupBy("disease", "age_group").agg(F.count(F.lit(1)).alias("n"))
+    a = b.reports().groupBy("disease", "age_group").agg(F.count(F.lit(1)).alias("n"))
     a = share_within(a, ["disease"], "n", "share")
     return a.join(dim, ["disease", "age_group"], "left").select("disease", "age_group", "n", "share",
                                                                 "configured_share")
@@ -263,7 +263,7 @@ FROM (SELECT gender, count(*) AS n FROM v_case GROUP BY 1) s LEFT JOIN {GENDER_S
 def gender_share(b):
     """Gender shares against the configured 0.47 / 0.53."""
     dim = constant_dim(literal_table(b.spark, "gender_share", GENDER_ROWS, "gender string, configured_share double"))
-    c = b.case()
+    c = b.reports()
     total = c.select(F.count(F.lit(1))).scalar()
     g = c.groupBy("gender").agg(F.count(F.lit(1)).alias("n"))
     return g.join(dim, "gender", "left").select("gender", "n", (F.col("n") / total).alias("share"),

@@ -117,7 +117,9 @@ class Bindings:
         ftype = (F.when(m6 == 5, F.lit("National Hospital")).when(m6 == 4, F.lit("Regional Hospital"))
                  .when(m6 == 3, F.lit("District Hospital")).when(m6 == 2, F.lit("Health Center"))
                  .when(m6 == 1, F.lit("Clinic")).otherwise(F.lit("Dispensary")))
-        j = s.join(g, s.s_nationkey == g.n_nationkey, "inner")
+        # a facility without its geography stays, under an id that no geography has
+        j = s.join(g, s.s_nationkey == g.n_nationkey, "left").withColumn(
+            "geography_id", F.coalesce("geography_id", F.concat(F.lit("UNK-"), F.col("s_nationkey").cast("string"))))
         return j.select(
             F.concat(F.lit("FAC-"), zero_pad(k, 5)).alias("facility_id"),
             F.concat_ws(" ", "district_name", F.concat(ftype, F.lit("-"), k.cast("string"))).alias("facility_name"),
@@ -166,8 +168,11 @@ class Bindings:
         g = self.geography_b().select("n_nationkey", "geography_id")
         # orders x customer is the one large join here (shuffle on custkey,
         # AQE splits a hot customer); the geography side is broadcast.
-        j = (o.join(c, o.o_custkey == c.c_custkey, "inner")
-             .join(g, F.col("c_nationkey") == g.n_nationkey, "inner"))
+        # observations without a customer or geography stay, under an id that no geography has
+        j = (o.join(c, o.o_custkey == c.c_custkey, "left")
+             .join(g, F.col("c_nationkey") == g.n_nationkey, "left")
+             .withColumn("geography_id", F.coalesce("geography_id", F.concat(F.lit("UNK-"), F.coalesce(
+                 F.col("c_nationkey").cast("string"), F.lit(""))))))
         agg = (j.groupBy(F.col("o_orderdate").cast("date").alias("obs_date"), "geography_id")
                .agg(F.min("o_totalprice").alias("_pmin"), F.max("o_totalprice").alias("_pmax"),
                     F.max("o_orderkey").alias("_kmax")))
@@ -201,9 +206,18 @@ class Bindings:
         return self.case_from(li)
 
     def case_from(self, li: DataFrame) -> DataFrame:
-        """Case rows from lineitem rows (batch or stream; facility is static)."""
-        f = self.facility().select("s_suppkey", "facility_id", "geography_id")
-        j = li.join(f, li.l_suppkey == f.s_suppkey, "inner")
+        """Case rows from lineitem rows (batch or stream; facility is static). A report whose
+        facility is unknown stays, without geography."""
+        f = self.facility().select("s_suppkey", "geography_id")
+        return self._case_columns(li.join(f, li.l_suppkey == f.s_suppkey, "left"))
+
+    def reports(self) -> DataFrame:
+        """Case rows without geography_id, for queries that need none: no facility join."""
+        li = self.t("lineitem").select(*self.LINEITEM_COLS)
+        return self._case_columns(li.withColumn("geography_id", F.lit(None).cast("string"))).drop("geography_id")
+
+    @staticmethod
+    def _case_columns(j: DataFrame) -> DataFrame:
         pk = F.col("l_partkey")
         q = F.col("l_quantity")
         ln = F.col("l_linenumber")
@@ -212,7 +226,7 @@ class Bindings:
             F.concat(F.lit("CASE-"), zero_pad(F.col("l_orderkey") * 10 + ln, 7)).alias("case_id"),
             rd.alias("report_date"),
             F.date_sub(rd, (pk % 18).cast("int")).alias("case_date"),
-            "facility_id", "geography_id",
+            F.concat(F.lit("FAC-"), zero_pad(F.col("l_suppkey"), 5)).alias("facility_id"), "geography_id",
             F.when(F.col("l_returnflag") == "A", F.lit("Malaria"))
              .when(F.col("l_returnflag") == "R", F.lit("Cholera"))
              .otherwise(F.lit("Tuberculosis")).alias("disease"),

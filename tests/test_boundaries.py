@@ -222,3 +222,31 @@ def test_outbreak_curve_table_matches_formula(spark):
     rows = t.select("age_days", "outbreak_curve", M.outbreak_curve("age_days").alias("f")).collect()
     assert sorted(r.age_days for r in rows) == list(range(60))
     assert all(abs(r.outbreak_curve - r.f) <= 1e-15 for r in rows)
+
+
+def test_rain_history_sums_repeated_days(spark):
+    """Every row of the days before counts; the day's own row is the first one."""
+    d = dt.date(2021, 3, 1)
+    rows = [("G", d, 20.0, 25.0, 10.0, 50.0), ("G", d, 20.0, 25.0, 20.0, 50.0), ("G", d + dt.timedelta(1), 20.0, 25.0, 1.0, 50.0)]
+    clim = spark.createDataFrame(rows, "geography_id string, obs_date date, temperature_min_c double, "
+                                       "temperature_max_c double, rainfall_mm double, humidity_pct double")
+    got = sorted((r.obs_date, r.rainfall_mm, r.rain_21d, r.history_days) for r in C.climate_features(clim).collect())
+    assert got == [(d, 10.0, None, 0), (d + dt.timedelta(1), 1.0, 30.0, 2)]
+
+
+def test_facility_order_is_numeric(spark):
+    rows = spark.createDataFrame([("FAC-99999",), ("FAC-100000",), ("FAC-00007",)], "id string")
+    assert [r.id for r in rows.orderBy(O.facility_order("id")).collect()] == ["FAC-00007", "FAC-99999", "FAC-100000"]
+
+
+def test_scd2_nulls_and_second_merge(spark):
+    from epilake.operators import warehouse as WH
+    schema = "facility_id string, capacity int, staff_count int, operational_status string, facility_type string"
+    first = spark.createDataFrame([("F1", None, 5, "Operational", "Clinic"), ("F2", 3, 4, "Operational", "Clinic")], schema)
+    later = spark.createDataFrame([("F1", 5, None, "Operational", "Clinic"), ("F2", 3, 4, "Operational", "Clinic")], schema)
+    history = WH.scd2(first.withColumn("valid_from", F.lit(dt.date(2020, 1, 1))), later, dt.date(2021, 1, 1))
+    assert sorted((r.facility_id, r.change_type, r.is_current) for r in history.collect()) == [
+        ("F1", "changed", True), ("F1", "closed", False), ("F2", "unchanged", True)]
+    merged = WH.scd2_merge(history, later.filter("facility_id = 'F1'"), dt.date(2022, 1, 1)).collect()
+    assert sorted((r.facility_id, r.change_type, r.is_current, str(r.valid_to)) for r in merged) == [
+        ("F1", "history", False, "2021-01-01"), ("F1", "unchanged", True, "None"), ("F2", "deleted", False, "2022-01-01")]

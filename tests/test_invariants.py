@@ -51,3 +51,38 @@ def test_bad_and_repeated_copies(spark, fake):
     assert [r.report_date.day for r in Q.clean_cases(b).collect()] == [5]
     held = sorted((r.report_date.day, "duplicate_key" in r.reasons) for r in Q.quarantined_cases(b).collect())
     assert held == [(4, False), (5, True), (5, True), (6, True)]
+
+
+def _with_orphans(spark, folder):
+    """The small tables with suppliers, customers and reports whose parent is missing."""
+    import os
+    for t in ("region", "nation"):
+        os.symlink(f"{SF_SMALL}/{t}.parquet", folder / f"{t}.parquet")
+    read = lambda t: spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+    more = {
+        "supplier": read("supplier").limit(1).withColumn("s_suppkey", F.lit(900001).cast("long")).withColumn("s_nationkey", F.lit(99).cast("long")),
+        "customer": read("customer").limit(1).withColumn("c_custkey", F.lit(900001).cast("long")).withColumn("c_nationkey", F.lit(98).cast("long")),
+        "orders": read("orders").limit(1).withColumn("o_orderkey", F.lit(900001).cast("long")).withColumn("o_custkey", F.lit(900001).cast("long")),
+        "lineitem": read("lineitem").limit(10).withColumn("l_suppkey", F.lit(900002).cast("long")),
+    }
+    for t, rows in more.items():
+        base = read(t)
+        base.unionByName(rows.select(*[F.col(c).cast(base.schema[c].dataType) for c in base.columns])).write.parquet(str(folder / f"{t}.parquet"))
+    return Bindings(spark, str(folder))
+
+
+def test_orphans_reach_their_rule(spark, tmp_path):
+    b = _with_orphans(spark, tmp_path)
+    whole = Bindings(spark, SF_SMALL)
+    assert b.case().count() == whole.case().count() + 10 == b.reports().count()
+    assert b.facility().count() == whole.facility().count() + 1
+    got = sorted((r.table_name, r.rule) for r in Q.orphans(b).collect())
+    assert got == [("case", "orphan_facility")] * 10 + [("climate", "orphan_geography"), ("facility", "orphan_geography")]
+    assert Q.orphans(whole).count() == 0
+
+
+def test_case_queries_without_geography_join_no_facility(spark):
+    from epilake.plans.catalog import all_queries
+    for key in ("date_parts", "gender_share", "delay_histogram"):
+        plan = all_queries()[key](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "supplier" not in plan and "s_suppkey" not in plan, key

@@ -7,10 +7,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from epilake.plans.catalog import all_oracles, all_queries
 from epilake.sources.tables import TABLES
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = all_queries()  # the training-data queries have tests of their own in tests/llm
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")

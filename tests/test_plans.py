@@ -6,10 +6,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from epilake.plans.catalog import all_queries
 
-QUERIES = E.queries()
+QUERIES = all_queries()  # the training-data queries have tests of their own in tests/llm
 # these run a stream or write a sink while being built; their plans are reads of the output
 SIDE_EFFECT = {k for k in QUERIES if k.startswith("stream_")} | {
     "csv_round_trip", "csv_gzip_round_trip", "lake_cases", "lake_climate", "surveillance_batch"}
