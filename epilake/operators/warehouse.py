@@ -181,7 +181,9 @@ def bed_pressure(b: Bindings, days: int = X.MAX_REPORT_DELAY_DAYS) -> DataFrame:
         recent = b.case().filter(F.lit(False))
     else:
         recent = b.case_reported_since(last - _dt.timedelta(days=days - 1))
-    fac = b.facility().select("facility_id", "district_name", "capacity", "operational_status")
+    # a facility without a geography has no district
+    fac = (b.facility().filter(F.col("district_name").isNotNull())
+           .select("facility_id", "district_name", "capacity", "operational_status"))
     sick = (recent.join(fac.select("facility_id", "district_name"), "facility_id", "inner")
             .groupBy("district_name")
             .agg(F.sum(F.col("new_cases") - F.col("deaths") - F.col("recoveries")).alias("still_sick")))

@@ -31,32 +31,33 @@ v_facility AS (
     concat_ws(' ', district_name,
       (CASE s_suppkey % 6 WHEN 5 THEN 'National Hospital' WHEN 4 THEN 'Regional Hospital' WHEN 3 THEN 'District Hospital'
         WHEN 2 THEN 'Health Center' WHEN 1 THEN 'Clinic' ELSE 'Dispensary' END) || '-' || CAST(s_suppkey AS VARCHAR)) AS facility_name,
-    coalesce(geography_id, 'UNK-' || s_nationkey) AS geography_id, country_code, region_name, district_name,
-    CAST(s_suppkey % 6 + 1 AS INTEGER) AS facility_level,
+    coalesce(geography_id, 'UNK-' || nation_of) AS geography_id, country_code, region_name, district_name,
+    CAST(CASE WHEN s_suppkey % 31 = 0 THEN (s_suppkey % 6 + 1) % 6 + 1 ELSE s_suppkey % 6 + 1 END AS INTEGER) AS facility_level,
     CASE s_suppkey % 6 WHEN 5 THEN 'National Hospital' WHEN 4 THEN 'Regional Hospital' WHEN 3 THEN 'District Hospital'
       WHEN 2 THEN 'Health Center' WHEN 1 THEN 'Clinic' ELSE 'Dispensary' END AS facility_type,
     CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE CAST(floor(abs(s_acctbal) / 5) AS INTEGER) END AS capacity,
     CASE WHEN s_suppkey % 11 = 0 THEN 0 ELSE CAST(floor(abs(s_acctbal) / 12) AS INTEGER) END AS staff_count,
-    (s_suppkey % 6 >= 3 OR s_suppkey % 3 = 0) AS has_lab,
+    ((s_suppkey % 6 >= 3 AND s_suppkey % 17 <> 0) OR s_suppkey % 3 = 0) AS has_lab,
     (s_suppkey % 6 >= 3 OR s_suppkey % 4 = 0) AS has_isolation_ward,
     (s_suppkey % 6 >= 3 OR s_suppkey % 5 = 0) AS has_xray,
     CAST(s_suppkey % 7 AS INTEGER) AS ambulance_count,
     latitude + (s_suppkey % 15 - 7) / 100e0 AS latitude,
     longitude + (s_suppkey % 9 - 4) / 100e0 AS longitude,
-    CASE WHEN s_suppkey % 20 < 17 THEN 'Operational' WHEN s_suppkey % 20 < 19 THEN 'Under Construction' ELSE 'Closed' END AS operational_status,
+    CASE WHEN s_suppkey % 41 = 7 THEN 'Unknown' WHEN s_suppkey % 20 < 17 THEN 'Operational' WHEN s_suppkey % 20 < 19 THEN 'Under Construction' ELSE 'Closed' END AS operational_status,
     CAST(1985 + s_suppkey % 42 AS INTEGER) AS established_year,
     s_suppkey
-  FROM supplier LEFT JOIN v_geography ON s_nationkey = n_nationkey
+  FROM (SELECT *, CASE WHEN s_suppkey % 53 = 0 THEN s_nationkey + 1000 ELSE s_nationkey END AS nation_of FROM supplier)
+  LEFT JOIN v_geography ON nation_of = n_nationkey
 ),
 v_climate AS (
   SELECT
     CAST(o_orderdate AS DATE) AS obs_date,
     coalesce(geography_id, 'UNK-' || coalesce(CAST(c_nationkey AS VARCHAR), '')) AS geography_id,
-    round(min(o_totalprice) / 50000, 1) AS temperature_min_c,
-    CASE WHEN max(o_orderkey) % 499 = 0 THEN 999.9e0 ELSE round(max(o_totalprice) / 12000, 1) END AS temperature_max_c,
-    CASE WHEN max(o_orderkey) % 200 = 0 THEN NULL WHEN max(o_orderkey) % 503 = 0 THEN -5e0
+    CASE WHEN max(o_orderkey) % 97 <> 5 THEN round(min(o_totalprice) / 50000, 1) END AS temperature_min_c,
+    CASE WHEN max(o_orderkey) % 97 = 5 THEN NULL WHEN max(o_orderkey) % 499 = 0 THEN 999.9e0 ELSE round(max(o_totalprice) / 12000, 1) END AS temperature_max_c,
+    CASE WHEN max(o_orderkey) % 97 = 5 OR max(o_orderkey) % 200 = 0 THEN NULL WHEN max(o_orderkey) % 503 = 0 THEN -5e0
       WHEN max(o_orderkey) % 3 = 0 THEN 0e0 ELSE round(max(o_totalprice) / 2500, 1) END AS rainfall_mm,
-    CAST(15 + max(o_orderkey) % 90 AS DOUBLE) AS humidity_pct
+    CASE WHEN max(o_orderkey) % 97 <> 5 THEN CAST(15 + max(o_orderkey) % 90 AS DOUBLE) END AS humidity_pct
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN v_geography ON c_nationkey = n_nationkey
   GROUP BY 1, 2
 ),
@@ -65,14 +66,16 @@ v_case AS (
     printf('CASE-%07d', l_orderkey * 10 + l_linenumber) AS case_id,
     CAST(l_shipdate AS DATE) AS report_date,
     CAST(l_shipdate AS DATE) - CAST(l_partkey % 18 AS INTEGER) AS case_date,
-    printf('FAC-%05d', l_suppkey) AS facility_id, geography_id,
+    printf('FAC-%05d', facility_of) AS facility_id, geography_id,
     CASE l_returnflag WHEN 'A' THEN 'Malaria' WHEN 'R' THEN 'Cholera' ELSE 'Tuberculosis' END AS disease,
     CASE WHEN l_partkey % 101 = 0 THEN NULL WHEN l_partkey % 397 = 5 THEN -5 ELSE CAST(l_quantity AS INTEGER) END AS new_cases,
     CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE CAST(floor(l_quantity * l_discount * 0.5e0) AS INTEGER) END AS deaths,
     CAST(floor(l_quantity * 0.75e0) AS INTEGER) AS recoveries,
-    CASE l_linenumber % 5 WHEN 0 THEN '0-5' WHEN 1 THEN '6-17' WHEN 2 THEN '18-49' WHEN 3 THEN '50-64' ELSE '65+' END AS age_group,
+    CASE WHEN l_partkey % 211 = 3 THEN 'unknown' ELSE
+      CASE l_linenumber % 5 WHEN 0 THEN '0-5' WHEN 1 THEN '6-17' WHEN 2 THEN '18-49' WHEN 3 THEN '50-64' ELSE '65+' END END AS age_group,
     CASE l_linestatus WHEN 'O' THEN 'M' ELSE 'F' END AS gender
-  FROM lineitem LEFT JOIN v_facility ON l_suppkey = s_suppkey
+  FROM (SELECT *, CASE WHEN l_partkey % 307 = 11 THEN l_suppkey + 5000000 ELSE l_suppkey END AS facility_of FROM lineitem)
+  LEFT JOIN v_facility ON facility_of = s_suppkey
 )
 """
 

@@ -397,7 +397,7 @@ def clamp_values(b):
 @query("surrogate_ids", f"""
 , gq AS (SELECT geography_id, country_code, region_name,
            row_number() OVER (ORDER BY country_code, region_name, geography_id) AS geo_seq FROM v_geography)
-, cg AS (SELECT c.*, gq.country_code, gq.region_name, gq.geo_seq FROM v_case c JOIN gq ON c.geography_id = gq.geography_id)
+, cg AS (SELECT c.*, gq.country_code, gq.region_name, gq.geo_seq FROM v_case c LEFT JOIN gq ON c.geography_id = gq.geography_id)
 SELECT case_id, report_date, facility_id, disease, seq, printf('CASE-%07d', seq) AS new_case_id,
   country_code || '-' || upper(substr(region_name, 1, 3)) || '-' || printf('%03d', geo_seq) AS region_code
 FROM (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS seq FROM cg)
@@ -412,7 +412,7 @@ def surrogate_ids(b):
     # one row per geography: broadcast under the geography bound (checked on nation)
     gseq = bounded_broadcast(gseq, bound_by=b.t("nation"), max_rows=GEOGRAPHY_BROADCAST_ROWS,
                              cache_key=b.t.path("nation"))
-    j = cases.join(gseq, "geography_id", "inner")
+    j = cases.join(gseq, "geography_id", "left")  # every case is numbered
     return j.select("case_id", "report_date", "facility_id", "disease", "seq",
                     F.format_string("CASE-%07d", "seq").alias("new_case_id"),
                     F.concat("country_code", F.lit("-"), F.upper(F.substring("region_name", 1, 3)), F.lit("-"),

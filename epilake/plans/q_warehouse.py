@@ -131,9 +131,9 @@ def lead_features(b):
 , lastd AS (SELECT max(report_date) AS d FROM v_case)
 , sick AS (SELECT f.district_name, CAST(sum(c.new_cases - c.deaths - c.recoveries) AS BIGINT) AS still_sick
            FROM v_case c JOIN v_facility f ON c.facility_id = f.facility_id
-           WHERE c.report_date > (SELECT d FROM lastd) - 14 GROUP BY f.district_name)
+           WHERE c.report_date > (SELECT d FROM lastd) - 14 AND f.district_name IS NOT NULL GROUP BY f.district_name)
 , beds AS (SELECT district_name, CAST(sum(capacity) AS BIGINT) AS beds FROM v_facility
-           WHERE operational_status = 'Operational' GROUP BY district_name)
+           WHERE operational_status = 'Operational' AND district_name IS NOT NULL GROUP BY district_name)
 , j AS (SELECT coalesce(s.district_name, b.district_name) AS district_name, s.still_sick, b.beds,
           s.still_sick / nullif(b.beds, 0) AS pressure
         FROM sick s FULL OUTER JOIN beds b ON s.district_name = b.district_name)

@@ -118,25 +118,27 @@ class Bindings:
                  .when(m6 == 3, F.lit("District Hospital")).when(m6 == 2, F.lit("Health Center"))
                  .when(m6 == 1, F.lit("Clinic")).otherwise(F.lit("Dispensary")))
         # a facility without its geography stays, under an id that no geography has
-        j = s.join(g, s.s_nationkey == g.n_nationkey, "left").withColumn(
-            "geography_id", F.coalesce("geography_id", F.concat(F.lit("UNK-"), F.col("s_nationkey").cast("string"))))
+        nation = F.when(k % 53 == 0, F.col("s_nationkey") + 1000).otherwise(F.col("s_nationkey"))  # planted orphans
+        s = s.withColumn("_nation", nation)
+        j = s.join(g, s["_nation"] == g.n_nationkey, "left").withColumn(
+            "geography_id", F.coalesce("geography_id", F.concat(F.lit("UNK-"), F.col("_nation").cast("string"))))
         return j.select(
             F.concat(F.lit("FAC-"), zero_pad(k, 5)).alias("facility_id"),
             F.concat_ws(" ", "district_name", F.concat(ftype, F.lit("-"), k.cast("string"))).alias("facility_name"),
             "geography_id", "country_code", "region_name", "district_name",
-            (m6 + 1).cast("int").alias("facility_level"),
+            F.when(k % 31 == 0, (m6 + 1) % 6 + 1).otherwise(m6 + 1).cast("int").alias("facility_level"),
             ftype.alias("facility_type"),
             F.when(k % 13 == 0, F.lit(None).cast("int"))
              .otherwise(F.floor(F.abs("s_acctbal") / 5).cast("int")).alias("capacity"),
             F.when(k % 11 == 0, F.lit(0))
              .otherwise(F.floor(F.abs("s_acctbal") / 12).cast("int")).alias("staff_count"),
-            ((m6 >= 3) | (k % 3 == 0)).alias("has_lab"),
+            (((m6 >= 3) & (k % 17 != 0)) | (k % 3 == 0)).alias("has_lab"),
             ((m6 >= 3) | (k % 4 == 0)).alias("has_isolation_ward"),
             ((m6 >= 3) | (k % 5 == 0)).alias("has_xray"),
             (k % 7).cast("int").alias("ambulance_count"),
             (F.col("latitude") + (k % 15 - 7) / F.lit(100.0)).alias("latitude"),
             (F.col("longitude") + (k % 9 - 4) / F.lit(100.0)).alias("longitude"),
-            F.when(k % 20 < 17, F.lit("Operational")).when(k % 20 < 19, F.lit("Under Construction"))
+            F.when(k % 41 == 7, F.lit("Unknown")).when(k % 20 < 17, F.lit("Operational")).when(k % 20 < 19, F.lit("Under Construction"))
              .otherwise(F.lit("Closed")).alias("operational_status"),
             (1985 + k % 42).cast("int").alias("established_year"),
             k.alias("s_suppkey"),
@@ -177,15 +179,16 @@ class Bindings:
                .agg(F.min("o_totalprice").alias("_pmin"), F.max("o_totalprice").alias("_pmax"),
                     F.max("o_orderkey").alias("_kmax")))
         km = F.col("_kmax")
+        offline = km % 97 == 5  # a station without any measure
         return agg.select(
             "obs_date", "geography_id",
-            F.round(F.col("_pmin") / 50000, 1).alias("temperature_min_c"),
-            F.when(km % 499 == 0, F.lit(999.9)).otherwise(F.round(F.col("_pmax") / 12000, 1))
+            F.when(~offline, F.round(F.col("_pmin") / 50000, 1)).alias("temperature_min_c"),
+            F.when(offline, F.lit(None).cast("double")).when(km % 499 == 0, F.lit(999.9)).otherwise(F.round(F.col("_pmax") / 12000, 1))
              .alias("temperature_max_c"),
-            F.when(km % 200 == 0, F.lit(None).cast("double")).when(km % 503 == 0, F.lit(-5.0))
+            F.when(offline | (km % 200 == 0), F.lit(None).cast("double")).when(km % 503 == 0, F.lit(-5.0))
              .when(km % 3 == 0, F.lit(0.0)).otherwise(F.round(F.col("_pmax") / 2500, 1))
              .alias("rainfall_mm"),
-            (15 + km % 90).cast("double").alias("humidity_pct"),
+            F.when(~offline, (15 + km % 90).cast("double")).alias("humidity_pct"),
         )
 
     # ----------------------------------------------------------------------- case
@@ -209,12 +212,19 @@ class Bindings:
         """Case rows from lineitem rows (batch or stream; facility is static). A report whose
         facility is unknown stays, without geography."""
         f = self.facility().select("s_suppkey", "geography_id")
-        return self._case_columns(li.join(f, li.l_suppkey == f.s_suppkey, "left"))
+        li = self._with_facility_key(li)
+        return self._case_columns(li.join(f, li["_facility"] == f.s_suppkey, "left"))
+
+    @staticmethod
+    def _with_facility_key(li: DataFrame) -> DataFrame:
+        """The key of the reporting facility; some reports name one that does not exist."""
+        key = F.when(F.col("l_partkey") % 307 == 11, F.col("l_suppkey") + 5_000_000).otherwise(F.col("l_suppkey"))
+        return li.withColumn("_facility", key)
 
     def reports(self) -> DataFrame:
         """Case rows without geography_id, for queries that need none: no facility join."""
         li = self.t("lineitem").select(*self.LINEITEM_COLS)
-        return self._case_columns(li.withColumn("geography_id", F.lit(None).cast("string"))).drop("geography_id")
+        return self._case_columns(self._with_facility_key(li).withColumn("geography_id", F.lit(None).cast("string"))).drop("geography_id")
 
     @staticmethod
     def _case_columns(j: DataFrame) -> DataFrame:
@@ -226,7 +236,7 @@ class Bindings:
             F.concat(F.lit("CASE-"), zero_pad(F.col("l_orderkey") * 10 + ln, 7)).alias("case_id"),
             rd.alias("report_date"),
             F.date_sub(rd, (pk % 18).cast("int")).alias("case_date"),
-            F.concat(F.lit("FAC-"), zero_pad(F.col("l_suppkey"), 5)).alias("facility_id"), "geography_id",
+            F.concat(F.lit("FAC-"), zero_pad(F.col("_facility"), 5)).alias("facility_id"), "geography_id",
             F.when(F.col("l_returnflag") == "A", F.lit("Malaria"))
              .when(F.col("l_returnflag") == "R", F.lit("Cholera"))
              .otherwise(F.lit("Tuberculosis")).alias("disease"),
@@ -235,7 +245,7 @@ class Bindings:
             F.when(pk % 37 == 0, F.lit(None).cast("int"))
              .otherwise(F.floor(q * F.col("l_discount") * F.lit(0.5)).cast("int")).alias("deaths"),
             F.floor(q * F.lit(0.75)).cast("int").alias("recoveries"),
-            (F.when(ln % 5 == 0, F.lit("0-5")).when(ln % 5 == 1, F.lit("6-17"))
+            (F.when(pk % 211 == 3, F.lit("unknown")).when(ln % 5 == 0, F.lit("0-5")).when(ln % 5 == 1, F.lit("6-17"))
              .when(ln % 5 == 2, F.lit("18-49")).when(ln % 5 == 3, F.lit("50-64"))
              .otherwise(F.lit("65+"))).alias("age_group"),
             F.when(F.col("l_linestatus") == "O", F.lit("M")).otherwise(F.lit("F")).alias("gender"),
