@@ -39,15 +39,29 @@ def facility_days(b: Bindings) -> DataFrame:
     return fac.join(clim, "geography_id", "inner")
 
 
+def geography_days(b: Bindings) -> DataFrame:
+    """Climate features and outbreak columns per geography-day."""
+    from epilake.operators.outbreaks import outbreak_day_columns
+    return climate_features(b.climate()).join(outbreak_day_columns(b), ["geography_id", "obs_date"], "left")
+
+
+def expected_columns() -> dict:
+    """M1-M3 by disease, over rows with population, is_urban, obs_date, climate features and outbreak curve."""
+    month = F.month("obs_date")
+    return {
+        "Malaria": M.expected_malaria("population", "is_urban", month, "history_days", "rain_21d", "temperature_avg_c"),
+        "Cholera": M.expected_cholera("population", "is_urban", "outbreak_curve", "outbreak_intensity"),
+        "Tuberculosis": M.expected_tb("population", "is_urban", month),
+    }
+
+
 def facility_days_outbreaks(b: Bindings) -> DataFrame:
     """Facility-days with climate features and the J8 outbreak: the two geography-day
     tables are joined to each other first (small), so the large facility side takes a
     single join."""
-    from epilake.operators.outbreaks import outbreak_day_columns, resolve_for_facility
+    from epilake.operators.outbreaks import resolve_for_facility, with_curve
     fac = active_facilities(b).select("facility_id", "geography_id", "population", "is_urban")
-    gd = climate_features(b.climate()).join(outbreak_day_columns(b), ["geography_id", "obs_date"], "left")
-    from epilake.operators.outbreaks import with_curve
-    return with_curve(resolve_for_facility(fac.join(b.geo_day_side(gd), "geography_id", "inner")))
+    return with_curve(resolve_for_facility(fac.join(b.geo_day_side(geography_days(b)), "geography_id", "inner")))
 
 
 def expected_malaria(b: Bindings) -> DataFrame:

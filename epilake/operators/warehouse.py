@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epilake import fixed as X
-from epilake.operators.climate import with_daily_avg
+from epilake.functions import measures as M
+from epilake.operators import incidence as I
+from epilake.operators import outbreaks as O
 from epilake.operators.generic import date_spine, day_range_window, sequence_id
 from epilake.sources.bind import Bindings
 
@@ -81,36 +83,28 @@ def scd2_facilities(b: Bindings) -> DataFrame:
     return scd2(cur, incoming_facilities(b))
 
 
-def fact_surveillance(b: Bindings, expected: DataFrame) -> DataFrame:
+def fact_surveillance(b: Bindings) -> DataFrame:
     """L4: one row per case report with facility, geography, same-day climate and the
     expected count for that facility, day and disease (null when not positive).
 
-    `expected` is either the wide facility-day table (one column per disease: joined
-    on facility and day, 3x fewer rows than the long form, and the report's disease
-    picks its column) or the long table (joined on facility, day and disease)."""
-    c = b.case()
-    f = b.facility().select("facility_id", "facility_type")
-    g = b.geography_b().select("geography_id", "country_code", "region_name")
-    cl = b.geo_day_side(with_daily_avg(b.climate()).select(
-        "geography_id", F.col("obs_date").alias("report_date"), "rainfall_mm", "temperature_avg_c"))
-    j = (c.join(f, "facility_id", "left").join(g, "geography_id", "left")
-         .join(cl, ["geography_id", "report_date"], "left"))
-    if "disease" in expected.columns:
-        e = expected.select("facility_id", F.col("obs_date").alias("report_date"), "disease", "expected_cases")
-        j = j.join(e, ["facility_id", "report_date", "disease"], "left")
-    else:
-        diseases = [x for x in expected.columns if x not in ("facility_id", "geography_id", "obs_date")]
-        e = expected.select("facility_id", F.col("obs_date").alias("report_date"),
-                            *[F.col(x).alias(f"_e_{x}") for x in diseases])
-        pick = None
-        for x in diseases:
-            pick = (F.when(F.col("disease") == x, F.col(f"_e_{x}")) if pick is None
-                    else pick.when(F.col("disease") == x, F.col(f"_e_{x}")))
-        j = j.join(e, ["facility_id", "report_date"], "left").withColumn(
-            "expected_cases", F.when(pick > 0, pick))
+    The expected count is a function of the report's facility, its geography and the
+    geography-day, so it is evaluated on the report: the geography-day table is joined
+    for the climate anyway, and no facility-day panel is built or shuffled."""
+    f = b.facility().select("facility_id", "facility_type", "operational_status")
+    g = b.geography_b().select("geography_id", "country_code", "region_name", "population",
+                               M.is_urban("urban_rural").alias("is_urban"))
+    day = b.geo_day_side(I.geography_days(b).withColumn("_observed", F.lit(True)).drop("temperature_min_c", "temperature_max_c", "humidity_pct"))
+    j = (b.case().withColumn("obs_date", F.col("report_date")).join(f, "facility_id", "left").join(g, "geography_id", "left")
+         .join(day, ["geography_id", "obs_date"], "left"))
+    j = O.with_curve(O.resolve_for_facility(j))
+    expected = None
+    for disease, column in I.expected_columns().items():
+        is_it = F.col("disease") == disease
+        expected = F.when(is_it, column) if expected is None else expected.when(is_it, column)
+    reports = F.col("_observed") & (F.col("operational_status") == "Operational") & (expected > 0)
     return j.select("case_id", "report_date", "facility_id", "facility_type", "geography_id", "country_code",
                     "region_name", "disease", "new_cases", "deaths", "rainfall_mm", "temperature_avg_c",
-                    "expected_cases")
+                    F.when(reports, expected).alias("expected_cases"))
 
 
 def dim_facilities(b: Bindings) -> DataFrame:

@@ -14,7 +14,7 @@ from epilake.operators.generic import date_spine, first_per_key, sample_n, seque
 from epilake.operators.joins import bounded_broadcast, constant_dim, literal_table
 from epilake.plans import sql_parts as S
 from epilake.plans.q_geo import REGIME, REGION_INDEX_SQL
-from epilake.plans.q_outbreaks import J8, expected_long, CHOLERA
+from epilake.plans.q_outbreaks import CHOLERA, DISEASE_COLS, J8, expected_wide
 from epilake.plans.registry import query
 from epilake.sources.bind import GEOGRAPHY_BROADCAST_ROWS
 
@@ -183,18 +183,31 @@ FROM obs o FULL OUTER JOIN (SELECT facility_id, obs_date, disease, expected_case
 def excess_cases(b):
     """Observed - expected per facility, day and disease (full outer join);
     z = excess / sqrt(expected) under a Poisson count."""
-    return excess(b, expected_long(b))
-
-
-def excess(b, expected):
-    """M17 against a given expected-cases table (e.g. one already written)."""
-    obs = b.case().groupBy("facility_id", F.col("report_date").alias("obs_date"), "disease") \
-        .agg(F.sum("new_cases").alias("observed"))
-    exp = expected.select("facility_id", "obs_date", "disease", "expected_cases")
-    j = obs.join(exp, ["facility_id", "obs_date", "disease"], "full")
+    return excess(b, expected_wide(b))
+
+
+def excess(b, wide):
+    """M17 against expected cases per facility-day with a column for each disease.
+
+    Observed cases are summed to one row per facility-day too, the two are joined, and
+    only the result is unpivoted: a third of the rows in the shuffle. Reports of a
+    disease without a column have no expected cases and bypass the join.
+    """
+    c = b.case().withColumnRenamed("report_date", "obs_date")
+    known = F.coalesce(F.col("disease").isin(DISEASE_COLS), F.lit(False))
+    sums = [F.sum(F.when(F.col("disease") == d, F.col("new_cases"))).alias(f"_s_{d}") for d in DISEASE_COLS]
+    seen = [F.count(F.when(F.col("disease") == d, F.lit(1))).alias(f"_n_{d}") for d in DISEASE_COLS]
+    obs = c.filter(known).groupBy("facility_id", "obs_date").agg(*sums, *seen)
+    j = obs.join(wide.select("facility_id", "obs_date", *DISEASE_COLS), ["facility_id", "obs_date"], "full")
+    long = j.select("facility_id", "obs_date", F.explode(F.array(*[F.struct(
+        F.lit(d).alias("disease"), F.col(f"_s_{d}").alias("observed"), F.when(F.col(d) > 0, F.col(d)).alias("expected_cases"),
+        (F.coalesce(F.col(f"_n_{d}"), F.lit(0)) > 0).alias("seen")) for d in DISEASE_COLS])).alias("v")).select("facility_id", "obs_date", "v.*")
+    long = long.filter(F.col("seen") | F.col("expected_cases").isNotNull()).drop("seen")
+    other = c.filter(~known).groupBy("facility_id", "obs_date", "disease").agg(F.sum("new_cases").alias("observed"))
+    long = long.unionByName(other.withColumn("expected_cases", F.lit(None).cast("double")))
     excess = F.coalesce(F.col("observed"), F.lit(0)) - F.coalesce(F.col("expected_cases"), F.lit(0.0))
-    return j.select("facility_id", "obs_date", "disease", "observed", "expected_cases", excess.alias("excess"),
-                    F.when(F.col("expected_cases") > 0, excess / F.sqrt("expected_cases")).alias("z_score"))
+    return long.select("facility_id", "obs_date", "disease", "observed", "expected_cases", excess.alias("excess"),
+                       F.when(F.col("expected_cases") > 0, excess / F.sqrt("expected_cases")).alias("z_score"))
 
 
 @query("monthly_running_count", """

@@ -166,13 +166,8 @@ DISEASE_COLS = ["Malaria", "Cholera", "Tuberculosis"]
 
 def expected_wide(b):
     """Expected cases per facility-day, one column per disease (named as the disease)."""
-    return _fdc(b).select(
-        "facility_id", "geography_id", "obs_date",
-        M.expected_malaria("population", "is_urban", F.month("obs_date"), "history_days",
-                           "rain_21d", "temperature_avg_c").alias("Malaria"),
-        _expected_cholera_col().alias("Cholera"),
-        M.expected_tb("population", "is_urban", F.month("obs_date")).alias("Tuberculosis"),
-    )
+    return _fdc(b).select("facility_id", "geography_id", "obs_date",
+                          *[c.alias(d) for d, c in I.expected_columns().items()])
 
 
 def expected_long(b):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from epilake.operators import warehouse as WH
 from epilake.plans.q_cases import EXL
-from epilake.plans.q_outbreaks import expected_wide
 from epilake.plans.registry import query
 
 _H = ("md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in WH.SCD_TRACKED) + "))")
@@ -51,7 +50,7 @@ LEFT JOIN exl e ON e.facility_id = c.facility_id AND e.obs_date = c.report_date
 """)
 def fact_surveillance(b):
     """L4: surveillance fact, one row per case report."""
-    return WH.fact_surveillance(b, expected_wide(b))
+    return WH.fact_surveillance(b)
 
 
 @query("dim_facilities", """
