@@ -33,7 +33,9 @@ def near_dedup(spark, docs, sf_dir):
     light = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
     light = written(light, "pipeline-repeated")
     if light.head(1):
-        again = kept.join(light, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+        first = F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row")
+        again = kept.join(light, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(first)
+        again = again.select("doc_id", "_row.*").select(*docs.columns)
         kept = kept.join(light, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(again)
     return kept.unionByName(docs.where("doc_id is null"))
 
