@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 # Row bound under which a dimension is broadcast to every task.
 BROADCAST_MAX_ROWS = 1_000_000
 
-_checked: dict[tuple[int, str], bool] = {}
+_checked: dict[tuple[str, str], bool] = {}
 
 
 def rows_at_most(df: DataFrame, max_rows: int, cache_key: str | None = None) -> bool:
     """True when `df` has at most `max_rows` rows; reads at most max_rows + 1."""
-    key = (id(df.sparkSession), cache_key) if cache_key else None
+    key = (df.sparkSession.sparkContext.applicationId, cache_key) if cache_key else None
     if key is not None and key in _checked:
         return _checked[key]
     ok = df.limit(max_rows + 1).count() <= max_rows
