@@ -17,11 +17,16 @@ Steps, each a Spark job over written tables:
    read as a sorted stream, so a key of any size is cut across tasks; each task
    links a key's rows to its first row there (a star), and the first rows of keys
    that span tasks are linked in a second, small pass.
-3. Links are confirmed on the full shingle sets, read again from the texts of the
+3. Of its star links every representative first tries the one with the most tables;
+   links are confirmed on the full shingle sets, read again from the texts of the
    candidates, and joined into components.
-4. Tables whose rows are in more than one component hold pairs that no star has
-   tested: these are compared across components on packed sketches inside tasks
-   and, if the sketch allows the threshold, confirmed on the full sets.
+4. Tables whose rows are in more than one component hold pairs that are not tested
+   yet. Their rows are compared across components on packed sketches inside tasks.
+   In MERGES rounds each component tries its most similar pair only; components
+   that are joined by it drop out of each other's tables. For the rest, members of
+   a group are packed into blocks of about BLOCK_SETS with their full sets. A task
+   that finds a pair whose sketches allow the threshold names the two blocks, and
+   all pairs of components of two named blocks are confirmed together on the sets.
 
 So every pair that shares a table is either in one component already or compared.
 Nothing that grows with the documents goes through the driver.
@@ -50,9 +55,15 @@ THRESHOLD = 75  # percent
 ROWS, HALVES = 3, 18
 N_HASH = 2 * HALVES * ROWS
 #: Standard deviations of a sketch's agreement that a pair may lie below the threshold's expectation.
-SIGMAS = 6.0
+SIGMAS = 5.0
+#: Rounds in which a component tries its most similar pair, before all pairs are tried.
+MERGES = 1
 #: Pairs of a mixed table that are compared at once.
 BLOCK_ROWS = 512
+#: Sets in a block that is confirmed as a whole.
+BLOCK_SETS = 64
+#: Pairs of rows of small blocks, and rows of a large one, that are compared at once.
+PAIRS, STEP = 1 << 16, 64
 
 _rng = np.random.default_rng(1009)
 _XOR = _rng.integers(0, 1 << 64, N_HASH, dtype=np.uint64)
@@ -204,13 +215,13 @@ def _pair_partition(batches):
                 pairs, many, begin = [], [], i + 1
 
 
-STAR_SCHEMA = "a long, b long, key long"
+STAR_SCHEMA = "a long, b long, key long, n long"
 
 
 def _star_partition(batches):
-    """(a, b, null): a run's first row in this partition with each later row. (a, null, key): the first rows of
-    the partition's first and last run, which may go on elsewhere."""
-    centre, edges, seen = None, [], set()
+    """(a, b, null, n): a run's first row in this partition with a later row, and the number of such runs in a
+    batch. (a, null, key, 0): the first rows of the partition's first and last run, which may go on elsewhere."""
+    centre, edges = None, []
     for batch, key, new in _runs(batches):
         ids = np.asarray(batch["id"])
         begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
@@ -219,35 +230,30 @@ def _star_partition(batches):
             edges.append((int(ids[0]), int(key[0])))
         centre, last_key = int(centres[-1]), int(key[-1])
         keep = ~new & (centres != ids)
-        # pairs that this task has emitted lately are not sent again
-        pairs = np.unique(np.stack([centres[keep], ids[keep]], axis=1), axis=0)
-        fresh = [p for p in map(tuple, pairs.tolist()) if p not in seen]
-        if len(seen) > 200_000:
-            seen.clear()
-        seen.update(fresh)
-        if fresh:
-            x = np.array(fresh, np.int64)
-            yield _star_batch(x[:, 0], x[:, 1], None)
+        if keep.any():
+            pairs, n = np.unique(np.stack([centres[keep], ids[keep]], axis=1), axis=0, return_counts=True)
+            yield _star_batch(pairs[:, 0], pairs[:, 1], None, n)
     if edges:
         if (centre, last_key) != edges[0]:
             edges.append((centre, last_key))
-        yield _star_batch([e[0] for e in edges], None, [e[1] for e in edges])
+        yield _star_batch([e[0] for e in edges], None, [e[1] for e in edges], [0] * len(edges))
 
 
-def _star_batch(a, b, key):
-    n = len(a)
+def _star_batch(a, b, key, n):
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()),
-         pa.nulls(n, pa.int64()) if key is None else pa.array(key, pa.int64())], ["a", "b", "key"])
+        [pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()),
+         pa.nulls(len(a), pa.int64()) if key is None else pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "key", "n"])
 
 
-def _stars(table_rows: DataFrame) -> DataFrame:
-    """Distinct candidate links (a, b), a < b, that connect the rows of every table key."""
+def _first_links(table_rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: for each row that is not first in all its tables, the first row that it meets most often."""
     got = written(_by_key(table_rows).mapInArrow(_star_partition, STAR_SCHEMA), "near-stars")
     # two rows for each partition at most
     ends = got.where("key is not null").groupBy("key").agg(F.min("a").alias("a"), F.collect_set("a").alias("more"))
-    across = ends.select("a", F.explode("more").alias("b")).where("a < b")
-    return got.where("key is null").select("a", "b").unionByName(across).distinct()
+    across = ends.select("a", F.explode("more").alias("b"), F.lit(1).cast("long").alias("n")).where("a < b")
+    votes = got.where("key is null").select("a", "b", "n").unionByName(across).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m"))
+    return best.select((-F.col("m.a")).alias("a"), "b")
 
 
 def _set_partition(batches):
@@ -274,9 +280,7 @@ def _confirm_partition(threshold: int):
 
 def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold; texts of other documents are not read on."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = lookup(_texts(docs), ids.withColumn("_n", F.lit(1)), "doc_id", "near-asked", how="inner")
-    sets = written(texts.select("doc_id", "text").mapInArrow(_set_partition, "id long, shingles binary"), "near-sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -310,9 +314,15 @@ def components(links: DataFrame) -> DataFrame:
         now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
+#: Minima in 64-bit lanes of 16 nibbles.
+LANES = -(-N_HASH // 16)
+_ONES = np.uint64(0x1111111111111111)
+
+
 def _packed(minima: np.ndarray) -> np.ndarray:
-    """The lowest 4 bits of each minimum, two to a byte."""
-    low = (minima & 15).astype(np.uint8)
+    """The lowest 4 bits of each minimum, two to a byte, filled up with zeros to whole lanes."""
+    low = np.zeros((len(minima), 16 * LANES), np.uint8)
+    low[:, :N_HASH] = minima & 15
     return low[:, ::2] << 4 | low[:, 1::2]
 
 
@@ -322,41 +332,107 @@ def _least_agreement(threshold: int) -> int:
     return int(np.floor(N_HASH * p - SIGMAS * np.sqrt(N_HASH * p * (1 - p))))
 
 
-def _likely(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
-    """Pairs of rows of two blocks whose sketches and sizes allow the threshold."""
-    d = x[:, None, :] ^ y[None, :, :]
-    same = ((d & 15) == 0).sum(axis=2, dtype=np.int32) + ((d >> 4) == 0).sum(axis=2, dtype=np.int32)
-    size = 100 * np.minimum(n[:, None], m[None, :]) >= threshold * np.maximum(n[:, None], m[None, :])
-    return (same >= _least_agreement(threshold)) & size
+def _agreement(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    """Equal minima of pairs of sketches (last axis: lanes) of sets of sizes n and m; 0 where these rule the
+    threshold out."""
+    differ = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-1], np.uint8)
+    for k in range(LANES):
+        d = x[..., k] ^ y[..., k]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        d &= _ONES  # a bit for each nibble that differs
+        differ += np.bitwise_count(d)
+    same = N_HASH - differ.astype(np.int64)
+    size = 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
+    return np.where(size & (same >= _least_agreement(threshold)), same, 0)
+
+
+PAIR_SCHEMA = "component long, same long, a long, b long"
+BLOCK_SCHEMA = "p long, q long"
+
+
+class _Side:
+    """The rows of the blocks of a batch, one block after another."""
+
+    def __init__(self, batch, side: str):
+        lists = {c: batch[f"{side}_{c}"] for c in ("ids", "comps", "ns", "blks", "low")}
+        at = np.asarray(lists["ids"].offsets).astype(np.int64)
+        self.first, self.size = at[:-1] - at[0], np.diff(at)
+        self.ids, self.comps, self.ns, self.blks = (np.asarray(lists[c].flatten()) for c in ("ids", "comps", "ns", "blks"))
+        low = lists["low"].flatten()
+        begin = int(np.frombuffer(low.buffers()[1], np.int32)[low.offset]) if len(low) else 0
+        self.low = np.frombuffer(low.buffers()[2], np.uint8, len(low) * LANES * 8, begin).view(np.uint64).reshape(-1, LANES) if len(low) else np.empty((0, LANES), np.uint64)
 
 
-def _mixed_partition(threshold: int):
-    """Pairs of different components of two blocks of a table's rows (or one block with itself)."""
+def _mixed_partition(threshold: int, best: bool):
+    """Pairs of different components of two blocks of a table's rows (or one block with itself).
+
+    best: of the pairs that are compared at once, only the most similar one of each component, under its name;
+    else the set blocks of the pairs.
+    """
+
+    def pairs_of(x, y, i, j):
+        """Rows (component, same, a, b), or (p, q), of pairs of rows i of x and j of y."""
+        ok = (x.comps[i] != y.comps[j]) & (100 * np.minimum(x.ns[i], y.ns[j]) >= threshold * np.maximum(x.ns[i], y.ns[j]))
+        i, j = i[ok], j[ok]
+        same = _agreement(x.low[i], x.ns[i], y.low[j], y.ns[j], threshold)
+        ok = same > 0
+        i, j, same = i[ok], j[ok], same[ok]
+        a, b = np.minimum(x.ids[i], y.ids[j]), np.maximum(x.ids[i], y.ids[j])
+        if best:
+            names = np.append(x.comps[i], y.comps[j])
+            rows = np.stack([names, np.tile(same, 2), np.tile(a, 2), np.tile(b, 2)])
+            rows = rows[:, np.lexsort((rows[3], rows[2], -rows[1], rows[0]))]
+            return rows[:, np.append(True, np.diff(rows[0]) != 0)[:rows.shape[1]]]
+        p, q = x.blks[i], y.blks[j]
+        return np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
+
+    def blocks(x, y, one):
+        """Indexes of the pairs of all blocks, PAIRS or one block's STEP rows at a time."""
+        many = x.size * y.size
+        held, total = [], 0
+        for k in np.argsort(many, kind="stable"):
+            if many[k] > PAIRS:
+                continue
+            held.append(k)
+            total += many[k]
+            if total > PAIRS:
+                yield small(x, y, one, np.array(held))
+                held, total = [], 0
+        if held:
+            yield small(x, y, one, np.array(held))
+        for k in np.flatnonzero(many > PAIRS):
+            i, j = x.first[k] + np.arange(x.size[k]), y.first[k] + np.arange(y.size[k])
+            for begin in range(0, len(i), STEP):
+                part = i[begin:begin + STEP]
+                rest = j[begin:] if one[k] else j
+                u, v = np.repeat(part, len(rest)), np.tile(rest, len(part))
+                keep = u < v if one[k] else np.ones(len(u), bool)
+                yield u[keep], v[keep]
+
+    def small(x, y, one, rows):
+        many = x.size[rows] * y.size[rows]
+        row = np.repeat(np.arange(len(rows)), many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        wide = y.size[rows][row]
+        i, j = at // wide, at % wide
+        keep = ~one[rows][row] | (i < j)
+        return x.first[rows][row][keep] + i[keep], y.first[rows][row][keep] + j[keep]
 
     def run(batches):
         seen: set = set()
         for batch in batches:
-            same = batch["same"].to_pylist()
-            for k in range(batch.num_rows):
-                (xi, xc, xn, xs), (yi, yc, yn, ys) = (
-                    (*(np.asarray(batch[s + c][k].values) for c in ("_ids", "_comps", "_ns")),
-                     np.frombuffer(b"".join(batch[s + "_low"][k].as_py()), np.uint8).reshape(-1, N_HASH // 2))
-                    for s in "xy")
-                for i in range(0, len(xi), 128):
-                    for j in range(i if same[k] else 0, len(yi), 128):
-                        p, q = slice(i, i + 128), slice(j, j + 128)
-                        ok = xc[p][:, None] != yc[q][None, :]
-                        if not ok.any():
-                            continue
-                        at = np.nonzero(ok & _likely(xs[p], xn[p], ys[q], yn[q], threshold))
-                        u, v = xi[p][at[0]], yi[q][at[1]]
-                        pairs = {*zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist())} - seen
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen.update(pairs)
-                        if pairs:
-                            a, b = zip(*pairs)
-                            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            x, y = _Side(batch, "x"), _Side(batch, "y")
+            for i, j in blocks(x, y, np.asarray(batch["one"].to_pylist(), bool)):
+                rows = pairs_of(x, y, i, j)
+                if not best and rows.shape[1]:
+                    fresh = [t not in seen for t in zip(*rows.tolist())]
+                    rows = rows[:, np.array(fresh, bool)]
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.update(zip(*rows.tolist()))
+                if rows.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["component", "same", "a", "b"] if best else ["p", "q"])
 
     return run
 
@@ -367,27 +443,113 @@ def _low_partition(batches):
         yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], pa.array([r.tobytes() for r in low], pa.binary())], ["id", "n", "low"])
 
 
-def _untested(live: DataFrame, reps: DataFrame, comps: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a table and whose sketches allow the threshold.
+def _placed(live: DataFrame, first: DataFrame, comps: DataFrame) -> DataFrame:
+    """id, keys, component (its own id without one) and blk of every live representative.
+
+    A block holds about BLOCK_SETS members of one group: of a component, or of those whose first link leads to it.
+    """
+    label = comps.select("id", "component")
+    rows = live.join(label, "id", "left").join(first.select(F.col("b").alias("id"), F.col("a").alias("_centre")), "id", "left")
+    rows = rows.withColumn("_centre", F.coalesce("_centre", "id")).join(
+        label.select(F.col("id").alias("_centre"), F.col("component").alias("_other")), "_centre", "left")
+    rows = rows.select("id", "keys", F.coalesce("component", "id").alias("component"), F.coalesce("component", "_other", "_centre").alias("hub"))
+    rows = written(rows, "near-hubs")
+    sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("n_blocks"))
+    rows = lookup(rows, sizes, "hub", "near-hub-sizes", how="inner", weight="n")
+    blk = F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
+    return written(rows.select("id", "component", "keys", blk.alias("blk")), "near-placed")
+
+
+def _packed_low(reps: DataFrame) -> DataFrame:
+    return reps.select("id", F.col("n_shingles").alias("n"), "minima").mapInArrow(_low_partition, "id long, n long, low binary")
+
+
+def _untested(placed: DataFrame, reps: DataFrame, threshold: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a table and whose sketches allow the threshold: with
+    `best` only the most similar one of each component, else the blocks (p, q) of such pairs.
 
     Tables inside one component are found by their least and largest component (a
     partial aggregate) and dropped. The rows of each mixed table are packed into
     blocks of about BLOCK_ROWS by a hash of the id, and blocks are paired: compares
     grow with the pairs of a mixed table, rows with the pairs of its blocks.
     """
-    named = live.join(comps.select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "keys")
-    rows = written(named, "near-named").mapInArrow(_pair_partition, "key long, id long, component long")
+    rows = placed.mapInArrow(_pair_partition, "key long, id long, component long, blk long")
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n_rows"))
     mixed = mixed.where("lo < hi").select("key", "n_rows", F.ceil(F.col("n_rows") / BLOCK_ROWS).alias("n_blocks"))
     rows = lookup(rows, mixed, "key", "near-mixed", how="inner", weight="n_rows")
-    low = reps.select("id", F.col("n_shingles").alias("n"), "minima").mapInArrow(_low_partition, "id long, n long, low binary")
-    rows = rows.join(low, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
-    blocks = rows.groupBy("key", "blk").agg(F.collect_list(F.struct("id", "component", "n", "low")).alias("r"))
-    blocks = written(blocks.select("key", "blk", F.col("r.id").alias("ids"), F.col("r.component").alias("comps"),
-                                   F.col("r.n").alias("ns"), F.col("r.low").alias("low")), "near-blocks")
-    x, y = (blocks.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("blk", "ids", "comps", "ns", "low")]) for s in "xy")
-    met = x.join(y, "key").where("x_blk <= y_blk").withColumn("same", F.col("x_blk") == F.col("y_blk")).drop("key", "x_blk", "y_blk")
-    return met.mapInArrow(_mixed_partition(threshold), "a long, b long").distinct()
+    rows = rows.join(_packed_low(reps), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
+    blocks = rows.groupBy("key", "part").agg(F.collect_list(F.struct("id", "component", "n", "blk", "low")).alias("r"))
+    blocks = written(blocks.select("key", "part", F.col("r.id").alias("ids"), F.col("r.component").alias("comps"),
+                                   F.col("r.n").alias("ns"), F.col("r.blk").alias("blks"), F.col("r.low").alias("low")), "near-blocks")
+    x, y = (blocks.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("part", "ids", "comps", "ns", "blks", "low")]) for s in "xy")
+    met = x.join(y, "key").where("x_part <= y_part").withColumn("one", F.col("x_part") == F.col("y_part")).drop("key", "x_part", "y_part")
+    if best:
+        pairs = met.mapInArrow(_mixed_partition(threshold, True), PAIR_SCHEMA)
+        pairs = pairs.groupBy("component").agg(F.max(F.struct("same", "a", "b")).alias("m")).select("m.a", "m.b")
+        return pairs.distinct()
+    return met.mapInArrow(_mixed_partition(threshold, False), BLOCK_SCHEMA).distinct()
+
+
+def _confirm_blocks(threshold: int):
+    """Links between different components of two blocks of sets (or inside one), one for two components."""
+
+    def members(batch, side, k):
+        return [(i, c, n, np.frombuffer(low, np.uint64), np.frombuffer(s, np.uint64)) for i, c, n, low, s in zip(
+            *(batch[f"{side}_{c}"][k].as_py() for c in ("ids", "comps", "ns", "low", "sets")))]
+
+    def run(batches):
+        linked: set = set()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                xs = members(batch, "x", k)
+                one = batch["p"][k].as_py() == batch["q"][k].as_py()
+                ys = xs if one else members(batch, "y", k)
+                comps, ns = np.array([y[1] for y in ys]), np.array([y[2] for y in ys])
+                low = np.stack([y[3] for y in ys])
+                out = []
+                for at, (i, c, n, mine, own) in enumerate(xs):
+                    ok = (comps != c) & (_agreement(mine[None, :], n, low, ns, threshold) > 0)
+                    if one:
+                        ok[:at + 1] = False
+                    some = [j for j in np.flatnonzero(ok) if (min(c, int(comps[j])), max(c, int(comps[j]))) not in linked]
+                    if not some:
+                        continue
+                    flat = np.concatenate([ys[j][4] for j in some])
+                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                    both = np.add.reduceat(hit, np.cumsum([0] + [len(ys[j][4]) for j in some[:-1]]), dtype=np.int64)
+                    for j, m in zip(some, both.tolist()):
+                        pair = (min(c, int(comps[j])), max(c, int(comps[j])))
+                        if 100 * m >= threshold * (len(own) + len(ys[j][4]) - m) and pair not in linked:
+                            linked.add(pair)
+                            out.append((min(i, ys[j][0]), max(i, ys[j][0])))
+                if len(linked) > 1_000_000:
+                    linked.clear()
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return run
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Written (id, shingles) of the asked documents (ids: column doc_id, unique)."""
+    texts = lookup(_texts(docs), ids.withColumn("_n", F.lit(1)), "doc_id", "near-asked", how="inner")
+    return written(texts.select("doc_id", "text").mapInArrow(_set_partition, "id long, shingles binary"), "near-sets")
+
+
+def confirm_blocks(blocks: DataFrame, placed: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between the components of the named blocks (p, q)."""
+    named = written(blocks.select(F.explode(F.array("p", "q")).alias("blk")).distinct(), "near-named")
+    rows = written(placed.select("id", "component", "blk").join(named, "blk", "left_semi"), "near-members")
+    sets = _sets_of(rows.select(F.col("id").alias("doc_id")).distinct(), docs)
+    rows = rows.join(_packed_low(reps), "id").join(sets, "id")
+    # a representative's n is of one of its rows; a set's own size counts
+    packed = rows.select("blk", F.struct("id", "component", (F.octet_length("shingles") / 8).cast("long").alias("n"), "low", "shingles").alias("r"))
+    packed = packed.groupBy("blk").agg(F.collect_list("r").alias("r"))
+    packed = written(packed.select("blk", F.col("r.id").alias("ids"), F.col("r.component").alias("comps"), F.col("r.n").alias("ns"),
+                                   F.col("r.low").alias("low"), F.col("r.shingles").alias("sets")), "near-set-blocks")
+    x, y = (packed.select(F.col("blk").alias(k), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "comps", "ns", "low", "sets")]) for k, s in (("p", "x"), ("q", "y")))
+    met = blocks.join(x, "p").join(y, "q")
+    return met.mapInArrow(_confirm_blocks(threshold), "a long, b long")
 
 
 def _sketch_filter(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -428,25 +590,26 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     live = written(live, "near-live")
     table_rows = live.mapInArrow(_pair_partition, "key long, id long")
 
-    stars = _sketch_filter(written(_stars(table_rows), "near-candidates"), reps, threshold)
-    stars = written(stars, "near-likely")
-    # a first link for each row is enough to join most of a group; the others matter only across components
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(confirm(first, docs, threshold).unionByName(same_doc), "near-confirmed")
+    tested = written(_first_links(table_rows), "near-tested")
+    links = confirm(_sketch_filter(tested, reps, threshold), docs, threshold)
+    links = written(links.unionByName(same_doc), "near-confirmed")
     comps = written(components(links), "near-components")
 
-    def across(pairs):
-        side = comps.select("id", "component")
-        got = pairs.join(side.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-        got = got.join(side.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return got.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    rest = across(stars.join(first, ["a", "b"], "left_anti")).unionByName(
-        _untested(live, reps, comps, threshold).join(first, ["a", "b"], "left_anti")).distinct()
-    rest = written(rest, "near-rest")
-    more = confirm(rest, docs, threshold)
-    links = written(links.unionByName(more), "near-confirmed")
-    comps = components(links)
+    first = tested
+    for _ in range(MERGES):
+        pairs = _untested(_placed(live, first, comps), reps, threshold, best=True).join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        if not pairs.head(1):
+            break
+        links = written(links.unionByName(confirm(pairs, docs, threshold)), "near-confirmed")
+        tested = written(tested.unionByName(pairs), "near-tested")
+        comps = written(components(links), "near-components")
+    placed = _placed(live, first, comps)
+    blocks = written(_untested(placed, reps, threshold, best=False), "near-block-pairs")
+    if blocks.head(1):
+        more = written(confirm_blocks(blocks, placed, reps, docs, threshold), "near-more")
+        if more.head(1):
+            comps = written(components(links.unionByName(more)), "near-components")
 
     classes = classes.join(comps, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"), "n_docs")
     out = lookup(sketch.select("doc_id", "n_shingles", "sig"), classes, "sig", "near-labels", weight="n_docs")
