@@ -23,6 +23,7 @@ HOT_SHARE = 1000
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared folder."""
+    bound_batches(spark)
     return f"{ensure_work_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,7 +38,19 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, if the session has Spark's default: whole texts make 10,000 rows too large for a worker.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once; a setting of the session's own stays."""
+    if spark.conf.get(_ARROW, "10000") == "10000":
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

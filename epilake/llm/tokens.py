@@ -30,7 +30,7 @@ from epilake.llm.tables import fresh_path, partitions, prefix_sums, range_bucket
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Whitespace-separated pieces whose ids a worker remembers; the older half is forgotten beyond it.
-MEMO = 1_000_000
+MEMO = 400_000
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
                "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
