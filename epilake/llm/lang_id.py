@@ -16,8 +16,11 @@ Storage: for each order the packed n-grams, hashed by a bijection and sorted, wi
 one row of log probabilities for all languages; and the contexts with their log
 back-off weights. A lookup is an index by the leading bits and a short scan. The
 arrays are collected only within MODEL_ROWS rows (about 24 bytes and 4 for each
-language a row), which bounds the broadcast; a larger table has its
-rarest highest-order n-grams cut, as toolkits do with count cutoffs.
+language a row), which bounds the broadcast. A larger model is cut into blocks by the
+two characters in front of the last, so that what an n-gram needs of the orders from
+3 on lies in its block; counts of the orders 1 and 2 and the discounts of all orders
+are aggregated over the whole count table and go with every block. Each block scores
+its own n-grams of all texts, and the sums are added. No n-gram or language is cut.
 
 Decision: the language of the lowest cross-entropy per character. A calibration
 slice (1 in CALIBRATE of the training texts, left out of the counts) fits a
@@ -27,7 +30,8 @@ above it in its best language is rejected, as is one without letters.
 
 Edge cases: null, empty and letterless texts get `und`, score 0 and are rejected.
 A tie goes to the language first in order. Repeated rows count as often as they
-occur. Without training text every prediction is `und`. A language without
+occur. Without training text every prediction is `und`. A language whose texts all
+fall into the calibration slice is learned from them. A language without
 calibration texts has the widest bound of the others. Rows without lang are not
 learned from.
 """
@@ -213,12 +217,19 @@ def _lookup_rows(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _discount(n: np.ndarray) -> float:
-    ones, twos = int((n == 1).sum()), int((n == 2).sum())
+    return _discount_of(int((n == 1).sum()), int((n == 2).sum()))
+
+
+def _discount_of(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
 
-def build_model(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER) -> Model:
-    """Kneser-Ney tables of all languages from highest-order counts; gram is packed, lang a number."""
+def build_model(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER,
+                low: dict | None = None, discounts: dict | None = None) -> Model:
+    """Kneser-Ney tables of all languages from highest-order counts; gram is packed, lang a number.
+
+    For a block of a model: `low` has (lang, gram, n) of the orders that the block holds in part, `discounts` those by (order, lang).
+    """
     per = {k: {} for k in range(1, order + 1)}  # order: language: (sorted grams, counts)
     for j in range(len(langs)):
         g, m = gram[lang == j].astype(np.uint64), n[lang == j].astype(np.float64)
@@ -228,6 +239,11 @@ def build_model(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndar
         for k in range(order - 1, 0, -1):
             g, m = np.unique(g & np.uint64((1 << BITS * k) - 1), return_counts=True)
             per[k][j] = (g, m.astype(np.float64))
+    for k, (low_lang, low_gram, low_n) in (low or {}).items():
+        for j in range(len(langs)):
+            own = np.flatnonzero(low_lang == j)
+            own = own[np.argsort(low_gram[own])]
+            per[k][j] = (low_gram[own].astype(np.uint64), low_n[own].astype(np.float64))
     vocabulary = np.unique(np.concatenate([per[1][j][0] for j in per[1]]))
     floor = -np.log(len(vocabulary) + 1)
     tables, contexts = [], []
@@ -245,7 +261,7 @@ def build_model(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndar
             lower = np.exp(below_logp[_lookup_rows(below, union & np.uint64((1 << BITS * (k - 1)) - 1))])
         for j in range(len(langs)):
             g, m = per[k][j]
-            d = _discount(m)
+            d = _discount(m) if discounts is None else discounts[k, j]
             c = np.searchsorted(ctx, g >> np.uint64(BITS))
             total = np.bincount(c, weights=m, minlength=len(ctx))
             kinds = np.bincount(c, minlength=len(ctx))
@@ -261,10 +277,107 @@ def build_model(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndar
     return Model(langs, tables, contexts, floor)
 
 
-def cross_entropies(model: Model, texts: list[str | None], squared: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pair(gram):
+    """The two characters in front of the last, of numpy n-grams."""
+    return (gram >> np.uint64(BITS)) & np.uint64((1 << 2 * BITS) - 1)
+
+
+@dataclass
+class Blocks:
+    """A model beyond the broadcast bound: counts in a written table, of which one block at a time is collected and built."""
+
+    langs: list[str]
+    table: DataFrame         # lang (number), gram, n
+    cuts: list[int]          # first pair of each block but the first
+    low: dict                # order: (lang, gram, n) of the orders 1 and 2, whole
+    discounts: dict          # (order, lang): discount
+    order: int
+    temperature: float = 1.0
+    bounds: dict = field(default_factory=dict)
+
+    def __len__(self) -> int:
+        return len(self.cuts) + 1
+
+    def block(self, b: int) -> Model:
+        pair = F.shiftrightunsigned("gram", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+        rows = self.table
+        if b:
+            rows = rows.where(pair >= self.cuts[b - 1])
+        if b < len(self.cuts):
+            rows = rows.where(pair < self.cuts[b])
+        return build_model(self.langs, *_arrays(rows), order=self.order, low=self.low, discounts=self.discounts)
+
+    @property
+    def grams(self) -> list[Table]:
+        """Tables of the first block."""
+        return self.block(0).grams
+
+
+def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = rows.select("lang", "gram", "n").toArrow()
+    return np.asarray(got["lang"]), np.asarray(got["gram"]).view(np.uint64), np.asarray(got["n"])
+
+
+def _cut(table: DataFrame, langs: list[str], order: int, model_rows: int) -> Blocks:
+    """Blocks of at most model_rows rows, or one pair; continuation counts and discounts of every order over the whole table."""
+    low, discounts, level = {}, {}, table
+    for k in range(order, 0, -1):
+        if k < order:
+            level = level.select("lang", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram"))
+            level = written(level.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), f"lang-order{k}")
+        seen = {r.lang: (r.ones, r.twos) for r in level.groupBy("lang").agg(
+            F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
+        discounts |= {(k, j): _discount_of(*seen[j]) for j in range(len(langs))}
+        if k <= 2:
+            low[k] = _arrays(level)
+    pair = F.shiftrightunsigned("gram", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+    sizes = table.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("k")).toArrow().sort_by("pair")
+    cuts, held = [], 0
+    for p, k in zip(sizes["pair"].to_pylist(), sizes["k"].to_pylist()):
+        if held and held + k > model_rows:
+            cuts.append(p)
+            held = 0
+        held += k
+    return Blocks(langs, table, cuts, low, discounts, order)
+
+
+def _block_sums(rows: DataFrame, model: Blocks) -> DataFrame:
+    """(_at, sums, squares, size): losses of every text of rows (_at, _text), added over the blocks in their order."""
+    spark, cuts, order = rows.sparkSession, np.asarray(model.cuts, np.uint64), model.order
+    schema = "_at long, block int, sums array<double>, squares array<double>, size long"
+    parts = None
+    for b in range(len(model)):
+        shared = spark.sparkContext.broadcast(model.block(b))
+
+        def run(batches, shared=shared, b=b):
+            mine = lambda g: np.searchsorted(cuts, _pair(g), "right") == b
+            for batch in batches:
+                mean, square, size = cross_entropies(shared.value, batch["_text"].to_pylist(), squared=True, mine=mine)
+                n = np.maximum(size, 1)[:, None]
+                yield pa.RecordBatch.from_arrays([batch["_at"], pa.array([b] * len(size), pa.int32()), pa.array(list(mean * n), pa.list_(pa.float64())),
+                                                  pa.array(list(square * n), pa.list_(pa.float64())), pa.array(size)],
+                                                 ["_at", "block", "sums", "squares", "size"])
+
+        part = rows.select("_at", "_text").mapInArrow(run, schema)
+        parts = part if parts is None else parts.unionByName(part)
+    got = parts.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("block", "sums", "squares"))).alias("p"), F.max("size").alias("size"))
+    places = F.sequence(F.lit(0), F.lit(len(model.langs) - 1))
+
+    def total(name):
+        return F.transform(places, lambda j: F.aggregate("p", F.lit(0.0), lambda acc, x: acc + F.get(x[name], j))).alias(name)
+
+    return got.select("_at", total("sums"), total("squares"), "size")
+
+
+def _wide(column) -> np.ndarray:
+    return np.stack(column.to_pylist()) if len(column) else np.empty((0, 0))
+
+
+def cross_entropies(model: Model, texts: list[str | None], squared: bool = False, mine=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean loss and mean squared loss of a character, by text and language, and numbers of characters.
 
-    Long texts are scored in pieces of n-grams, so memory does not follow their scores.
+    Long texts are scored in pieces of n-grams, so memory does not follow their scores. With `mine`, only the n-grams
+    that it chooses add to the sums; the numbers are still those of all characters.
     """
     sums = np.zeros((len(texts), len(model.langs)))
     squares = np.zeros((len(texts), len(model.langs)))
@@ -287,9 +400,14 @@ def cross_entropies(model: Model, texts: list[str | None], squared: bool = False
         g = ngrams(c, len(model.grams)) if len(c) else c
         size[i] = len(g)
         for a in range(0, len(g), 1 << 16):
-            parts.append(g[a:a + (1 << 16)])
+            piece = g[a:a + (1 << 16)]
+            if mine is not None:
+                piece = piece[mine(piece)]
+                if not len(piece):
+                    continue
+            parts.append(piece)
             owner.append(i)
-            held += len(parts[-1])
+            held += len(piece)
             if held >= 1 << 16:
                 flush()
                 held = 0
@@ -332,12 +450,19 @@ def decide(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.
         n = len(texts)
         return [UND] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
     mean, _, size = cross_entropies(model, texts)
+    return judge(model, mean, size)
+
+
+def judge(model: Model | Blocks, mean: np.ndarray, size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """decide() from mean losses by text and language."""
+    if not len(size):
+        return [], np.zeros(0), np.zeros(0), np.zeros(0, bool)
     best = mean.argmin(axis=1)
     z = -mean * np.sqrt(size)[:, None] / model.temperature
     z = np.exp(z - z.max(axis=1, keepdims=True))
     score = z[np.arange(len(z)), best] / z.sum(axis=1)
     lowest = mean[np.arange(len(mean)), best]
-    langs, reject = [], np.zeros(len(texts), bool)
+    langs, reject = [], np.zeros(len(size), bool)
     for i, b in enumerate(best):
         if not size[i]:
             langs.append(UND)
@@ -352,36 +477,44 @@ def decide(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.
     return langs, score, lowest, reject
 
 
-def train(labelled: DataFrame, order: int = ORDER, calibrate: int = CALIBRATE, model_rows: int = MODEL_ROWS) -> Model | None:
+def train(labelled: DataFrame, order: int = ORDER, calibrate: int = CALIBRATE, model_rows: int = MODEL_ROWS) -> Model | Blocks | None:
     """Model of rows (doc_id, text, lang) with non-null lang."""
     spark = labelled.sparkSession
     rows = labelled.where("lang is not null").select("doc_id", "text", "lang")
-    slice_ = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(calibrate)) == 0
+    slice_ = F.coalesce(F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(calibrate)) == 0, F.lit(False))
+    lonely = [r.lang for r in rows.groupBy("lang").agg(F.bool_and(slice_).alias("all")).where("all").collect()]
+    if lonely:  # languages that would not be learned
+        slice_ = slice_ & ~F.col("lang").isin(lonely)
     table = written(counts(rows.where(~slice_), order), "lang-counts")
-    total = table.count()
-    if total > model_rows:  # count cutoff: the least one that leaves model_rows n-grams
-        per = table.groupBy("n").agg(F.count(F.lit(1)).alias("k")).where("n < 1000000").orderBy("n").limit(10_000).collect()
-        least = 0
-        for r in per:
-            if total <= model_rows:
-                break
-            total, least = total - r.k, r.n
-        table = table.where(F.col("n") > least)
     langs = [r.lang for r in table.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
     number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int") - 1
-    got = table.select(number.alias("lang"), "gram", F.col("n")).toArrow()
-    model = build_model(langs, np.asarray(got["lang"]), np.asarray(got["gram"]).view(np.uint64), np.asarray(got["n"]), order)
+    numbered = table.select(number.alias("lang"), "gram", "n")
+    if table.count() > model_rows and order > 2:
+        model = _cut(numbered, langs, order, model_rows)
+    else:
+        model = build_model(langs, *_arrays(numbered), order=order)
     _calibrate(spark, model, rows.where(slice_))
     return model
 
 
-def _calibrate(spark: SparkSession, model: Model, rows: DataFrame, limit: int = 20_000) -> None:
+def _calibrate(spark: SparkSession, model: Model | Blocks, rows: DataFrame, limit: int = 20_000) -> None:
     """Fits temperature and bounds on about `limit` calibration texts at most, chosen by a hash of doc_id.
 
     Tasks score their own texts; four numbers for each text and language reach the driver.
     """
+    total = rows.select("doc_id").count()
+    if total > limit:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (limit << 20) // total)
+    if isinstance(model, Blocks):
+        number = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col("lang")) - 1
+        texts = written(rows.select(number.alias("true"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_at")), "lang-calibration")
+        got = texts.select("_at", "true").join(_block_sums(texts, model), "_at").where((F.col("size") > 0) & (F.col("true") >= 0)).toArrow()
+        if got.num_rows:
+            size = np.asarray(got["size"])
+            fit_calibration(model, np.asarray(got["true"]), _wide(got["sums"]) / size[:, None], _wide(got["squares"]) / size[:, None], size)
+        return
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -395,23 +528,38 @@ def _calibrate(spark: SparkSession, model: Model, rows: DataFrame, limit: int =
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(true[ok]), pa.array(list(mean[ok])), pa.array(list(square[ok])), pa.array(size[ok])], ["true", "mean", "square", "size"])
 
-    total = rows.select("doc_id").count()
-    if total > limit:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (limit << 20) // total)
     got = rows.select("lang", "text").mapInArrow(run, "true long, mean array<double>, square array<double>, size long").toArrow()
     if got.num_rows:
-        wide = lambda c: np.stack(got[c].to_pylist())
-        fit_calibration(model, np.asarray(got["true"]), wide("mean"), wide("square"), np.asarray(got["size"]))
+        fit_calibration(model, np.asarray(got["true"]), _wide(got["mean"]), _wide(got["square"]), np.asarray(got["size"]))
 
 
 PREDICT_SCHEMA = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _judge_sums(keep: tuple[str, ...], langs: list[str], temperature: float, bounds: dict):
+    model = Blocks(langs, None, [], {}, {}, 0, temperature, bounds)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                size = np.asarray(batch["size"])
+                out = judge(model, _wide(batch["sums"]) / np.maximum(size, 1)[:, None], size)
+                yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), pa.array(out[0], pa.string()), *map(pa.array, out[1:])],
+                                                 [*keep, "lang_pred", "score", "cross_entropy", "rejected"])
+
+    return run
+
+
+def predict(docs: DataFrame, model: Model | Blocks | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """lang_pred, score, cross_entropy and rejected of every text, beside the columns named in `keep`."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # within MODEL_ROWS rows
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    if isinstance(model, Blocks):
+        # row numbers are only stable once written
+        rows = written(docs.select(*keep, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_at")), "lang-texts")
+        scored = rows.select("_at", *keep).join(_block_sums(rows, model), "_at").drop("_at")
+        return scored.mapInArrow(_judge_sums(keep, model.langs, model.temperature, model.bounds), f"{kept}, {PREDICT_SCHEMA}")
+    shared = spark.sparkContext.broadcast(model)  # within MODEL_ROWS rows
 
     def run(batches):
         m = shared.value

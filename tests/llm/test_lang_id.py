@@ -113,3 +113,20 @@ def test_cutoff_keeps_model_within_rows(spark):
     df = spark.createDataFrame([(d, t, x, "a", 1) for d, t, x in corpus(200)], SCHEMA)
     big, small = L.train(df), L.train(df, model_rows=150)
     assert len(small.grams[-1].hashes) <= 151 < len(big.grams[-1].hashes)
+
+
+def test_blocks_are_the_whole_model(spark):
+    """Beyond the bound: same losses, discounts and predictions, and a rare language stays."""
+    rows = [*corpus(200), (5000, "qat zyx", "rare"), (5001, "wol vyk", "rare")]
+    df = spark.createDataFrame([(d, t, x, "a", 1) for d, t, x in rows + [(300, None, None), (301, "the", None), (7, rows[7][1], None)]], SCHEMA)
+    big, small = L.train(df), L.train(df, model_rows=150)
+    assert isinstance(small, L.Blocks) and len(small) > 3 and small.langs == big.langs and "rare" in small.langs
+    assert small.temperature == pytest.approx(big.temperature)
+    parts = [small.block(b) for b in range(len(small))]
+    g = np.unique(np.concatenate([L.ngrams(L.codes_of(t)) for t in [r[1] for r in rows] + ["unseen quyx words été"]]))
+    at = np.searchsorted(np.asarray(small.cuts, np.uint64), L._pair(g), "right")
+    for b, m in enumerate(parts):
+        assert np.allclose(m.losses(g[at == b]), big.losses(g[at == b]), atol=1e-5)
+    order = lambda rows: sorted(map(str, ((r.doc_id, r.lang_pred, r.rejected, round(r.score, 3), round(r.cross_entropy, 3)) for r in rows)))
+    assert order(L.predict(df, small).collect()) == order(L.predict(df, big).collect())
+    assert L.predict(df.where("doc_id >= 5000"), small).where("lang_pred = 'rare'").count() == 2
