@@ -8,16 +8,18 @@ A page becomes lines, one for each block, with the role that its markup gives it
 - `open`: anything else.
 
 Pages are sorted by host, then URL path without scheme, query and fragment; a
-page is paired with the next one of its host, the last with the one before. The
+page is paired with the next one of its host that has other lines, the last with the
+last one before that has; copies of a page are never its pair. The
 line hashes of a pair are aligned by longest common subsequence. `out` lines go.
 `open` lines that the pair shares go too: they belong to the site, not the page. If a
 page has `prose`, its open lines outside article and main go as well; else those
 that are left are its text. Prose that two pages share (a copied article) stays.
 
-Hosts of any size: rows are cut into ranges of (host, path, page_id) at split
-points that a hash-chosen sample of the keys gives, so reruns cut alike; a range
-also gets the first row of the next one, so every page sees its successor. The
-last page of a host is compared with the page before it if that is in its range.
+Hosts of any size: rows are cut into ranges of (host, path, page_id, digest of html)
+at split points that a hash-chosen sample of the keys gives, so reruns cut alike. A
+first pass keeps a digest of each page's lines, from which follow the pages before and
+behind a range that its first and last run of equal pages is compared with; these are
+copied into the range. So the pairs don't depend on the ranges.
 
 Lines: character references are decoded, white space inside a block becomes one
 space, blocks are joined by a line end.
@@ -34,17 +36,18 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epilake.llm import text as T
-from epilake.llm.tables import partitions, range_bucket, read_table
+from epilake.llm.tables import partitions, range_bucket, read_table, written
 
 OUT, OPEN, PROSE, INNER = "out", "open", "prose", "inner"
 #: Keys that split points are chosen from, for each range.
 SAMPLE = 64
-#: Bits of alignment that a pair may take; beyond, repeated lines are matched in order of occurrence.
+#: Bits of alignment that a pair may take at once; beyond, it is split where the lengths of both halves add up best.
 ALIGN_BITS = 1 << 28
 
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
@@ -181,52 +184,67 @@ def common(x: list[int], y: list[int]) -> set[int]:
     py = [j for j in range(begin, len(y) - end) if y[j] in both]
     if not px:
         return out
-    if len(px) * len(py) <= ALIGN_BITS:
-        # bit rows: a 0 in row i at j tells that the length grows at j (Allison and Dix)
-        masks: dict[int, int] = {}
-        for k, j in enumerate(py):
-            masks[y[j]] = masks.get(y[j], 0) | 1 << k
-        full = (1 << len(py)) - 1
-        row, rows = full, []
-        for i in px:
-            u = row & masks[x[i]]
-            row = ((row + u) | (row - u)) & full
-            rows.append(row)
-        j = len(py)
-        for k in range(len(px) - 1, -1, -1):
+    out.update(px[k] for k in _align([x[i] for i in px], [y[j] for j in py]))
+    return out
+
+
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """Bit rows of the alignment: a 0 in row i at j tells that the length grows at j (Allison and Dix)."""
+    masks: dict[int, int] = {}
+    for j, v in enumerate(y):
+        masks[v] = masks.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x:
+        u = row & masks.get(v, 0)
+        row = ((row + u) | (row - u)) & full
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of x and y[:j], for j from 0."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(y)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+def _align(x: list[int], y: list[int]) -> list[int]:
+    """Positions in x of a longest common subsequence, by halves of x (Hirschberg) while the bit rows are too many."""
+    out: list[int] = []
+    work = [(0, len(x), 0, len(y))]
+    while work:
+        a, b, c, d = work.pop()
+        if a == b or c == d:
+            continue
+        if b - a > 1 and (b - a) * (d - c) > ALIGN_BITS:
+            mid = (a + b) // 2
+            cut = c + int(np.argmax(_lengths(x[a:mid], y[c:d]) + _lengths(x[mid:b][::-1], y[c:d][::-1])[::-1]))
+            work += [(a, mid, c, cut), (mid, b, cut, d)]
+            continue
+        own, other = x[a:b], y[c:d]
+        places: dict[int, int] = {}
+        for j, v in enumerate(other):
+            places[v] = places.get(v, 0) | 1 << j
+        rows = list(_rows(own, other))
+        full = (1 << len(other)) - 1
+        j = len(other)
+        for k in range(len(own) - 1, -1, -1):
             above = rows[k - 1] if k else full
             # length up to j with and without line k
             cut = (1 << j) - 1
             grown = j - (rows[k] & cut).bit_count()
             if grown == j - (above & cut).bit_count():
                 continue
-            match = masks[x[px[k]]] & cut
+            match = places[own[k]] & cut
             while match:  # the last place where line k lengthens it
                 at = match.bit_length() - 1
                 if 1 + at - (above & (1 << at) - 1).bit_count() == grown:
-                    out.add(px[k])
+                    out.append(a + k)
                     j = at
                     break
                 match ^= 1 << at
-        return out
-    # occurrences in order, then the longest increasing run of places
-    from bisect import bisect_left
-    place: dict[int, list[int]] = {}
-    for j in reversed(py):
-        place.setdefault(y[j], []).append(j)
-    pairs = [(i, place[x[i]].pop()) for i in px if place[x[i]]]
-    tails: list[int] = []
-    last: list[int] = []
-    back: list[int] = []
-    for k, (_, j) in enumerate(pairs):
-        at = bisect_left(tails, j)
-        tails[at:at + 1] = [j]
-        last[at:at + 1] = [k]
-        back.append(last[at - 1] if at else -1)
-    k = last[-1] if last else -1
-    while k >= 0:
-        out.add(pairs[k][0])
-        k = back[k]
     return out
 
 
@@ -241,15 +259,16 @@ def main_text(own: list[tuple[str, str]], shared: set[int]) -> str:
 
 
 def with_key(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, host, key: keys sort by host, path and page_id."""
+    """page_id, url, html, host, key: keys sort by host, path, page_id and digest of html."""
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     page = F.col("page_id").cast("long")
     number = F.when(page.isNull(), "").when(page < 0, F.concat(F.lit("-"), F.lpad((page + F.lit(1 << 62)).cast("string"), 20, "0"))).otherwise(
         F.lpad(page.cast("string"), 20, "0"))
-    return pages.select(page.alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"),
-                        F.concat_ws("\u0001", host, path, number).alias("key"))
+    html = F.coalesce("html", F.lit(""))
+    return pages.select(page.alias("page_id"), "url", html.alias("html"), host.alias("host"),
+                        F.concat_ws("\u0001", host, path, number, F.md5(html.cast("binary"))).alias("key"))
 
 
 def _points(keyed: DataFrame, parts: int, sample: int = SAMPLE) -> list[str]:
@@ -267,57 +286,126 @@ def _bucket(key: Column, points: list[str]) -> Column:
     return range_bucket(key, points)
 
 
-def _pair_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order; each is written when the next one is known."""
-    before = held = None  # (host, line hashes); (page_id, url, host, lines, hashes)
+def _hashes(own: list[tuple[str, str]]) -> list[int]:
+    return [int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for t, _ in own]
+
+
+def _digest_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [blake2b(repr(_hashes(lines(page))).encode(), digest_size=16).digest() for page in batch["html"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["key"], batch["host"], pa.array(got, pa.binary())], ["key", "host", "digest"])
 
-    def hashed(own):
-        return [int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for t, _ in own]
 
-    def done(page, other):
-        page_id, url, _, own, mine = page
-        shared = common(mine, other) if other is not None else set()
-        text = main_text(own, shared)
-        return page_id, url, text, len(text)
+def _edge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First keys of the first two runs of equal pages and last keys of the last two, of the ranges in order."""
+    runs: list[list] = []  # bucket, host, digest, first key, last key; the first two and last two of a range
+
+    def batch_of():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*runs), (pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string()))],
+                                          ["bucket", "host", "digest", "first", "last"])
+
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("bucket", "host", "digest", "key"))):
+            if runs and runs[-1][0] != row[0]:
+                yield batch_of()
+                runs.clear()
+            if runs and runs[-1][1:3] == list(row[1:3]):
+                runs[-1][4] = row[3]
+            else:
+                if len(runs) == 4:
+                    del runs[2]
+                runs.append([*row, row[3]])
+    if runs:
+        yield batch_of()
+
+
+def _neighbours(light: DataFrame, points: list[str]) -> dict[str, list[int]]:
+    """Buckets that the page of a key is copied to, as the nearest one with other lines before or behind the range."""
+    rows = light.withColumn("bucket", _bucket(F.col("key"), points)).repartitionById(len(points) + 1, "bucket").sortWithinPartitions("key")
+    got = rows.select("bucket", "host", "digest", "key").mapInArrow(_edge_partition, "bucket int, host string, digest binary, first string, last string")
+    runs: dict[int, list] = {}
+    for r in sorted(got.collect(), key=lambda r: (r.bucket, r.first)):
+        runs.setdefault(r.bucket, []).append(r)
+    out: dict[str, list[int]] = {}
+    order = sorted(runs)
+    for place, b in enumerate(order):
+        for edge, others, side in ((runs[b][-1], order[place + 1:], 0), (runs[b][0], order[:place][::-1], -1)):
+            for o in others:
+                near = runs[o] if side == 0 else runs[o][::-1]
+                other = next((r for r in near if (r.host, r.digest) != (edge.host, edge.digest)), None)
+                if other is not None:
+                    if other.host == edge.host:
+                        out.setdefault(other.first if side == 0 else other.last, []).append(b)
+                    break
+    return out
+
+
+def _pair_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages in order; a run of equal pages is written when a page with other lines follows."""
+    host = before = mine = None  # line hashes of the run before and of this one
+    run: list[tuple] = []        # page_id, url, number of the lines in kinds
+    kinds: list[list] = []       # equal lines can have different roles
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "url", "text", "n_chars"])
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], ["page_id", "url", "text", "n_chars"])
 
+    def done(other):
+        shared = common(mine, other) if other is not None and run else set()
+        texts = [main_text(own, shared) for own in kinds]
+        for page_id, url, k in run:
+            yield page_id, url, texts[k], len(texts[k])
+
+    rows, size = [], 0
     for batch in batches:
-        rows, size = [], 0
-        for page_id, url, page, host, real in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "host", "real"))):
+        for page_id, url, page, now_host, real in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "host", "real"))):
             own = lines(page)
-            now = (page_id, url, host, own, hashed(own))
-            if held is not None:
-                other = now[4] if now[2] == held[2] else before[1] if before is not None and before[0] == held[2] else None
-                rows.append(done(held, other))
-                size += len(rows[-1][2])
-                before = (held[2], held[4])
-            held = now if real else None
-            if size > T.GROUP:
-                yield batch_of(rows)
-                rows, size = [], 0
+            now = _hashes(own)
+            if now_host != host or now != mine:
+                for row in done(now if now_host == host else before):
+                    rows.append(row)
+                    size += len(row[2])
+                    if size > T.GROUP:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                before = mine if now_host == host else None
+                host, mine = now_host, now
+                run.clear()
+                kinds.clear()
+            if real:
+                if own not in kinds:
+                    kinds.append(own)
+                run.append((page_id, url, kinds.index(own)))
         if rows:
             yield batch_of(rows)
-    if held is not None:
-        yield batch_of([done(held, before[1] if before is not None and before[0] == held[2] else None)])
+            rows, size = [], 0
+    for row in done(before):
+        rows.append(row)
+        size += len(row[2])
+        if size > T.GROUP:
+            yield batch_of(rows)
+            rows, size = [], 0
+    if rows:
+        yield batch_of(rows)
 
 
 def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     parts = parts or partitions(pages.sparkSession)
     keyed = with_key(pages)
-    points = _points(keyed.drop("html"), parts)
+    light = written(keyed.select("key", "host", "html").mapInArrow(_digest_partition, "key string, host string, digest binary"), "html-lines")
+    points = _points(light, parts)
     rows = keyed.withColumn("bucket", _bucket(F.col("key"), points))
-    if points:
-        # the row of a split point begins its range, and ends the range before as the successor of its last page
-        ranges = F.array_compact(F.array(F.when(F.col("key").isin(points), F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(False).alias("real"))),
-                                         F.struct("bucket", F.lit(True).alias("real"))))
-        rows = rows.select("page_id", "url", "html", "host", "key", F.explode(ranges).alias("_r")).select("page_id", "url", "html", "host", "key", "_r.*")
+    copied = _neighbours(light, points) if points else {}
+    if copied:
+        to = F.create_map(*[x for k, v in sorted(copied.items()) for x in (F.lit(k), F.array(*[F.lit(b) for b in v]))])
+        extra = F.when(F.col("key").isin(list(copied)), F.transform(F.element_at(to, F.col("key")), lambda b: F.struct(b.alias("bucket"), F.lit(False).alias("real"))))
+        ranges = F.array(F.struct("bucket", F.lit(True).alias("real")))
+        rows = rows.select("page_id", "url", "html", "host", "key", F.explode(F.when(extra.isNotNull(), F.concat(ranges, extra)).otherwise(ranges)).alias("_r"))
+        rows = rows.select("page_id", "url", "html", "host", "key", "_r.*")
     else:
         rows = rows.withColumn("real", F.lit(True))
-    rows = rows.repartitionById(len(points) + 1, "bucket").sortWithinPartitions("key", F.col("real").desc(), "html")
+    rows = rows.repartitionById(len(points) + 1, "bucket").sortWithinPartitions("key")
     return rows.mapInArrow(_pair_partition, "page_id long, url string, text string, n_chars long")
 
 

@@ -90,3 +90,31 @@ def test_repeated_and_null_ids(spark):
     got = H.extract(spark.createDataFrame(rows, SCHEMA), 3).collect()
     assert sorted((str(r.page_id), r.text) for r in got) == sorted((str(r[0]), r[2][-1]) for r in rows)
     assert H.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_copies_without_article(spark):
+    """Copied pages keep their text, however many there are and wherever the ranges are cut."""
+    frame = ["Home", "About us", "Imprint"]
+    page = lambda text: "".join(f"<div>{x}</div>" for x in frame) + f"<p>{text}</p>"
+    rows, want = [], {}
+    for i in range(80):
+        text = "Front story" if i < 20 else f"Story {i}" if i < 25 else "Copied story" if i < 65 else f"Story {i}"
+        want[i] = text
+        rows.append((i, f"https://f.example/{i:03d}", page(text), "", 0, ""))
+    for i in range(80, 90):
+        want[i] = "\n".join([*frame, "Only story"])
+        rows.append((i, f"https://g.example/same?q={i}", page("Only story"), "", 0, ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    for parts in (1, 4, 30):
+        got = H.extract(df, parts).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
+def test_split_alignment_is_longest(monkeypatch):
+    rng = random.Random(5)
+    for bits in (0, 40, 200):
+        monkeypatch.setattr(H, "ALIGN_BITS", bits)
+        for _ in range(150):
+            x, y = ([rng.randrange(rng.choice([2, 6, 40])) for _ in range(rng.randint(0, 25))] for _ in "xy")
+            got = [x[i] for i in sorted(H.common(x, y))]
+            assert len(got) == lcs(x, y) and subsequence(got, y)
