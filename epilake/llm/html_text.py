@@ -2,10 +2,13 @@
 
 A page becomes lines, one for each block, with the role that its markup gives it:
 
-- `out`: inside menus, headers, footers, sidebars, notices, adverts, forms,
-  comments and the like, by element name, ARIA role, or a word of class or id;
+- `out`: inside menus, headers, footers, sidebars, forms and the like, by element
+  name, ARIA role or hidden;
 - `prose`: a paragraph, heading, quote, table or list text inside article or main;
-- `open`: anything else.
+- `open`: anything else, also inside elements that a word of class or id names a menu,
+  header, advert, notice, comment or the like. Such a word says nothing if the element
+  holds an article or main, or, within one, more than half of its text (comments aside),
+  or beside a modifier as in `has-sidebar`.
 
 Pages are sorted by host, then URL path without scheme, query and fragment; a
 page is paired with the next one of its host that has other lines, the last with the
@@ -45,6 +48,8 @@ from epilake.llm import text as T
 from epilake.llm.tables import partitions, range_bucket, read_table, written
 
 OUT, OPEN, PROSE, INNER = "out", "open", "prose", "inner"
+#: Roles of elements that a word of class or id marks; the second for comments, whatever their size.
+NAMED, REPLIES = "named", "replies"
 #: Keys that split points are chosen from, for each range.
 SAMPLE = 64
 #: Bits of alignment that a pair may take at once; beyond, it is split where the lengths of both halves add up best.
@@ -65,6 +70,9 @@ OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "
              "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup",
              "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "respond", "replies",
              "disqus", "pagination", "pager", "widget", "widgets", "toolbar", "search", "skip", "disclaimer"}
+REPLY_WORDS = {"comment", "comments", "respond", "replies", "disqus"}
+#: A class or id with one of these tells what the element has or lacks, not what it is.
+MODIFIERS = {"has", "no", "not", "with", "without", "is", "enable", "enabled", "disable", "disabled"}
 #: With one of these beside it, "header" names the head of the article itself.
 ARTICLE_WORDS = {"article", "post", "entry", "story"}
 
@@ -87,13 +95,19 @@ def _role(name: str, attrs: str) -> str | None:
             return OUT
         if got.get("role", "").lower() in OUT_ROLES:
             return OUT
-        words = set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", got.get("class", "") + " " + got.get("id", "")).lower()))
-        if name in MAIN_ELEMENTS or name in ("html", "body"):
+        words = set()
+        for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", got.get("class", "") + " " + got.get("id", "")).lower().split():
+            parts = set(_WORDS.findall(token))
+            if not parts & MODIFIERS:
+                words |= parts
+        if name in ("html", "body"):
+            words = set()
+        if name in MAIN_ELEMENTS:
             words &= {"comment", "comments"}
         if words & ARTICLE_WORDS:
             words -= {"header"}
         if words & OUT_WORDS:
-            return OUT
+            return REPLIES if words & REPLY_WORDS else NAMED
         if got.get("role", "").lower() in MAIN_ELEMENTS or got.get("itemprop", "").lower() == "articlebody":
             return INNER
     if name in MAIN_ELEMENTS:
@@ -108,6 +122,15 @@ def lines(page: str) -> list[tuple[str, str]]:
     stack: list[tuple[str, str | None]] = []  # open elements that matter
     depth_out = depth_main = 0
     block = ""
+    # elements marked by a word: those open, and for each the one around it, whether it is no mark, and its text inside article or main
+    named: list[int] = []
+    around: list[int] = []
+    cleared: list[bool] = []
+    held: list[int] = []
+    replies: list[bool] = []
+    within: list[bool] = []
+    owner: list[int] = []  # for each line the innermost of them, or -1
+    inner_chars = 0
 
     def flush():
         if buffer:
@@ -116,6 +139,21 @@ def lines(page: str) -> list[tuple[str, str]]:
             if text:
                 role = OUT if depth_out else INNER if depth_main else OPEN
                 out.append((text, PROSE if role == INNER and block in PROSE_BLOCKS else role))
+                owner.append(named[-1] if named else -1)
+                if role == INNER:
+                    nonlocal inner_chars
+                    inner_chars += len(text)
+                    if named:
+                        held[named[-1]] += len(text)
+
+    def leave(i):
+        nonlocal depth_out, depth_main
+        for _, role in stack[i:]:
+            depth_out -= role == OUT
+            depth_main -= role == INNER
+            if role in (NAMED, REPLIES):
+                named.pop()
+        del stack[i:]
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -140,34 +178,49 @@ def lines(page: str) -> list[tuple[str, str]]:
         if m["close"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, role in stack[i:]:
-                        depth_out -= role == OUT
-                        depth_main -= role == INNER
-                    del stack[i:]
+                    leave(i)
                     break
         elif name not in VOID and not m["attrs"].endswith("/"):
             if name == "body":  # a head that was not closed
-                stack.clear()
-                depth_out = depth_main = 0
+                leave(0)
             role = _role(name, m["attrs"])
-            if name == "header" and depth_main:
-                role = None if role == OUT else role
+            if name == "header" and depth_main and role in (OUT, NAMED, REPLIES):
+                role = None
+            elif name == "header" and not depth_main and role in (NAMED, REPLIES):
+                role = OUT  # by its name
             if role is None and name not in BLOCKS:
                 continue
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                depth_out -= stack[-1][1] == OUT
-                depth_main -= stack[-1][1] == INNER
-                stack.pop()  # the next one ends it
+                leave(len(stack) - 1)  # the next one ends it
             if not is_block:
-                flush_role = depth_out == 0 and role == OUT
+                flush_role = depth_out == 0 and role in (OUT, NAMED, REPLIES)
                 if flush_role:
                     flush()
             stack.append((name, role))
             depth_out += role == OUT
             depth_main += role == INNER
+            if role in (NAMED, REPLIES):
+                around.append(named[-1] if named else -1)
+                named.append(len(cleared))
+                cleared.append(False)
+                held.append(0)
+                replies.append(role == REPLIES)
+                within.append(depth_main > 0)
+            elif role == INNER and depth_out == 0:
+                for k in reversed(named):
+                    if cleared[k]:
+                        break
+                    cleared[k] = True
     buffer.append(page[at:])
     flush()
-    return out
+    marked = [False] * len(cleared)
+    for k in range(len(cleared) - 1, -1, -1):  # inner ones before those around them
+        if around[k] >= 0:
+            held[around[k]] += held[k]
+    for k in range(len(cleared)):
+        big = within[k] and not replies[k] and 2 * held[k] > inner_chars
+        marked[k] = not (cleared[k] or big) or (around[k] >= 0 and marked[around[k]] and not cleared[k])
+    return [(text, OPEN if k >= 0 and marked[k] and role != OUT else role) for (text, role), k in zip(out, owner)]
 
 
 def common(x: list[int], y: list[int]) -> set[int]:

@@ -118,3 +118,18 @@ def test_split_alignment_is_longest(monkeypatch):
             x, y = ([rng.randrange(rng.choice([2, 6, 40])) for _ in range(rng.randint(0, 25))] for _ in "xy")
             got = [x[i] for i in sorted(H.common(x, y))]
             assert len(got) == lcs(x, y) and subsequence(got, y)
+
+
+def test_class_words_of_wrappers():
+    story = "<article><h1>Title</h1><p>The story.</p></article>"
+    want = "Title\nThe story."
+    for wrapper in ('class="wrap has-sidebar"', 'id="page" class="no-sidebar"', 'class="content-with-header"', 'class="header-layout"', 'id="search"'):
+        assert H.main_text(H.lines(f"<body><div {wrapper}><nav>Menu</nav>{story}<div class='sidebar'>Side</div></div>"), set()) == want, wrapper
+    for wrapper in ('class="share-enabled"', 'class="widget-text"'):
+        page = f"<article><h1>Title</h1><div {wrapper}><p>The story is told at some length.</p></div><div class='social'><p>Share</p></div></article>"
+        assert H.main_text(H.lines(page), set()) == "Title\nThe story is told at some length.", wrapper
+    page = "<article><h1>T</h1><p>x</p><section id='comments'><article class='comment'><p>A very long reply to this.</p></article></section></article>"
+    assert H.main_text(H.lines(page), set()) == "T\nx"
+    # without article or main the pair decides
+    own = H.lines("<div class='widget'>About us</div><div class='search-results'><p>Own text.</p></div>")
+    assert own == [("About us", H.OPEN), ("Own text.", H.OPEN)] and H.main_text(own, {0}) == "Own text."
