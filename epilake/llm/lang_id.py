@@ -25,14 +25,16 @@ its own n-grams of all texts, and the sums are added. No n-gram or language is c
 Decision: the language of the lowest cross-entropy per character. A calibration
 slice (1 in CALIBRATE of the training texts, left out of the counts) fits a
 temperature that turns cross-entropies into a probability, and for each language
-the mean, deviation and an upper bound of the cross-entropy by length: a text
-above it in its best language is rejected, as is one without letters.
+the median of the uncapped cross-entropy, its variance within and between texts, and an
+upper bound in deviations at the text's length. These are medians and a 0.9 quantile over
+all calibration texts, so a few odd or wrongly labelled ones don't move them. A text
+above the bound in its best language is rejected, as is one without letters.
 
 Edge cases: null, empty and letterless texts get `und`, score 0 and are rejected.
 A tie goes to the language first in order. Repeated rows count as often as they
 occur. Without training text every prediction is `und`. A language whose texts all
-fall into the calibration slice is learned from them. A language without
-calibration texts has the widest bound of the others. Rows without lang are not
+fall into the calibration slice is learned from them. A language with fewer
+than LEAST_TEXTS calibration texts has the widest bound of all. Rows without lang are not
 learned from.
 """
 
@@ -53,12 +55,14 @@ ORDER = 5
 BITS = 12
 MODEL_ROWS = 8_000_000
 CALIBRATE = 16
-#: Share of calibration texts of a language that its bound may reject, and deviations added to it.
-REJECT_SHARE = 0.001
-SLACK = 1.0
-#: A rejected text lies this many times as far above the language's mean as REJECT_SHARE of its texts do.
-MARGIN = 2.0
-#: Most that one character adds to a text's cross-entropy, so that a short foreign passage doesn't decide a text.
+#: A rejected text lies so many robust deviations above the median of its language.
+REACH = 6.0
+#: Calibration texts that a language's own bound takes.
+LEAST_TEXTS = 20
+#: Median of the square, and 0.9 quantile, of a normal variable.
+SQUARE_MEDIAN, NORMAL_90 = 0.4549, 1.2816
+TEMPERATURES = np.exp(np.linspace(np.log(0.02), np.log(20), 60))
+#: Most that one character adds to a text's cross-entropy, so that a short foreign passage doesn't decide a text; rejection sees all.
 LOSS_CAP = 5.0
 UND = "und"
 _MASK = (1 << BITS) - 1
@@ -185,7 +189,7 @@ class Model:
     contexts: list[Table]    # by length of the context, from 0: log back-off weights
     floor: float             # log of the uniform distribution
     temperature: float = 1.0
-    bounds: dict = field(default_factory=dict)  # lang: (mean, deviation of a character, slack)
+    bounds: dict = field(default_factory=dict)  # lang: (median, variance between texts, variance of a character, deviations)
 
     def losses(self, g: np.ndarray) -> np.ndarray:
         """Negative log probabilities of highest-order n-grams, by n-gram and language."""
@@ -342,9 +346,9 @@ def _cut(table: DataFrame, langs: list[str], order: int, model_rows: int) -> Blo
 
 
 def _block_sums(rows: DataFrame, model: Blocks) -> DataFrame:
-    """(_at, sums, squares, size): losses of every text of rows (_at, _text), added over the blocks in their order."""
+    """(_at, sums, raws, squares, size): losses of every text of rows (_at, _text), added over the blocks in their order."""
     spark, cuts, order = rows.sparkSession, np.asarray(model.cuts, np.uint64), model.order
-    schema = "_at long, block int, sums array<double>, squares array<double>, size long"
+    schema = "_at long, block int, sums array<double>, raws array<double>, squares array<double>, size long"
     parts = None
     for b in range(len(model)):
         shared = spark.sparkContext.broadcast(model.block(b))
@@ -352,34 +356,35 @@ def _block_sums(rows: DataFrame, model: Blocks) -> DataFrame:
         def run(batches, shared=shared, b=b):
             mine = lambda g: np.searchsorted(cuts, _pair(g), "right") == b
             for batch in batches:
-                mean, square, size = cross_entropies(shared.value, batch["_text"].to_pylist(), squared=True, mine=mine)
+                mean, raw, square, size = cross_entropies(shared.value, batch["_text"].to_pylist(), squared=True, mine=mine)
                 n = np.maximum(size, 1)[:, None]
-                yield pa.RecordBatch.from_arrays([batch["_at"], pa.array([b] * len(size), pa.int32()), pa.array(list(mean * n), pa.list_(pa.float64())),
-                                                  pa.array(list(square * n), pa.list_(pa.float64())), pa.array(size)],
-                                                 ["_at", "block", "sums", "squares", "size"])
+                wide = [pa.array(list(x * n), pa.list_(pa.float64())) for x in (mean, raw, square)]
+                yield pa.RecordBatch.from_arrays([batch["_at"], pa.array([b] * len(size), pa.int32()), *wide, pa.array(size)],
+                                                 ["_at", "block", "sums", "raws", "squares", "size"])
 
         part = rows.select("_at", "_text").mapInArrow(run, schema)
         parts = part if parts is None else parts.unionByName(part)
-    got = parts.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("block", "sums", "squares"))).alias("p"), F.max("size").alias("size"))
+    got = parts.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("block", "sums", "raws", "squares"))).alias("p"), F.max("size").alias("size"))
     places = F.sequence(F.lit(0), F.lit(len(model.langs) - 1))
 
     def total(name):
         return F.transform(places, lambda j: F.aggregate("p", F.lit(0.0), lambda acc, x: acc + F.get(x[name], j))).alias(name)
 
-    return got.select("_at", total("sums"), total("squares"), "size")
+    return got.select("_at", total("sums"), total("raws"), total("squares"), "size")
 
 
 def _wide(column) -> np.ndarray:
     return np.stack(column.to_pylist()) if len(column) else np.empty((0, 0))
 
 
-def cross_entropies(model: Model, texts: list[str | None], squared: bool = False, mine=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean loss and mean squared loss of a character, by text and language, and numbers of characters.
+def cross_entropies(model: Model, texts: list[str | None], squared: bool = False, mine=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean capped loss, mean loss and mean squared loss of a character, by text and language, and numbers of characters.
 
     Long texts are scored in pieces of n-grams, so memory does not follow their scores. With `mine`, only the n-grams
     that it chooses add to the sums; the numbers are still those of all characters.
     """
     sums = np.zeros((len(texts), len(model.langs)))
+    raws = np.zeros((len(texts), len(model.langs)))
     squares = np.zeros((len(texts), len(model.langs)))
     size = np.zeros(len(texts), np.int64)
     parts: list[np.ndarray] = []
@@ -387,8 +392,9 @@ def cross_entropies(model: Model, texts: list[str | None], squared: bool = False
 
     def flush():
         at = np.cumsum([0] + [len(p) for p in parts[:-1]])
-        loss = np.minimum(model.losses(np.concatenate(parts)), np.float32(LOSS_CAP))
-        np.add.at(sums, owner, np.add.reduceat(loss, at, axis=0, dtype=np.float64))
+        loss = model.losses(np.concatenate(parts))
+        np.add.at(sums, owner, np.add.reduceat(np.minimum(loss, np.float32(LOSS_CAP)), at, axis=0, dtype=np.float64))
+        np.add.at(raws, owner, np.add.reduceat(loss, at, axis=0, dtype=np.float64))
         if squared:
             np.add.at(squares, owner, np.add.reduceat(loss ** 2, at, axis=0, dtype=np.float64))
         parts.clear()
@@ -414,34 +420,7 @@ def cross_entropies(model: Model, texts: list[str | None], squared: bool = False
     if parts:
         flush()
     n = np.maximum(size, 1)[:, None]
-    return sums / n, squares / n, size
-
-
-def fit_calibration(model: Model, true: np.ndarray, mean: np.ndarray, square: np.ndarray, size: np.ndarray) -> None:
-    """Temperature by a line search of the log loss; bounds of the cross-entropy by language."""
-    if not len(true):
-        return
-    scores = -mean * np.sqrt(size)[:, None]
-
-    def log_loss(t):
-        z = scores / t
-        z = z - z.max(axis=1, keepdims=True)
-        return -(z[np.arange(len(true)), true] - np.log(np.exp(z).sum(axis=1))).mean()
-
-    grid = np.exp(np.linspace(np.log(0.02), np.log(20), 60))
-    model.temperature = float(grid[int(np.argmin([log_loss(t) for t in grid]))])
-    for j, lang in enumerate(model.langs):
-        own = true == j
-        if own.any():
-            n = size[own]
-            centre = float((mean[own, j] * n).sum() / n.sum())
-            spread = float(np.sqrt(max(1e-9, (square[own, j] * n).sum() / n.sum() - centre ** 2)))
-            z = (mean[own, j] - centre) * np.sqrt(n) / spread
-            model.bounds[lang] = (centre, spread, float(np.quantile(z, 1 - REJECT_SHARE)) + SLACK, float(np.quantile(mean[own, j], 1 - REJECT_SHARE)))
-    if model.bounds:
-        widest = tuple(max(b[k] for b in model.bounds.values()) for k in range(4))
-        for lang in model.langs:
-            model.bounds.setdefault(lang, widest)
+    return sums / n, raws / n, squares / n, size
 
 
 def decide(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -449,12 +428,12 @@ def decide(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.
     if model is None:
         n = len(texts)
         return [UND] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-    mean, _, size = cross_entropies(model, texts)
-    return judge(model, mean, size)
+    mean, raw, _, size = cross_entropies(model, texts)
+    return judge(model, mean, raw, size)
 
 
-def judge(model: Model | Blocks, mean: np.ndarray, size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """decide() from mean losses by text and language."""
+def judge(model: Model | Blocks, mean: np.ndarray, raw: np.ndarray, size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """decide() from mean capped and uncapped losses by text and language."""
     if not len(size):
         return [], np.zeros(0), np.zeros(0), np.zeros(0, bool)
     best = mean.argmin(axis=1)
@@ -471,9 +450,8 @@ def judge(model: Model | Blocks, mean: np.ndarray, size: np.ndarray) -> tuple[li
         lang = model.langs[b]
         langs.append(lang)
         if lang in model.bounds:
-            centre, spread, sd, top = model.bounds[lang]
-            # above both: what chance allows at this length, and what calibration texts reach with a margin
-            reject[i] = lowest[i] > centre + sd * spread / np.sqrt(size[i]) and lowest[i] > centre + MARGIN * (top - centre)
+            centre, between, spread, limit = model.bounds[lang]
+            reject[i] = raw[i, b] > centre + limit * np.sqrt(between + spread / size[i])
     return langs, score, lowest, reject
 
 
@@ -499,38 +477,80 @@ def train(labelled: DataFrame, order: int = ORDER, calibrate: int = CALIBRATE, m
     return model
 
 
-def _calibrate(spark: SparkSession, model: Model | Blocks, rows: DataFrame, limit: int = 20_000) -> None:
-    """Fits temperature and bounds on about `limit` calibration texts at most, chosen by a hash of doc_id.
+CALIBRATION_SCHEMA = "true long, loss double, square double, size long, grid array<double>"
+
 
-    Tasks score their own texts; four numbers for each text and language reach the driver.
+def _calibration_batch(true: np.ndarray, mean: np.ndarray, raw: np.ndarray, square: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Losses of each text in its own language, and a row (true = -1) of the log losses at all temperatures."""
+    at = np.arange(len(true))
+    scores = -mean * np.sqrt(size)[:, None]
+    scores -= scores.max(axis=1, keepdims=True)
+    grid = [float((np.log(np.exp(scores / t).sum(axis=1)) - scores[at, true] / t).sum()) for t in TEMPERATURES]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.append(true, -1)), pa.array(np.append(raw[at, true], 0.0)), pa.array(np.append(square[at, true], 0.0)),
+         pa.array(np.append(size, 0)), pa.array([None] * len(true) + [grid], pa.list_(pa.float64()))], ["true", "loss", "square", "size", "grid"])
+
+
+def _calibrate(spark: SparkSession, model: Model | Blocks, rows: DataFrame) -> None:
+    """Fits temperature and bounds on all calibration texts.
+
+    Tasks score their own texts; a few numbers for each language reach the driver.
     """
-    total = rows.select("doc_id").count()
-    if total > limit:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (limit << 20) // total)
     if isinstance(model, Blocks):
         number = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col("lang")) - 1
         texts = written(rows.select(number.alias("true"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_at")), "lang-calibration")
-        got = texts.select("_at", "true").join(_block_sums(texts, model), "_at").where((F.col("size") > 0) & (F.col("true") >= 0)).toArrow()
-        if got.num_rows:
-            size = np.asarray(got["size"])
-            fit_calibration(model, np.asarray(got["true"]), _wide(got["sums"]) / size[:, None], _wide(got["squares"]) / size[:, None], size)
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    size = np.asarray(batch["size"])
+                    yield _calibration_batch(np.asarray(batch["true"]), *(_wide(batch[c]) / size[:, None] for c in ("sums", "raws", "squares")), size)
+
+        scored = texts.select("_at", "true").join(_block_sums(texts, model), "_at").where((F.col("size") > 0) & (F.col("true") >= 0))
+        scored = scored.mapInArrow(run, CALIBRATION_SCHEMA)
+    else:
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches):
+            m = shared.value
+            place = {x: i for i, x in enumerate(m.langs)}
+            for batch in batches:
+                mean, raw, square, size = cross_entropies(m, batch["text"].to_pylist(), squared=True)
+                true = np.array([place.get(x, -1) for x in batch["lang"].to_pylist()], np.int64)
+                ok = (size > 0) & (true >= 0)
+                if ok.any():
+                    yield _calibration_batch(true[ok], mean[ok], raw[ok], square[ok], size[ok])
+
+        scored = rows.select("lang", "text").mapInArrow(run, CALIBRATION_SCHEMA)
+    scored = written(scored, "lang-calibration-scores")
+    grid = scored.where(F.col("true") < 0).select(F.posexplode("grid")).groupBy("pos").agg(F.sum("col").alias("x")).collect()
+    if not grid:
         return
-    shared = spark.sparkContext.broadcast(model)
+    model.temperature = float(TEMPERATURES[min(grid, key=lambda r: (r.x, r.pos)).pos])
+    _fit_bounds(model, scored.where(F.col("true") >= 0))
 
-    def run(batches):
-        m = shared.value
-        place = {x: i for i, x in enumerate(m.langs)}
-        for batch in batches:
-            mean, square, size = cross_entropies(m, batch["text"].to_pylist(), squared=True)
-            true = np.array([place.get(x, -1) for x in batch["lang"].to_pylist()], np.int64)
-            ok = (size > 0) & (true >= 0)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(true[ok]), pa.array(list(mean[ok])), pa.array(list(square[ok])), pa.array(size[ok])], ["true", "mean", "square", "size"])
 
-    got = rows.select("lang", "text").mapInArrow(run, "true long, mean array<double>, square array<double>, size long").toArrow()
-    if got.num_rows:
-        fit_calibration(model, np.asarray(got["true"]), _wide(got["mean"]), _wide(got["square"]), np.asarray(got["size"]))
+def _fit_bounds(model: Model | Blocks, scored: DataFrame) -> None:
+    """Bounds from (true, loss, square, size) by medians and quantiles over all rows of a language."""
+    j = F.col("true").cast("int") + 1
+
+    def of(stats: dict, k: int) -> Column:
+        return F.element_at(F.array(*[F.lit(float(stats[i][k]) if i in stats else 0.0) for i in range(len(model.langs))]), j)
+
+    within = F.greatest(F.col("square") - F.col("loss") ** 2, F.lit(1e-9))
+    stats = {r.true: (r.centre, r.spread, r.n) for r in scored.groupBy("true").agg(
+        F.percentile_approx("loss", 0.5).alias("centre"), F.percentile_approx(within, 0.5).alias("spread"), F.count(F.lit(1)).alias("n")).collect()}
+    above, chance = F.col("loss") - of(stats, 0), of(stats, 1) / F.col("size")
+    between = {r.true: (max(0.0, r.b),) for r in scored.groupBy("true").agg(
+        F.percentile_approx(above ** 2 / SQUARE_MEDIAN - chance, 0.5).alias("b")).collect()}
+    z = above / F.sqrt(of(between, 0) + chance)
+    bounds = {}
+    for r in scored.groupBy("true").agg(F.percentile_approx(z, [0.5, 0.9]).alias("q")).collect():
+        limit = r.q[0] + REACH * max(1.0, (r.q[1] - r.q[0]) / NORMAL_90)
+        bounds[r.true] = (stats[r.true][0], between[r.true][0], stats[r.true][1], limit)
+    widest = tuple(max(b[k] for b in bounds.values()) for k in range(4))
+    for i, lang in enumerate(model.langs):
+        model.bounds[lang] = bounds[i] if i in bounds and stats[i][2] >= LEAST_TEXTS else widest
 
 
 PREDICT_SCHEMA = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -543,7 +563,8 @@ def _judge_sums(keep: tuple[str, ...], langs: list[str], temperature: float, bou
         for batch in batches:
             if batch.num_rows:
                 size = np.asarray(batch["size"])
-                out = judge(model, _wide(batch["sums"]) / np.maximum(size, 1)[:, None], size)
+                n = np.maximum(size, 1)[:, None]
+                out = judge(model, _wide(batch["sums"]) / n, _wide(batch["raws"]) / n, size)
                 yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), pa.array(out[0], pa.string()), *map(pa.array, out[1:])],
                                                  [*keep, "lang_pred", "score", "cross_entropy", "rejected"])
 

@@ -130,3 +130,15 @@ def test_blocks_are_the_whole_model(spark):
     order = lambda rows: sorted(map(str, ((r.doc_id, r.lang_pred, r.rejected, round(r.score, 3), round(r.cross_entropy, 3)) for r in rows)))
     assert order(L.predict(df, small).collect()) == order(L.predict(df, big).collect())
     assert L.predict(df.where("doc_id >= 5000"), small).where("lang_pred = 'rare'").count() == 2
+
+
+def test_noisy_labels_leave_rejection_on(spark):
+    """Short and wrongly labelled training texts don't lift the bounds out of reach."""
+    rng = random.Random(3)
+    garbage = lambda n: "".join(rng.choices("qxzjkvw жщцъ", k=n))
+    rows = corpus(900) + [(2000 + i, garbage(rng.randint(2, 40)), lang) for i, lang in enumerate(sorted(WORDS) * 6)]
+    df = spark.createDataFrame([(d, t, x, "a", 1) for d, t, x in rows], SCHEMA)
+    model = L.train(df, calibrate=3)
+    rejected = L.decide(model, [garbage(300) for _ in range(20)])[3]
+    assert rejected.all()
+    assert L.decide(model, [t for _, t, _ in corpus(300, 9)])[3].sum() <= 3
