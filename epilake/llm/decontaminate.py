@@ -3,7 +3,7 @@
 Tokens are runs of ASCII letters, digits and other non-ASCII bytes, letters of Latin-1 folded.
 A token that begins with a digit (parts split by one "." or "," count as one) or
 is a number word becomes <NUM>, a unit word behind a number <UNIT>, and, in a
-second stream, a capitalised word <NAME>. Both streams of an item are cut into
+second stream, a capitalised word <NAME>. The streams of an item are cut into
 windows of WINDOW tokens; a document's windows are joined to them by hash. Each
 joined window lies on a diagonal (document position less item position). On a
 diagonal the slots must be consistent: one item value stands for one document
@@ -12,16 +12,19 @@ the slots. An item is found if consistent windows cover at least MATCHED of its
 tokens or, if it is shorter, SHORT_SHARE of them.
 
 The first stream finds passages whose case was changed, the second renamed ones;
-a window of the second must hold a name and LITERALS literal tokens at least.
+a window of the first must hold LITERALS literal or name tokens at least, one of the
+second a name and LITERALS literal tokens. A third stream has the tokens themselves and
+no such condition: it finds exact copies, also of passages made of numbers.
 
 The benchmark is a query set: it is packed by a hash of the item into blocks of at
 most about BLOCK_BYTES of text, and every block is broadcast against all
 documents. The join happens inside the tasks that read the documents, so these
 are not shuffled and no passage, however common, meets in one task.
 
-Edge cases: null or empty texts are never contaminated; null or empty items, and
-items of fewer than LEAST tokens, are found nowhere (a few words are no evidence).
-Items of LEAST to WINDOW - 1 tokens are one window. Repeated items are all
+Edge cases: null or empty texts are never contaminated; null or empty items are found
+nowhere. Items of fewer than LEAST tokens are found by the third stream if they hold a
+number in digits and another two tokens, or two such numbers, else nowhere (a few words
+are no evidence). Items of less than WINDOW tokens are one window. Repeated items are all
 reported; repeated documents each get their rows. Other columns are not read.
 """
 
@@ -99,19 +102,21 @@ class Tokens:
         kind[behind & np.isin(h, _UNIT_HASHES)] = UNIT
         self.value, self.kind, self.counts = h, kind, counts
         slot = (kind == NUM) | (kind == UNIT)
-        self.streams = (np.where(slot, _PLACE[kind], h), np.where(kind > 0, _PLACE[kind], h))
+        self.streams = (np.where(slot, _PLACE[kind], h), np.where(kind > 0, _PLACE[kind], h), h)
 
     def windows(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For both streams: hashes of windows of n tokens, and the token that each begins at."""
+        """For each stream, below LEAST tokens the third alone: hashes of windows of n tokens, and the token that each begins at."""
         many = np.maximum(self.counts - n + 1, 0)
         starts = np.cumsum(self.counts) - self.counts
         at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
         literal = np.concatenate(([0], np.cumsum(self.kind == LITERAL)))
         names = np.concatenate(([0], np.cumsum(self.kind == NAME)))
-        for s in (0, 1):
+        for s in (0, 1, 2) if n >= LEAST else (2,):
             g, _ = T.grams(self.streams[s], self.counts, n, whole=False)
             if s == 0:  # not a run of slots alone
                 keep = literal[at + n] - literal[at] + names[at + n] - names[at] >= min(n, LITERALS)
+            elif s == 2:
+                keep = np.ones(len(at), bool)
             else:
                 keep = (names[at + n] > names[at]) & (literal[at + n] - literal[at] >= min(n, LITERALS))
             yield s, T.mix(g[keep] ^ np.uint64(s + 1)), at[keep]
@@ -126,10 +131,12 @@ class Benchmark:
         self.starts = np.cumsum(t.counts) - t.counts
         self.windows: dict[int, tuple] = {}
         owner = np.repeat(np.arange(len(ids)), t.counts)
-        for n in sorted({WINDOW} | {int(c) for c in t.counts if LEAST <= c < WINDOW}):
+        digits = np.bincount(owner, (t.kind == NUM) & ~np.isin(t.value, _NUMBER_HASHES), len(ids))
+        evident = (t.counts >= LEAST) | (digits >= 2) | ((digits == 1) & (t.counts > 2))
+        for n in sorted({WINDOW} | {int(c) for c in t.counts[evident] if c < WINDOW}):
             rows = []
             for s, h, at in t.windows(n):
-                keep = (t.counts[owner[at]] == n) if n < WINDOW else np.ones(len(at), bool)
+                keep = ((t.counts[owner[at]] == n) & evident[owner[at]]) if n < WINDOW else np.ones(len(at), bool)
                 rows.append((h[keep], np.full(keep.sum(), s), at[keep]))
             h, s, at = (np.concatenate(x) for x in zip(*rows))
             by = np.argsort(h, kind="stable")
@@ -190,7 +197,7 @@ def find(bench: Benchmark, texts: list[bytes]) -> Iterator[tuple[int, int, int,
             own = np.cumsum(own)[:length] > 0
             tok = begin + np.flatnonzero(own)
             kinds = bench.tokens.kind[tok]
-            slot = kinds > 0 if s[x] else (kinds == NUM) | (kinds == UNIT)
+            slot = kinds > 0 if s[x] == 1 else ((kinds == NUM) | (kinds == UNIT)) & (s[x] == 0)
             tok, kinds = tok[slot], kinds[slot]
             pairs = list(zip(kinds.tolist(), bench.tokens.value[tok].tolist(), docs.value[tok + shift[x]].tolist()))
             if _consistent(pairs):

@@ -72,3 +72,15 @@ def test_empty(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert D.matches(docs, none).collect() == [] and D.remove(docs, none).count() == 1
     assert D.matches(docs.limit(0), bench).collect() == []
+
+
+def test_exact_copies_of_numbers():
+    """Number-heavy and short items are found verbatim; other numbers in them are no copy."""
+    around = "Some 3 words first. {} And 7 more of them."
+    for item in ("What is 17 times 23?", "Compute 12 * 15", "12 * 15", "1 1 2 3 5 8 13 21 34 55", "Q: 4 8 15 16 23 42",
+                 "year 1990 1991 1992 total 12.5 13,000 14 15 16 17 18 19 20"):
+        (_, share, changed), = found(around.format(item), item)
+        assert (share, changed) == (1.0, 0), item
+        assert found(around.format(item.upper()), item), item
+        assert not found(around.format(item.replace("1", "9").replace("2", "6")), item), item
+    assert not found("page 2 of the thing er text 42", "page 2") and not found("a 42 b", "42") and not found("one day later", "one day later")
