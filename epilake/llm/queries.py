@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from epilake.llm.conversations import op12_conversations
 from epilake.llm.decontaminate import op7_decontaminate
 from epilake.llm.html_text import op9_html_text
 from epilake.llm.lang_id import op4_lang_id
@@ -15,6 +16,6 @@ from epilake.llm.warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {q.__name__: q for q in (
     op1_token_orc, op2_simhash, op3_warc_revisits, op4_lang_id, op5_mix_sources, op6_importance_resampling, op7_decontaminate,
-    op8_toxicity, op9_html_text, op10_minhash,
+    op8_toxicity, op9_html_text, op10_minhash, op12_conversations,
 )}
 ORACLES = {"op3_warc_revisits": OP3_SQL, "op5_mix_sources": OP5_SQL}

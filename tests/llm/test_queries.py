@@ -11,6 +11,9 @@ COLUMNS = {
     "op3": "page_id payload_bytes payload_digest record_type refers_to", "op4": "doc_id held_out lang_pred score",
     "op5": "doc_id size source_size target taken", "op6": "doc_id", "op7": "doc_id item_id", "op8": "doc_id held_out score predicted",
     "op9": "page_id url text n_chars", "op10": "doc_id n_shingles component_id kept",
+    "op11": "doc_id n_words n_removed kept_sha256",
+    "op12": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 
@@ -25,9 +28,9 @@ def test_query(spark, key):
     assert set(COLUMNS[n].split()) <= set(got.columns)
     rows = got.collect()
     con = duckdb.connect()
-    if n not in ("op6", "op7"):
-        name = "pages" if n in ("op3", "op9") else "documents"
-        ids = [r[0] for r in con.execute(f"select {name[:-1] if name == 'pages' else 'doc'}_id from {table(name)}").fetchall()]
+    if n not in ("op6", "op7", "op13"):
+        name, of = {"op3": ("page_id", "pages"), "op9": ("page_id", "pages"), "op12": ("distinct conv_id", "conversations")}.get(n, ("doc_id", "documents"))
+        ids = [r[0] for r in con.execute(f"select {name} from {table(of)}").fetchall()]
         assert sorted(r[COLUMNS[n].split()[0]] for r in rows) == sorted(ids)
     if key in ORACLES:
         for t in ("documents", "pages", "benchmark", "labels"):
