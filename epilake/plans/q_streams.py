@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from epilake import fixed as X
+from epilake.plans import q_warehouse  # noqa: F401  (registers region_trend first)
 from epilake.plans.q_outbreaks import TRIG
-from epilake.plans.registry import query
+from epilake.plans.registry import REGISTRY, query
+from epilake.sources.bind import Bindings
+from epilake.sources.lake import tagged_path
+from epilake.streaming import lake_sink as LS
 from epilake.streaming import streams as ST
 
 
@@ -65,3 +73,84 @@ def stream_outbreaks(b):
     (expiry 60 days from start)."""
     out = ST.run_available(ST.outbreak_tracker(b, ST.case_stream(b)), b.spark, b.t.sf_dir, "outbreaks")
     return ST.tracker_as_dates(out)
+
+
+# ------------------------------------------------------------------ arrivals into the lake
+#: Years of reports in one delivery.
+DELIVERY_YEARS = 3
+
+
+def _deliveries(b, run):
+    """Delivers the reports (lineitem rows) by report year into a folder, a few years at a time, and calls
+    `run(stream of cases)` behind each delivery: a restart of the stream on its checkpoint."""
+    base = tagged_path(b.spark, b.t.sf_dir, "arrivals", uuid.uuid4().hex[:12])
+    li = b.t("lineitem").select(*Bindings.LINEITEM_COLS)
+    first, last = li.agg(F.year(F.min("l_shipdate")), F.year(F.max("l_shipdate"))).first()
+    for year in range(first, last + 1, DELIVERY_YEARS) if first is not None else []:
+        new = li.where(F.year("l_shipdate").between(year, year + DELIVERY_YEARS - 1))
+        new.write.mode("append").parquet(f"{base}/lineitem")
+        run(b.case_from(ST.table_stream(b.spark, f"{base}/lineitem", li.schema)), base)
+    return base
+
+
+_LAKE = "SELECT c.*, strftime(c.report_date, '%Y-%m') AS report_month, g.region_name FROM v_case c LEFT JOIN v_geography g ON c.geography_id = g.geography_id"
+
+
+@query("stream_lake", _LAKE)
+def stream_lake(b):
+    """Arriving reports into the partitioned lake through the ledger sink, over several deliveries with
+    a restart behind each; every batch is then replayed, which adds no row."""
+    schema = LS.with_partition(b.case(), b.geography_b()).schema
+
+    def run(cases, base):
+        table = LS.case_lake(b.spark, f"{base}/lake", schema)
+
+        def sink(rows, batch_id):
+            table.write(rows, batch_id)
+            table.write(rows, batch_id)  # as a restart before the commit of the offsets would
+
+        LS.run_batches(LS.with_partition(cases, b.geography_b()), sink, f"{base}/checkpoint")
+
+    base = _deliveries(b, run)
+    return LS.case_lake(b.spark, f"{base}/lake", schema).read()
+
+
+@query("stream_region_trend", REGISTRY["region_trend"].sql, raw_sql=True)
+def stream_region_trend(b):
+    """Sums by disease, country, region and month that arriving reports keep up to date, rolled up."""
+    places = b.geography_b().select("geography_id", "country_code", "region_name")
+
+    def run(cases, base):
+        cases = cases.join(places, "geography_id", "left").withColumn("report_month", F.date_format("report_date", "yyyy-MM"))
+        LS.run_batches(cases, LS.Trend(b.spark, f"{base}/trend").add, f"{base}/checkpoint")
+
+    base = _deliveries(b, run)
+    return LS.Trend(b.spark, f"{base}/trend").rollup()
+
+
+@query("stream_late_counts", f"""
+, arrived AS (SELECT *, (year(report_date) - (SELECT min(year(report_date)) FROM v_case)) // {DELIVERY_YEARS} AS batch FROM v_case)
+, marks AS (SELECT batch, max(max(case_date)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+              max(max(case_date)) OVER () AS last FROM arrived GROUP BY batch)
+, marked AS (SELECT a.*, coalesce(a.case_date + 1 <= m.before - {X.MAX_REPORT_DELAY_DAYS}, false) AS late, m.last FROM arrived a JOIN marks m USING (batch))
+SELECT CASE WHEN late THEN 'late' WHEN case_date + 1 <= last - {X.MAX_REPORT_DELAY_DAYS} THEN 'final' ELSE 'open' END AS state,
+  case_date AS event_day, disease, geography_id, count(*) AS n_reports, CAST(sum(new_cases) AS BIGINT) AS cases
+FROM marked GROUP BY 1, 2, 3, 4
+""")
+def stream_late_counts(b):
+    """Daily counts by the day of the case with reports arriving by report day: final counts, days still open, and
+    the reports that came behind the watermark, which are kept. Together they are the whole table."""
+    schema = b.case().schema
+
+    def counts(base):
+        return LS.DailyCounts(b.spark, f"{base}/counts", schema, "case_date")
+
+    base = _deliveries(b, lambda cases, base: LS.run_batches(cases, counts(base).add, f"{base}/checkpoint"))
+    got = counts(base)
+    late = got.late().groupBy(F.col("case_date").alias("event_day"), "disease", "geography_id").agg(
+        F.count(F.lit(1)).alias("n_reports"), F.sum("new_cases").cast("long").alias("cases"))
+    out = None
+    for state, rows in (("final", got.final()), ("open", got.still_open()), ("late", late)):
+        rows = rows.select(F.lit(state).alias("state"), "event_day", "disease", "geography_id", "n_reports", "cases")
+        out = rows if out is None else out.unionByName(rows)
+    return out
