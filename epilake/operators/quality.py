@@ -28,6 +28,7 @@ from epilake.operators import facilities as FA
 from epilake.operators.climate import with_regime
 from epilake.operators.generic import first_per_key, missing_days
 from epilake.operators.joins import bounded_broadcast, constant_dim
+from epilake.operators.ordered import gaps
 from epilake.sources.bind import Bindings
 
 # plausible band for a daily temperature, degrees C
@@ -357,6 +358,14 @@ def domain_values(b: Bindings) -> DataFrame:
             .unionByName(geography_violations(b, ["domain"])))
 
 
+def gap_intervals(b: Bindings) -> DataFrame:
+    """Q8: the runs of days without a climate row of each geography, one row a run; no panel is built."""
+    climate = b.climate().select("geography_id", "obs_date")
+    first, last = climate.agg(F.min("obs_date"), F.max("obs_date")).first()
+    keys = b.geography().select("geography_id")
+    return gaps(keys if first else keys.limit(0), "geography_id", climate, "obs_date", F.lit(first).cast("date"), F.lit(last).cast("date"))
+
+
 # ---------------------------------------------------------------- key rules
 def duplicate_keys(b: Bindings) -> DataFrame:
     """Q2: keys present more than once (case_id, geography_id, facility_id)."""

@@ -16,31 +16,34 @@ from epilake.functions import measures as M
 from epilake.operators import incidence as I
 from epilake.operators import outbreaks as O
 from epilake.operators.generic import date_spine, day_range_window, sequence_id
+from epilake.operators.ordered import asof_join
 from epilake.sources.bind import Bindings
 
-# Snapshot date of the incoming facility extract (the reference's end date).
-SCD_AS_OF = _dt.date(2024, 12, 31)
+# Days of the facility extracts that the history is merged from; the last one is the incoming extract of L3.
+SNAPSHOT_DAYS = [_dt.date(1996, 12, 31), _dt.date(1998, 12, 31), _dt.date(2000, 12, 31)]
+SCD_AS_OF = SNAPSHOT_DAYS[-1]
+# An extract lists the facilities that reported in the days before it; those without a report in the last days are quiet.
+EXTRACT_DAYS, QUIET_DAYS = 10, 3
 SCD_TRACKED = ["capacity", "staff_count", "operational_status", "facility_type"]
 
 
 def row_hash(cols) -> F.Column:
-    """Hash of the tracked values; a null is marked, so (null, 5) and (5, null) differ."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]))
+    """Hash of the tracked values, each with its length in front, so that no two lists of values meet; null is marked."""
+    def part(c):
+        s = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("n"))
+    return F.md5(F.concat(*[part(c) for c in cols]))
 
 
-def incoming_facilities(b: Bindings) -> DataFrame:
-    """A later facility extract derived from the supplier keys: every 25th facility
-    is gone, every 10th changed its status, every 30th (offset 7) opened a sibling."""
-    f = b.facility()
-    k = F.col("s_suppkey")
-    kept = f.filter(k % 25 != 0).withColumn(
-        "operational_status",
-        F.when(k % 10 == 0, F.when(F.col("operational_status") == "Operational", F.lit("Closed"))
-               .otherwise(F.lit("Operational"))).otherwise(F.col("operational_status")))
-    new = (f.filter(k % 30 == 7)
-           .withColumn("facility_id", F.format_string("FAC-%05d", k + 1000000))
-           .withColumn("operational_status", F.lit("Under Construction")))
-    return kept.unionByName(new).select("facility_id", *SCD_TRACKED)
+def facility_extract(b: Bindings, as_of) -> DataFrame:
+    """The facilities that reported within EXTRACT_DAYS up to `as_of`, as they stood then: without a report in the last
+    QUIET_DAYS an operational status reads Quiet. Reports are reduced to one row a facility before the join."""
+    last = (b.reports().where(F.col("report_date").between(F.date_sub(F.lit(as_of), EXTRACT_DAYS - 1), F.lit(as_of)))
+            .groupBy("facility_id").agg(F.max("report_date").alias("_last")))
+    quiet = F.col("_last") <= F.date_sub(F.lit(as_of), QUIET_DAYS)
+    return (b.facility().select("facility_id", *SCD_TRACKED).join(last, "facility_id")
+            .withColumn("operational_status", F.when(quiet, F.lit("Quiet")).otherwise(F.col("operational_status")))
+            .select("facility_id", *SCD_TRACKED))
 
 
 def scd2(current: DataFrame, incoming: DataFrame, as_of=SCD_AS_OF) -> DataFrame:
@@ -80,7 +83,35 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, as_of=SCD_AS_OF) -> Data
 
 def scd2_facilities(b: Bindings) -> DataFrame:
     cur = b.facility().withColumn("valid_from", F.make_date("established_year", F.lit(1), F.lit(1)))
-    return scd2(cur, incoming_facilities(b))
+    return scd2(cur, facility_extract(b, SCD_AS_OF))
+
+
+HISTORY = ["facility_id", *SCD_TRACKED, "row_hash", "valid_from", "valid_to", "is_current"]
+
+
+def history_of(extracts) -> DataFrame:
+    """Type-2 history merged from (day, extract) pairs in order of day: versions are valid from the day of the extract
+    that shows them up to (not with) that of the next one that shows another or none."""
+    history = None
+    for day, rows in extracts:
+        if history is None:
+            history = rows.select("facility_id", *SCD_TRACKED, row_hash(SCD_TRACKED).alias("row_hash"), F.lit(day).alias("valid_from"),
+                                  F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"))
+        else:
+            history = scd2_merge(history, rows, day).select(*HISTORY)
+    return history
+
+
+def facility_history(b: Bindings) -> DataFrame:
+    """L3: the facilities' versions over all extracts, written once per application."""
+    return b.derived("facility_history", lambda: history_of([(d, facility_extract(b, d)) for d in SNAPSHOT_DAYS]))
+
+
+def fact_facility_versions(b: Bindings) -> DataFrame:
+    """L4 against L3: every report with the version of its facility on the day of the report, not with today's."""
+    facts = b.reports().select("case_id", "report_date", "facility_id", "disease", "new_cases")
+    versions = facility_history(b).withColumn("version_from", F.col("valid_from"))
+    return asof_join(facts, versions, "facility_id", "report_date", payload=["version_from", "facility_type", "operational_status", "capacity"])
 
 
 def fact_surveillance(b: Bindings) -> DataFrame:

@@ -212,6 +212,20 @@ def climate_panel_gaps(b):
     return Q.panel_gaps(b)
 
 
+@query("climate_gap_intervals", """
+, span AS (SELECT min(obs_date) AS d0, max(obs_date) AS d1 FROM v_climate)
+, marks AS (SELECT DISTINCT c.geography_id, c.obs_date FROM v_climate c JOIN v_geography g ON g.geography_id = c.geography_id
+            UNION ALL SELECT geography_id, d0 - 1 FROM v_geography, span WHERE d0 IS NOT NULL
+            UNION ALL SELECT geography_id, d1 + 1 FROM v_geography, span WHERE d0 IS NOT NULL)
+, steps AS (SELECT *, lead(obs_date) OVER (PARTITION BY geography_id ORDER BY obs_date) AS nxt FROM marks)
+SELECT geography_id, obs_date + 1 AS gap_start, nxt - 1 AS gap_end, CAST(nxt - obs_date - 1 AS INTEGER) AS n_days
+FROM steps WHERE nxt - obs_date > 1
+""")
+def climate_gap_intervals(b):
+    """Q8: runs of missing days of the climate panel, one row each (gaps and islands)."""
+    return Q.gap_intervals(b)
+
+
 @query("dq_beds_no_staff", U(R_BEDS))
 def dq_beds_no_staff(b):
     """Q9: beds but no staff."""

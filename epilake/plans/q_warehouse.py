@@ -6,23 +6,34 @@ from epilake.operators import warehouse as WH
 from epilake.plans.q_cases import EXL
 from epilake.plans.registry import query
 
-_H = ("md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in WH.SCD_TRACKED) + "))")
+_H = ("md5(" + " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in WH.SCD_TRACKED) + ")")
 _ASOF = f"DATE '{WH.SCD_AS_OF.isoformat()}'"
 
 
-@query("scd2_facilities", f"""
+def _extract(day: str) -> str:
+    """The extract of each row (i, `day`) of `days` as SQL."""
+    return f"""SELECT f.facility_id, f.capacity, f.staff_count, CASE WHEN l.last <= l.d - {WH.QUIET_DAYS} THEN 'Quiet' ELSE f.operational_status END
+    AS operational_status, f.facility_type, l.i, l.d
+  FROM v_facility f JOIN (SELECT c.facility_id, days.i, days.d, max(c.report_date) AS last FROM v_case c JOIN days
+    ON c.report_date <= days.d AND c.report_date > days.d - {WH.EXTRACT_DAYS} WHERE {day} GROUP BY ALL) l ON l.facility_id = f.facility_id"""
+
+
+DAYS_SQL = f""", days AS (SELECT * FROM (VALUES {", ".join(f"({i}, DATE '{d.isoformat()}')" for i, d in enumerate(WH.SNAPSHOT_DAYS))}) t(i, d))"""
+HISTORY_SQL = DAYS_SQL + f"""
+, snaps AS (SELECT *, {_H} AS h FROM ({_extract("true")}))
+, grid AS (SELECT f.facility_id, days.i, days.d, s.capacity, s.staff_count, s.operational_status, s.facility_type, s.h,
+             lag(s.h) OVER (PARTITION BY f.facility_id ORDER BY days.i) AS before
+           FROM v_facility f CROSS JOIN days LEFT JOIN snaps s ON s.facility_id = f.facility_id AND s.i = days.i)
+, versions AS (SELECT facility_id, capacity, staff_count, operational_status, facility_type, h AS row_hash, d AS valid_from,
+    (SELECT min(n.d) FROM grid n WHERE n.facility_id = s.facility_id AND n.i > s.i AND n.h IS DISTINCT FROM s.h) AS valid_to
+  FROM grid s WHERE h IS NOT NULL AND h IS DISTINCT FROM before)
+"""
+
+
+@query("scd2_facilities", DAYS_SQL + f"""
 , cur AS (SELECT facility_id, capacity, staff_count, operational_status, facility_type,
             make_date(established_year, 1, 1) AS valid_from, {_H} AS h FROM v_facility)
-, inc0 AS (
-  SELECT facility_id, capacity, staff_count,
-    CASE WHEN s_suppkey % 10 = 0 THEN (CASE WHEN operational_status = 'Operational' THEN 'Closed' ELSE 'Operational' END)
-         ELSE operational_status END AS operational_status, facility_type
-  FROM v_facility WHERE s_suppkey % 25 <> 0
-  UNION ALL
-  SELECT printf('FAC-%05d', s_suppkey + 1000000), capacity, staff_count, 'Under Construction', facility_type
-  FROM v_facility WHERE s_suppkey % 30 = 7
-)
-, inc AS (SELECT *, {_H} AS h FROM inc0)
+, inc AS (SELECT *, {_H} AS h FROM ({_extract(f"days.d = {_ASOF}")}))
 SELECT c.facility_id, c.capacity, c.staff_count, c.operational_status, c.facility_type, c.h AS row_hash, c.valid_from,
   CASE WHEN n.facility_id IS NULL OR n.h <> c.h THEN {_ASOF} END AS valid_to,
   NOT (n.facility_id IS NULL OR n.h <> c.h) AS is_current,
@@ -39,6 +50,23 @@ def scd2_facilities(b):
     return WH.scd2_facilities(b)
 
 
+@query("facility_history", HISTORY_SQL + "SELECT *, valid_to IS NULL AS is_current FROM versions")
+def facility_history(b):
+    """L3: versions of facilities merged from three extracts, one after another."""
+    return WH.facility_history(b)
+
+
+@query("fact_facility_versions", HISTORY_SQL + """
+SELECT c.case_id, c.report_date, c.facility_id, c.disease, c.new_cases, v.valid_from AS version_from, v.facility_type,
+  v.operational_status, v.capacity
+FROM v_case c LEFT JOIN versions v ON v.facility_id = c.facility_id AND c.report_date >= v.valid_from
+  AND (v.valid_to IS NULL OR c.report_date < v.valid_to)
+""")
+def fact_facility_versions(b):
+    """L4, L3: reports with the facility version of their day (as-of join)."""
+    return WH.fact_facility_versions(b)
+
+
 @query("fact_surveillance", EXL + """
 SELECT c.case_id, c.report_date, c.facility_id, f.facility_type, c.geography_id, g.country_code, g.region_name,
   c.disease, c.new_cases, c.deaths, cl.rainfall_mm, (cl.temperature_min_c + cl.temperature_max_c) / 2 AS temperature_avg_c,
