@@ -61,6 +61,22 @@ def stream_rain_21d(b):
     return ST.run_available(ST.rain_21d(ST.climate_stream(b)), b.spark, b.t.sf_dir, "rain_21d")
 
 
+@query("stream_rain_21d_ring", REGISTRY["stream_rain_21d"].sql, raw_sql=True)
+def stream_rain_21d_ring(b):
+    """The same rows from a ring of day buckets and one running sum a geography."""
+    return ST.run_available(ST.rain_21d_ring(ST.climate_stream(b)), b.spark, b.t.sf_dir, "rain_21d_ring")
+
+
+@query("stream_triggers", TRIG + f"""
+SELECT geography_id, start_date, n_reports, first_facility_id, rainfall_mm FROM trig
+WHERE start_date + 1 <= (SELECT least((SELECT max(report_date) FROM v_case), (SELECT max(obs_date) FROM v_climate))) - {X.MAX_REPORT_DELAY_DAYS}
+""")
+def stream_triggers(b):
+    """M5, T5: trigger days from two live streams, cases and climate; a day is final once both watermarks pass it."""
+    got = ST.trigger_days_of_streams(ST.case_stream(b), ST.climate_stream(b))
+    return ST.run_available(got, b.spark, b.t.sf_dir, "triggers")
+
+
 @query("stream_outbreaks", TRIG + f"""
 SELECT t.geography_id, t.start_date AS trigger_date, min(p.start_date) AS earliest_active_start, count(*) AS n_active
 FROM trig t JOIN trig p ON p.geography_id = t.geography_id AND p.start_date BETWEEN t.start_date - 59 AND t.start_date
@@ -80,14 +96,15 @@ def stream_outbreaks(b):
 DELIVERY_YEARS = 3
 
 
-def _deliveries(b, run):
-    """Delivers the reports (lineitem rows) by report year into a folder, a few years at a time, and calls
-    `run(stream of cases)` behind each delivery: a restart of the stream on its checkpoint."""
+def _deliveries(b, run, again: int = 0):
+    """Delivers the reports (lineitem rows) by report year into a folder, a few years at a time (and the last `again`
+    years before them once more), and calls `run(stream of cases, folder)` behind each delivery: a restart of the
+    stream on its checkpoint."""
     base = tagged_path(b.spark, b.t.sf_dir, "arrivals", uuid.uuid4().hex[:12])
     li = b.t("lineitem").select(*Bindings.LINEITEM_COLS)
     first, last = li.agg(F.year(F.min("l_shipdate")), F.year(F.max("l_shipdate"))).first()
     for year in range(first, last + 1, DELIVERY_YEARS) if first is not None else []:
-        new = li.where(F.year("l_shipdate").between(year, year + DELIVERY_YEARS - 1))
+        new = li.where(F.year("l_shipdate").between(year - again, year + DELIVERY_YEARS - 1))
         new.write.mode("append").parquet(f"{base}/lineitem")
         run(b.case_from(ST.table_stream(b.spark, f"{base}/lineitem", li.schema)), base)
     return base
@@ -154,3 +171,26 @@ def stream_late_counts(b):
         rows = rows.select(F.lit(state).alias("state"), "event_day", "disease", "geography_id", "n_reports", "cases")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query("stream_dedupe_first", f"""
+, steps AS (SELECT *, coalesce(report_date - lag(report_date) OVER (PARTITION BY case_id ORDER BY report_date) > {X.MAX_REPORT_DELAY_DAYS}, true) AS new FROM v_case)
+, sessions AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY report_date RANGE UNBOUNDED PRECEDING) AS session FROM steps)
+SELECT * EXCLUDE (new, session, rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY case_id, session ORDER BY report_date NULLS FIRST, facility_id NULLS FIRST,
+    disease NULLS FIRST, case_date NULLS FIRST, geography_id NULLS FIRST, new_cases NULLS FIRST,
+    deaths NULLS FIRST, recoveries NULLS FIRST, age_group NULLS FIRST, gender NULLS FIRST) AS rn
+  FROM sessions QUALIFY max(report_date) OVER (PARTITION BY case_id, session) + {X.MAX_REPORT_DELAY_DAYS}
+    <= (SELECT max(report_date) FROM v_case) - {X.MAX_REPORT_DELAY_DAYS}) WHERE rn = 1
+""")
+def stream_dedupe_first(b):
+    """T4: of the reports of a case id that follow each other within the delay the first, as a whole row, over deliveries
+    that repeat a year of reports; ids whose copies can still come (the last two delays) are not released yet."""
+    def run(cases, base):
+        rows = ST.dedupe_first(cases)
+        q = (rows.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    base = _deliveries(b, run, again=1)
+    return b.spark.read.schema(b.case().schema).parquet(f"{base}/out")

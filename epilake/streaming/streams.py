@@ -119,6 +119,23 @@ def dedupe(cases: DataFrame) -> DataFrame:
     return ev.dropDuplicatesWithinWatermark(["case_id"]).select(*cases.columns)
 
 
+def dedupe_first(cases: DataFrame) -> DataFrame:
+    """T4, deterministic: of the reports of a case id that follow each other within the watermark's delay, the
+    first by report day, facility, disease and all other columns, whatever order they arrive in.
+
+    A session of the id holds the smallest report (a struct) as its state and releases it when the watermark passes
+    the session's end. Copies are merged inside each task before the shuffle, so an id with very many copies reaches
+    its state as one row a task.
+    """
+    cases.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    first = ["report_date", "facility_id", "disease"]
+    first = [c for c in first if c in cases.columns]
+    order = first + [c for c in cases.columns if c not in first and c != "case_id"]
+    ev = with_event_time(cases).withWatermark("event_ts", DELAY)
+    got = ev.groupBy(F.session_window("event_ts", DELAY), "case_id").agg(F.min(F.struct(*order)).alias("_first"))
+    return got.select("case_id", "_first.*").select(*cases.columns)
+
+
 def climate_stream(b: Bindings) -> DataFrame:
     """Climate as a file stream over the climate table Spark wrote to the shared folder."""
     clim = b.climate()
@@ -139,6 +156,125 @@ def rain_21d(climate: DataFrame) -> DataFrame:
     return agg.select("geography_id", ts_day(F.col("window.end")).alias("window_end"), "rain_21d", "n_days")
 
 
+MS_PER_DAY = 86_400_000
+
+RING_OUT = T.StructType([T.StructField("geography_id", T.StringType()), T.StructField("window_end", T.IntegerType()),
+                         T.StructField("tenths", T.LongType()), T.StructField("n_days", T.LongType())])
+
+
+class RainRing(StatefulProcessor):
+    """Trailing rain of a geography: a ring of day buckets and one running sum.
+
+    Rows are final day sums (tenths of a millimetre, null if no row of the day has rain; rows and rows with rain),
+    one a day. Each day enters the sum once and leaves it once, when the window moves past it; its bucket is
+    deleted then. So a geography at rest holds at most HISTORY_DAYS buckets, the sum and a timer, and a row costs one
+    update instead of one for each window that it is in. Windows without any row are not emitted.
+    """
+
+    HISTORY_DAYS = X.MALARIA_HISTORY_DAYS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        bucket = T.StructType([T.StructField(c, T.LongType()) for c in ("tenths", "rows", "with_rain")])
+        self.days = handle.getMapState("days", T.StructType([T.StructField("day", T.IntegerType())]), bucket)
+        self.sums = handle.getValueState("sums", T.StructType([T.StructField(c, T.LongType()) for c in ("next_end", "tenths", "rows", "with_rain")]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for pdf in rows:
+            for day, tenths, n, with_rain in zip(pdf["day"], pdf["tenths"], pdf["n_rows"], pdf["n_rain"]):
+                self.days.updateValue((int(day),), (0 if pd.isna(tenths) else int(tenths), int(n), int(with_rain)))
+                first = int(day) if first is None else min(first, int(day))
+        if first is not None and not self.sums.exists():
+            self.sums.update((first + 1, 0, 0, 0))
+        return self._advance(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self._advance(key, timerValues)
+
+    def _advance(self, key, timerValues):
+        """All windows that end at or before the watermark."""
+        if not self.sums.exists():
+            return iter([])
+        upto = timerValues.getCurrentWatermarkInMs() // MS_PER_DAY
+        end, tenths, n, with_rain = self.sums.get()
+        out = []
+        while end <= upto:
+            for day, sign in ((end - 1, 1), (end - 1 - self.HISTORY_DAYS, -1)):
+                if self.days.containsKey((day,)):
+                    t, r, w = self.days.getValue((day,))
+                    tenths, n, with_rain = tenths + sign * t, n + sign * r, with_rain + sign * w
+                    if sign < 0:
+                        self.days.removeKey((day,))
+            if n:
+                out.append((key[0], end, tenths if with_rain else None, n))
+                end += 1
+                continue
+            # no row in the window: on to the next day that has one
+            later = [int(k[0]) for k in self.days.keys() if k[0] >= end]
+            if not later:
+                self.sums.clear()
+                return self._rows(out)
+            end = min(later) + 1
+        self.sums.update((end, tenths, n, with_rain))
+        self.handle.registerTimer(end * MS_PER_DAY)
+        return self._rows(out)
+
+    @staticmethod
+    def _rows(out):
+        if not out:
+            return iter([])
+        pdf = pd.DataFrame(out, columns=["geography_id", "window_end", "tenths", "n_days"])
+        return iter([pdf.astype({"tenths": "Int64"})])
+
+    def close(self) -> None:
+        pass
+
+
+def rain_21d_ring(climate: DataFrame) -> DataFrame:
+    """T3, incremental: the rows of `rain_21d` from one state update a geography-day.
+
+    Rows are summed to geography-days first (combined before the shuffle), which a hot geography spreads over tasks.
+    """
+    use_rocksdb(climate.sparkSession)
+    ev = climate.withColumn("event_ts", day_start_ts("obs_date")).withWatermark("event_ts", RAIN_WATERMARK)
+    rain = F.col("rainfall_mm").cast("decimal(18,1)")
+    days = ev.groupBy(F.window("event_ts", "1 day"), "geography_id").agg(
+        F.sum((rain * 10).cast("long")).alias("tenths"), F.count(F.lit(1)).alias("n_rows"), F.count("rainfall_mm").alias("n_rain"))
+    days = days.select("geography_id", F.window_time("window").alias("event_ts"),
+                       F.unix_date(ts_day(F.col("window.start"))).alias("day"), "tenths", "n_rows", "n_rain")
+    got = days.groupBy("geography_id").transformWithStateInPandas(
+        statefulProcessor=RainRing(), outputStructType=RING_OUT, outputMode="Append", timeMode="EventTime")
+    return got.select("geography_id", F.date_from_unix_date("window_end").alias("window_end"),
+                      (F.col("tenths") / F.lit(10.0)).alias("rain_21d"), "n_days")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+# ------------------------------------------------------------- M5 from two streams
+def trigger_days_of_streams(cases: DataFrame, climate: DataFrame) -> DataFrame:
+    """M5 with both sides arriving: cholera report days with rain above the bound, one row a geography-day.
+
+    Each side is summed to geography-days under its own watermark (its copies and a hot geography combine before
+    the shuffle); the day sums are joined on geography and day window, so the state of a day goes when the slower side's
+    watermark passes it. Climate may come before or after its cases, as long as it is within the delay.
+    """
+    cholera = (F.col("disease") == "Cholera") & (F.col("new_cases") > 0)
+    # conditional sums keep every report in the watermark, also of other diseases
+    order = F.struct(F.length("facility_id").alias("n"), F.col("facility_id").alias("id"))
+    day = F.window("event_ts", "1 day").alias("day")
+    reports = with_event_time(cases).withWatermark("event_ts", DELAY).groupBy(day, "geography_id").agg(
+        F.count(F.when(cholera, 1)).alias("n_reports"), F.min(F.when(cholera, order)).alias("first"))
+    rain = climate.withColumn("event_ts", day_start_ts("obs_date")).withWatermark("event_ts", DELAY).groupBy(day, "geography_id").agg(
+        F.max("rainfall_mm").alias("rainfall_mm"))
+    met = reports.where("n_reports > 0").join(rain.where(F.col("rainfall_mm") > X.OUTBREAK_TRIGGER_RAIN), ["day", "geography_id"])
+    return met.select("geography_id", ts_day(F.col("day.start")).alias("start_date"), "n_reports", F.col("first.id").alias("first_facility_id"),
+                      "rainfall_mm")
+
+
 # ------------------------------------------------------------- T5 outbreak tracker
 TRACKER_OUT = T.StructType([
     T.StructField("geography_id", T.StringType()),
@@ -148,9 +284,6 @@ TRACKER_OUT = T.StructType([
 ])
 
 
-MS_PER_DAY = 86_400_000
-
-
 class OutbreakTracker(StatefulProcessor):
     """Per geography, in event time: outbreaks start on trigger days and stay active
     while their age (day - start) is under 60 days.
@@ -226,9 +359,7 @@ def trigger_stream(b: Bindings, cases: DataFrame) -> DataFrame:
 
 def outbreak_tracker(b: Bindings, cases: DataFrame) -> DataFrame:
     """T5: stateful outbreak tracker (`transformWithStateInPandas`, ListState)."""
-    spark = b.spark
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    use_rocksdb(b.spark)
     trig = trigger_stream(b, with_event_time(cases).withWatermark("event_ts", DELAY))
     # one row per geography-day before the per-geography state: the dedupe state is
     # keyed by (geography, day), so a geography with many reports is spread over tasks

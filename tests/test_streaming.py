@@ -141,3 +141,89 @@ def test_streams_read_folders_of_part_files(spark, tmp_path):
     assert seen.count() == cases.count()
     with pytest.raises(FileNotFoundError):
         ST.table_stream(spark, str(tmp_path / "nothing.parquet"), one.schema)
+
+
+def _deliver(spark, folder, batches, schema):
+    """One file a batch; the source takes them in order of time."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+
+
+def test_dedupe_first_is_independent_of_arrival(spark, tmp_path):
+    d0 = dt.date(2023, 1, 1)
+    day = lambda n: d0 + dt.timedelta(days=n)
+    schema = "case_id string, report_date date, facility_id string, disease string, new_cases int"
+    hot = [("HOT", day(10 + i % 5), f"F{i % 7}", "M", i % 3 or None) for i in range(400)]
+    rows = hot + [(f"C{i}", day(i % 30), f"F{j}", "M", j) for i in range(60) for j in range(1 + i % 3)]
+    rows += [("FAR", day(1), "F1", "M", 1), ("FAR", day(25), "F0", "M", 1), ("END", day(100), "F1", "M", 1), (None, day(3), "F1", "M", None)]
+    want = {}
+    for r in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2], r[3], r[4] is not None, r[4] or 0)):
+        if r[0] != "END":
+            want.setdefault((r[0], r[1] >= day(20) if r[0] == "FAR" else 0), r)
+    for seed in (1, 2):
+        shuffled = [r for r in rows if r[0] != "END" and r[1] < day(14)]
+        random.Random(seed).shuffle(shuffled)
+        later = [r for r in rows if r[0] != "END" and r[1] >= day(14)]
+        random.Random(seed).shuffle(later)
+        src = str(tmp_path / f"src{seed}")
+        _deliver(spark, src, [shuffled, later, [r for r in rows if r[0] == "END"]], schema)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        got = [tuple(r) for r in _run(ST.dedupe_first(stream), str(tmp_path / f"run{seed}")).collect()]
+        assert sorted(got, key=str) == sorted(want.values(), key=str)
+
+
+def test_ring_gives_the_sliding_windows(spark, tmp_path):
+    """Gaps longer than the window, nulls, repeated days and several batches."""
+    d0 = dt.date(2023, 1, 1)
+    rng = random.Random(9)
+    rows = [(g, d0 + dt.timedelta(days=n), rng.choice([None, 0.0, 1.5, 80.1]), 1) for g in ("HOT", "A", "B") for n in range(120)
+            if (g == "HOT" or rng.random() < 0.3) and not (g == "A" and 30 <= n < 70) and not (g == "B" and n > 50)]
+    rows += [("HOT", d0 + dt.timedelta(days=7), 2.5, 1)] * 3 + [("N", d0 + dt.timedelta(days=4), None, 1)]
+    schema = "geography_id string, obs_date date, rainfall_mm double, other int"
+    batches = [[r for r in rows if a <= (r[1] - d0).days < b] for a, b in ((0, 40), (40, 41), (41, 90), (90, 120))]
+    src = str(tmp_path / "src")
+    _deliver(spark, src, batches, schema)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    ring = _run(ST.rain_21d_ring(stream()), str(tmp_path / "ring"))
+    plain = _run(ST.rain_21d(stream()), str(tmp_path / "plain"))
+    assert sorted((tuple(r) for r in ring.collect()), key=str) == sorted((tuple(r) for r in plain.collect()), key=str)
+    assert ring.count() > 200
+    days = spark.read.format("statestore").option("stateVarName", "days").option("path", str(tmp_path / "ring" / "ck")).option("operatorId", 0).load()
+    held = {r.key.geography_id if hasattr(r.key, "geography_id") else r.key[0]: r.n for r in days.groupBy("key").agg(F.count("*").alias("n")).collect()}
+    assert held and max(held.values()) <= X.MALARIA_HISTORY_DAYS + 1
+
+
+def test_triggers_of_two_streams(spark, tmp_path):
+    """Climate that comes after its cases, and before them, still triggers; days that are not final do not."""
+    d0 = dt.date(2023, 1, 1)
+    day = lambda n: d0 + dt.timedelta(days=n)
+    rng = random.Random(4)
+    cases = [(day(n), f"F{rng.randint(1, 12)}", g, rng.choice(["Cholera", "Cholera", "Malaria"]), rng.choice([None, 0, 3]))
+             for n in range(80) for g in ("HOT", "HOT", "A") if rng.random() < 0.7]
+    rain = [(g, day(n), rng.choice([None, 10.0, 80.0, 90.0, 120.5])) for n in range(80) for g in ("HOT", "A", "B")]
+    c_schema = "report_date date, facility_id string, geography_id string, disease string, new_cases int"
+    k_schema = "geography_id string, obs_date date, rainfall_mm double"
+    c_src, k_src = str(tmp_path / "c"), str(tmp_path / "k")
+    got = None
+
+    def run():
+        streams = (spark.readStream.schema(c_schema).parquet(c_src), spark.readStream.schema(k_schema).parquet(k_src))
+        return _run(ST.trigger_days_of_streams(*streams), str(tmp_path / "run"))
+
+    # cases run ahead of the climate by 10 days, then the climate ahead of the cases
+    for c_to, k_to in ((20, 10), (40, 30), (50, 62), (80, 80)):
+        c_from, k_from = (0, 0) if got is None else last
+        spark.createDataFrame([r for r in cases if c_from <= (r[0] - d0).days < c_to], c_schema).write.mode("append").parquet(c_src)
+        spark.createDataFrame([r for r in rain if k_from <= (r[1] - d0).days < k_to], k_schema).write.mode("append").parquet(k_src)
+        last, got = (c_to, k_to), run()
+    want = {}
+    wet = {(g, d): mm for g, d, mm in rain if mm is not None and mm > X.OUTBREAK_TRIGGER_RAIN}
+    for d, f, g, disease, n in cases:
+        if disease == "Cholera" and n and (g, d) in wet and d + dt.timedelta(days=1) <= day(79 - X.MAX_REPORT_DELAY_DAYS):
+            k, first = want.get((g, d), (0, None))
+            want[g, d] = (k + 1, min(filter(None, (first, f)), key=lambda x: (len(x), x)))
+    assert {(r.geography_id, r.start_date): (r.n_reports, r.first_facility_id) for r in got.collect()} == want and len(want) > 10
