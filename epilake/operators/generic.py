@@ -102,6 +102,62 @@ def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) ->
     return df.orderBy(sample_key(key_cols, seed), *key_cols).limit(n)
 
 
+# ---------------------------------------------------------- first rows of an order (K2)
+#: Values or ranges of a column that one pass counts; all that the driver sees of it.
+CUT_RANGES = 256
+
+
+def _before(c: str, value) -> Column:
+    """col < value with nulls first."""
+    return F.lit(False) if value is None else F.col(c).isNull() | (F.col(c) < F.lit(value))
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[str], ranges: int = CUT_RANGES) -> DataFrame:
+    """The first n rows in `order` (nulls first), without sorting the table.
+
+    The value at which the n-th row stands is found column by column: rows are counted by value or, where a
+    column has more than `ranges` of them, by ranges between `ranges` values drawn by hash, which are
+    counted anew inside the range that holds the cut until it is one value. Each pass is a partial aggregate over
+    the columns it needs and returns at most `ranges` + 1 counts; then one filter keeps the rows in front of the cut. Rows
+    that are equal in all of `order` at the cut are alike; as many of them as belong to the first n are kept.
+    """
+    if n <= 0:
+        return df.limit(0)
+    same, keep, left = F.lit(True), F.lit(False), n
+    for c in order:
+        inside = F.lit(True)  # the range of this column that holds the cut
+        while True:
+            rows = df.where(same & inside)
+            counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_first(c)).limit(ranges + 1).collect()
+            if len(counts) <= ranges:
+                break
+            drawn = rows.where(F.col(c).isNotNull()).select(c).distinct().orderBy(F.md5(F.concat(F.col(c).cast("string"), F.lit(str(left)))), c).limit(ranges)
+            points = sorted(r[0] for r in drawn.collect())
+            at = sum((F.when(F.col(c) > F.lit(p), 1).otherwise(0) for p in points[1:]), F.when(F.col(c) > F.lit(points[0]), 1).otherwise(0))
+            for r in rows.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n")).orderBy("at").collect():
+                if left <= r["n"]:
+                    low = F.lit(True) if r["at"] == 0 else F.col(c) > F.lit(points[r["at"] - 1])
+                    high = F.lit(True) if r["at"] == len(points) else F.col(c).isNull() | (F.col(c) <= F.lit(points[r["at"]]))
+                    if r["at"]:
+                        keep = keep | (same & inside & (F.col(c).isNull() | (F.col(c) <= F.lit(points[r["at"] - 1]))))
+                    inside = inside & low & high
+                    break
+                left -= r["n"]
+            else:
+                return df  # fewer than n rows
+        for value, count in counts:
+            if left <= count:
+                keep = keep | (same & inside & _before(c, value))
+                same = same & F.col(c).eqNullSafe(F.lit(value))
+                break
+            left -= count
+        else:
+            return df
+        if left == count:
+            return df.where(keep | same)
+    return df.where(keep).unionByName(df.where(same).limit(left))
+
+
 # ---------------------------------------------------------------- shares
 def share_of_total(df: DataFrame, col: str, name: str = "share") -> DataFrame:
     """col / sum(col) over the whole table, the total as a scalar subquery."""

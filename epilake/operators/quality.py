@@ -377,15 +377,11 @@ def duplicate_keys(b: Bindings) -> DataFrame:
 
 
 def null_rates(b: Bindings) -> DataFrame:
-    """Q1: null count and rate per column, one aggregate per table, unpivoted."""
-    spec = {
-        "geography": (b.geography(), ["population", "population_density", "urban_rural"]),
-        "facility": (b.facility(), ["capacity", "staff_count", "operational_status"]),
-        "climate": (b.climate(), ["temperature_min_c", "temperature_max_c", "rainfall_mm", "humidity_pct"]),
-        "case": (b.case(), ["new_cases", "deaths", "recoveries", "case_date"]),
-    }
+    """Q1: null count and rate of every column of the four tables, one aggregate per table, unpivoted."""
+    spec = {"geography": b.geography(), "facility": b.facility(), "climate": b.climate(), "case": b.case()}
     parts = []
-    for table, (df, cols) in spec.items():
+    for table, df in spec.items():
+        cols = df.columns
         agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
                      *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols])
         long = agg.unpivot(["n_rows"], cols, "column_name", "n_null")

@@ -10,7 +10,7 @@ from epilake.functions import measures as M
 from epilake.operators import climate as C
 from epilake.operators import facilities as FA
 from epilake.operators import incidence as I
-from epilake.operators.generic import date_spine, first_per_key, sample_n, sequence_id, share_within
+from epilake.operators.generic import date_spine, first_per_key, first_rows, sample_n, sequence_id, share_within
 from epilake.operators.joins import bounded_broadcast, constant_dim, literal_table
 from epilake.plans import sql_parts as S
 from epilake.plans.q_geo import REGIME, REGION_INDEX_SQL
@@ -357,9 +357,7 @@ ORDER BY {SAMPLE_ORDER_SQL} LIMIT 5
 def sample_first_half(b):
     """K2: 5-row sample from the first half of the rows in build order."""
     cases = b.case()
-    half = cases.select(F.expr("count(1) div 2")).scalar()
-    s = sequence_id(cases, BUILD_ORDER, "seq").filter(F.col("seq") <= half).drop("seq")
-    return sample_cases(s, 5)
+    return sample_cases(first_rows(cases, cases.count() // 2, BUILD_ORDER), 5)
 
 
 @query("union_append", f"""

@@ -181,6 +181,28 @@ def ordinal_in_parent(b):
                     .alias("district_label"))
 
 
+@query("sub_district_ordinal", """
+, sub AS (SELECT DISTINCT g.geography_id, g.region_name, d.district_no, c.c_mktsegment AS sub_district_name
+  FROM customer c JOIN v_geography g ON g.n_nationkey = c.c_nationkey
+  JOIN (SELECT geography_id, row_number() OVER (PARTITION BY country_code, region_name ORDER BY district_name, geography_id) AS district_no
+        FROM v_geography) d ON d.geography_id = g.geography_id WHERE c.c_mktsegment IS NOT NULL)
+SELECT geography_id, sub_district_name, CAST(sub_no AS INTEGER) AS sub_district_no,
+  region_name || ' District ' || CAST(district_no AS VARCHAR) || ' Sub-district ' || CAST(sub_no AS VARCHAR) AS sub_district_label
+FROM (SELECT *, row_number() OVER (PARTITION BY geography_id ORDER BY sub_district_name) AS sub_no FROM sub)
+""")
+def sub_district_ordinal(b):
+    """Ordinal of a sub-district (the customers' segments of a nation) within its district, and its label.
+    Customers are reduced to one row a sub-district before the join and the window."""
+    sub = (b.t("customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("sub_district_name"))
+           .where("sub_district_name is not null").distinct())
+    districts = Window.partitionBy("country_code", "region_name").orderBy("district_name", "geography_id")
+    g = b.geography().withColumn("district_no", F.row_number().over(districts))
+    rows = sub.join(g.select("n_nationkey", "geography_id", "region_name", "district_no"), "n_nationkey")
+    rows = rows.withColumn("sub_district_no", F.row_number().over(Window.partitionBy("geography_id").orderBy("sub_district_name")))
+    label = F.concat("region_name", F.lit(" District "), F.col("district_no").cast("string"), F.lit(" Sub-district "), F.col("sub_district_no").cast("string"))
+    return rows.select("geography_id", "sub_district_name", "sub_district_no", label.alias("sub_district_label"))
+
+
 @query("dq_adjacent_duplicate", """
 SELECT geography_id, prev_geography_id, coalesce(prev_geography_id = geography_id, false) AS is_adjacent_dup
 FROM (SELECT geography_id, lag(geography_id) OVER (PARTITION BY country_code

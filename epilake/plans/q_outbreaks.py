@@ -122,6 +122,16 @@ def outbreak_curve(b):
     return ad.select("geography_id", "obs_date", "age_days", F.col("outbreak_curve").alias("curve"))
 
 
+@query("outbreak_curve_days", AD + """
+SELECT geography_id, obs_date, age_days, round(exp(-0.5e0 * pow((age_days - 18) / 10e0, 2)), 9) AS curve
+FROM ad WHERE outbreak_start IS NOT NULL
+""")
+def outbreak_curve_days(b):
+    """The curve of active geography-days by Spark's own exp and pow, to nine places."""
+    ad = O.active_daily(b).filter(F.col("outbreak_start").isNotNull())
+    return ad.select("geography_id", "obs_date", "age_days", F.round(M.outbreak_curve("age_days"), 9).alias("curve"))
+
+
 @query("active_outbreaks_asof", TRIG + """
 SELECT geography_id, start_date, first_facility_id, intensity,
   CAST(datediff('day', start_date, (SELECT max(obs_date) FROM v_climate)) AS INTEGER) AS age_days

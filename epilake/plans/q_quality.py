@@ -9,6 +9,7 @@ from epilake.operators import quality as Q
 from epilake.plans import sql_parts as S
 from epilake.plans.q_geo import REGIME, TYPES_SQL
 from epilake.plans.registry import query
+from epilake.sources import lake as L
 
 CKEY = "geography_id || '|' || CAST(obs_date AS VARCHAR)"
 DELAY = "datediff('day', case_date, report_date)"
@@ -161,14 +162,11 @@ CASE_FLAGS = (f"(new_cases IS NULL OR coalesce(new_cases < 0, false) OR coalesce
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, "
     f"CAST(sum(CAST({c} IS NULL AS BIGINT)) AS BIGINT) AS n_null, "
     f"sum(CAST({c} IS NULL AS BIGINT)) / count(*) AS null_rate FROM {v}"
-    for t, v, cols in [("geography", "v_geography", ["population", "population_density", "urban_rural"]),
-                       ("facility", "v_facility", ["capacity", "staff_count", "operational_status"]),
-                       ("climate", "v_climate", ["temperature_min_c", "temperature_max_c", "rainfall_mm",
-                                                 "humidity_pct"]),
-                       ("case", "v_case", ["new_cases", "deaths", "recoveries", "case_date"])]
+    for t, v, cols in [("geography", "v_geography", L.GEOGRAPHY_READ.names), ("facility", "v_facility", L.FACILITY_READ.names),
+                       ("climate", "v_climate", L.CLIMATE_READ.names), ("case", "v_case", L.CASE_READ.names)]
     for c in cols]))
 def dq_null_rates(b):
-    """Q1: null count and rate per column of the four tables."""
+    """Q1: null count and rate of every column of the four tables."""
     return Q.null_rates(b)
 
 

@@ -9,7 +9,7 @@ neither one hot region nor tiny files dominate the write.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,31 @@ CASE_READ = T.StructType([
     T.StructField("recoveries", T.IntegerType()), T.StructField("age_group", T.StringType()),
     T.StructField("gender", T.StringType()),
 ])
+#: The same with the types that the rows have in the end, for checked reads.
+CASE_READ_WHOLE = T.StructType([T.StructField(f.name, T.IntegerType() if f.name in ("new_cases", "deaths") else f.dataType) for f in CASE_READ])
+
+_T = T.StructField
+GEOGRAPHY_READ = T.StructType([
+    _T("geography_id", T.StringType()), _T("n_nationkey", T.IntegerType()), _T("country_code", T.StringType()),
+    _T("country_name", T.StringType()), _T("region_name", T.StringType()), _T("district_name", T.StringType()),
+    _T("population", T.DoubleType()), _T("urban_rural", T.StringType()), _T("latitude", T.DoubleType()),
+    _T("longitude", T.DoubleType()), _T("population_density", T.DoubleType()),
+])
+FACILITY_READ = T.StructType([
+    _T("facility_id", T.StringType()), _T("facility_name", T.StringType()), _T("geography_id", T.StringType()),
+    _T("country_code", T.StringType()), _T("region_name", T.StringType()), _T("district_name", T.StringType()),
+    _T("facility_level", T.IntegerType()), _T("facility_type", T.StringType()), _T("capacity", T.DoubleType()),
+    _T("staff_count", T.DoubleType()), _T("has_lab", T.BooleanType()), _T("has_isolation_ward", T.BooleanType()),
+    _T("has_xray", T.BooleanType()), _T("ambulance_count", T.IntegerType()), _T("latitude", T.DoubleType()),
+    _T("longitude", T.DoubleType()), _T("operational_status", T.StringType()), _T("established_year", T.IntegerType()),
+    _T("s_suppkey", T.LongType()),
+])
+CLIMATE_READ = T.StructType([
+    _T("obs_date", T.DateType()), _T("geography_id", T.StringType()), _T("temperature_min_c", T.DoubleType()),
+    _T("temperature_max_c", T.DoubleType()), _T("rainfall_mm", T.DoubleType()), _T("humidity_pct", T.DoubleType()),
+])
+
+
 def write_csv(df: DataFrame, path: str, compress: bool = False, sort_cols: list[str] | None = None) -> str:
     """Header, no index, overwrite; the writer creates the folder.
     K3: rows of each output file in `sort_cols` order (sorted within partitions,
@@ -55,8 +80,106 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def cast_counts(cases: DataFrame) -> DataFrame:
     """Counts read as double -> int; a fractional or huge value becomes null, not an error."""
-    return (cases.withColumn("new_cases", F.col("new_cases").try_cast("int"))
-            .withColumn("deaths", F.col("deaths").try_cast("int")))
+    return cases.withColumns({c: whole_number(F.col(c), "int") for c in ("new_cases", "deaths")})
+
+
+def whole_number(value: F.Column, kind: str) -> F.Column:
+    """A double as an integer; null if it is fractional or out of range (a plain cast would cut 1.5 to 1)."""
+    return F.when(value == F.floor(value), value.try_cast(kind))
+
+
+# ---------------------------------------------------------------- dirty files
+_INTEGERS = {"int", "bigint", "smallint", "tinyint"}
+_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _typed(c: str, kind: str) -> tuple[F.Column, list[tuple[str, F.Column]]]:
+    """The typed value of a text field and the named violations that make it null."""
+    text = F.col(f"_t.{c}")
+    given = text.isNotNull()
+    if kind == "string":
+        return text, []
+    if kind == "date":
+        day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+        return day, [(f"bad_{c}", given & day.isNull())]
+    if kind == "boolean":
+        flag = F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
+        return flag, [(f"bad_{c}", given & flag.isNull())]
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    bad = (f"bad_{c}", given & number.isNull())
+    if kind not in _INTEGERS:
+        return number.cast(kind), [bad]
+    # digits alone are read as they are; 12.0 is a count that was printed as a float
+    value = F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(kind)), whole_number(number, kind))
+    fraction = number != F.floor(number)
+    return value, [bad, (f"fractional_{c}", F.coalesce(fraction, F.lit(False))),
+                   (f"out_of_range_{c}", given & number.isNotNull() & ~F.coalesce(fraction, F.lit(False)) & value.isNull())]
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Every line of the CSV files below `path`, typed, with the violations that it has (an empty array: a good line).
+
+    Columns: those of `schema`, `violations`, `line`, `file`. A violation names its field: `bad_<c>` (not a date,
+    number or flag), `fractional_<c>` and `out_of_range_<c>` for whole numbers; `corrupt_line` is one whose fields do
+    not match the schema in number or quoting. Fields with a violation are null; an empty field is null without
+    one. Lines that equal the schema's header are headers and blank lines are none, so good and bad lines are
+    all lines, and no line ends the job. The scan reads text fields, so one narrow pass is enough; `line` is the
+    line as it was read if it is corrupt, else its fields as CSV.
+    """
+    names = [f.name for f in schema.fields]
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in names] + [T.StructField("_corrupt", T.StringType())])
+    rows = spark.read.schema(texts).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", header=False,
+                                            recursiveFileLookup=True).csv(path)
+    header = F.lit(True)
+    for c in names:
+        header = header & F.col(c).eqNullSafe(F.lit(c))
+    rows = rows.where(~header).select(F.struct(*names, "_corrupt").alias("_t"), F.col("_metadata.file_path").alias("file"))
+    corrupt = F.col("_t._corrupt").isNotNull()
+    values, found = [], [F.when(corrupt, F.lit("corrupt_line"))]
+    for f in schema.fields:
+        value, violations = _typed(f.name, f.dataType.simpleString())
+        values.append(F.when(~corrupt, value).alias(f.name))
+        found += [F.when(~corrupt & cond, F.lit(name)) for name, cond in violations]
+    line = F.coalesce("_t._corrupt", F.to_csv(F.struct(*[F.col(f"_t.{c}") for c in names])))
+    return rows.select(*values, F.array_compact(F.array(*found)).alias("violations"), line.alias("line"), "file")
+
+
+def split_checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows (columns of the schema), and the quarantine: line, file, reasons."""
+    bad = F.size("violations") > 0
+    good = rows.where(~bad).drop("violations", "line", "file")
+    return good, rows.where(bad).select("line", "file", F.array_join("violations", ",").alias("reasons"))
+
+
+# ---------------------------------------------------------------- globally ordered files (K3)
+def write_csv_sorted(df: DataFrame, path: str, order: list[str]) -> str:
+    """CSV files in `order` over the whole table: file k holds smaller keys than file k + 1, rows in each are sorted.
+
+    Ranges come from sampled split points, so one task and one file hold about the same number of rows, and rows of
+    equal keys are in one file.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_csv(df.repartitionByRange(parts, *order), path, sort_cols=order)
+
+
+def sorted_manifest(spark: SparkSession, path: str, schema: T.StructType, order: list[str]) -> DataFrame:
+    """file_no, n_rows, first and last key (structs) of the files of `write_csv_sorted`, and whether the rows of the
+    file come in order: read from the files themselves, so it proves what was written."""
+    rows = read_csv(spark, path, schema).select(
+        F.struct(*order).alias("key"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("block", "at"))
+    rows = rows.withColumn("ok", F.coalesce(before <= F.col("key"), F.lit(True)))
+    return rows.groupBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("file_no")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first"), F.max("key").alias("last"), F.bool_and("ok").alias("in_order"))
+
+
+def prove_order(manifest: DataFrame) -> DataFrame:
+    """One row: n_rows, first and last key, in_order (inside all files and over them)."""
+    before = F.lag("last").over(Window.orderBy("file_no"))  # one row a file
+    rows = manifest.withColumn("follows", F.coalesce(before <= F.col("first"), F.lit(True)))
+    return rows.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.min("first").alias("first"), F.max("last").alias("last"),
+                    F.coalesce(F.bool_and(F.col("follows") & F.col("in_order")), F.lit(True)).alias("in_order"))
 
 
 def write_partitioned(df: DataFrame, path: str, partition_cols: list[str]) -> str:

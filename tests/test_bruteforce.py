@@ -136,3 +136,26 @@ def test_mutations_are_detected(spark, fake):
         assert {r.obs_date: r.outbreak_start for r in OB.active_daily(b).collect()}[day60] == D0
     finally:
         OB.ACTIVE = saved
+
+
+def test_first_rows_without_a_sort(spark):
+    """Cuts inside values and ranges, nulls, ties at the cut, more rows asked for than there are."""
+    import random
+    from epilake.operators.generic import first_rows
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 1, 2, 3]), rng.choice([None, "a", "b", "né"]) if i % 4 else f"v{rng.randint(0, 300)}", rng.randint(0, 400)) for i in range(900)]
+    rows += [(1, "a", 7)] * 40
+    df = spark.createDataFrame(rows, "x int, y string, z int")
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode(), r[2])
+    want = sorted(rows, key=key)
+    at = want.index((1, "a", 7)) + 11
+    for n in (0, 1, 400, at, 470, 940, 2000):
+        got = sorted((tuple(r) for r in first_rows(df, n, ["x", "y", "z"], ranges=5).collect()), key=key)
+        assert got == want[:n]
+
+
+def test_half_sample_sorts_no_table(spark):
+    from conftest import SF_SMALL
+    from epilake.plans.catalog import all_queries
+    plan = all_queries()["sample_first_half"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort [" not in plan and "TakeOrderedAndProject" in plan
