@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from epilake.operators.joins import bounded_broadcast, constant_dim, literal_tab
 from epilake.plans import sql_parts as S
 from epilake.plans.q_geo import REGIME, REGION_INDEX_SQL
 from epilake.plans.q_outbreaks import CHOLERA, DISEASE_COLS, J8, expected_wide
-from epilake.plans.registry import query
+from epilake.plans.registry import REGISTRY, query
 from epilake.sources.bind import GEOGRAPHY_BROADCAST_ROWS
+from epilake.sources.buckets import write_bucketed
+from epilake.sources.lake import tagged_path
 
 CASE_COLS = ["case_id", "report_date", "case_date", "facility_id", "geography_id", "disease", "new_cases",
              "deaths", "recoveries", "age_group", "gender"]
@@ -186,14 +190,23 @@ def excess_cases(b):
     return excess(b, expected_wide(b))
 
 
-def excess(b, wide):
+@query("excess_cases_bucketed", REGISTRY["excess_cases"].sql, raw_sql=True)
+def excess_cases_bucketed(b):
+    """The same from cases and expected counts that are stored bucketed by facility and day: no shuffle."""
+    base = tagged_path(b.spark, b.t.sf_dir, "bucketed", uuid.uuid4().hex[:12])
+    cases = write_bucketed(b.reports().select("facility_id", "report_date", "disease", "new_cases"), f"{base}/case", ["facility_id", "report_date"])
+    wide = write_bucketed(expected_wide(b), f"{base}/expected", ["facility_id", "obs_date"])
+    return excess(b, b.spark.table(wide), b.spark.table(cases))
+
+
+def excess(b, wide, cases=None):
     """M17 against expected cases per facility-day with a column for each disease.
 
     Observed cases are summed to one row per facility-day too, the two are joined, and
     only the result is unpivoted: a third of the rows in the shuffle. Reports of a
     disease without a column have no expected cases and bypass the join.
     """
-    c = b.case().withColumnRenamed("report_date", "obs_date")
+    c = (b.case() if cases is None else cases).withColumnRenamed("report_date", "obs_date")
     known = F.coalesce(F.col("disease").isin(DISEASE_COLS), F.lit(False))
     sums = [F.sum(F.when(F.col("disease") == d, F.col("new_cases"))).alias(f"_s_{d}") for d in DISEASE_COLS]
     seen = [F.count(F.when(F.col("disease") == d, F.lit(1))).alias(f"_n_{d}") for d in DISEASE_COLS]

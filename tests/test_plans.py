@@ -49,3 +49,13 @@ def test_quality_report_reads_cases_at_most_twice(spark):
 def test_recent_days_bound_reaches_the_lineitem_scan(spark):
     p = plan(spark, "bed_pressure")
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate,", p)
+
+
+def test_bucketed_excess_shuffles_neither_side(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(spark, "excess_cases_bucketed")
+        assert "Exchange" not in p.split("\n\n")[0] and "Bucketed: true" in p
+        assert "Exchange" in plan(spark, "excess_cases").split("\n\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
