@@ -15,22 +15,24 @@ both are all written. An empty table writes no row.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilake.llm import text as T
 from epilake.llm.tables import fresh_path, partitions, prefix_sums, range_bucket, read_table, split_points
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Whitespace-separated pieces whose ids a worker remembers; the older half is forgotten beyond it.
-MEMO = 400_000
+#: Runs of letters whose ids a worker remembers; the older half is forgotten beyond it.
+MEMO = 800_000
+#: Bytes of texts that are encoded at once; a longer text is a group of its own.
+GROUP = 1 << 23
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
                "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
@@ -41,42 +43,38 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Memo(dict):
-    """A dict of bounded size: two generations, of which the older one is dropped."""
+    """A dict of bounded size: when it is full, the older half of its entries is dropped."""
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old = limit, {}
-
-    def find(self, key):
-        got = self.old.get(key)
-        if got is not None:
-            self.put(key, got)
-        return got
+        self.limit = limit
 
     def put(self, key, value):
-        if len(self) >= self.limit // 2:
-            self.old = dict(self)
-            self.clear()
+        if len(self) >= self.limit:
+            for k in list(islice(self, self.limit // 2 + 1)):
+                del self[k]
         self[key] = value
 
 
 class WordEncoder:
-    """Ids of whole texts with the tokenizers library, remembering the ids of pieces.
+    """Ids of whole texts with the tokenizers library, a column at a time.
 
     For a tokenizer that drops white space and normalises inside pieces only (as
     this one: NFC, lower case, a split that never spans white space), the ids of a
     text are those of its pieces between ASCII white space, one after another.
-    A piece of Latin letters and ASCII punctuation behind them is split as the
-    tokenizer's pattern does, so that its letters are encoded once for all
-    spellings; any other piece goes through the whole tokenizer.
+    The distinct pieces of a column are coded once. A piece of Latin letters and
+    ASCII punctuation behind them is split as the tokenizer's pattern does into two
+    segments, so that its letters are encoded once for all spellings; any other piece
+    is one segment that goes through the whole tokenizer. The ids of all pieces are then gathered
+    from those of the distinct segments.
     """
 
-    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+    PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\\[-`{-~]*)$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
         self.whole = Tokenizer.from_file(path)
-        self.pieces, self.letters = Memo(MEMO), Memo(MEMO)
+        self.letters = Memo(MEMO)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         chars = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x100)]]
         self.bytes_of = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in chars})
@@ -85,33 +83,69 @@ class WordEncoder:
     def pack(ids) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
 
-    def run(self, word: str) -> bytes:
-        """A pre-tokenised word: merges of the model alone."""
-        got = self.letters.get(word) or self.letters.find(word)
-        if got is None:
-            got = self.pack([t.id for t in self.whole.model.tokenize(word.translate(self.bytes_of))])
-            self.letters.put(word, got)
+    def runs(self, words: list[str]) -> list[bytes]:
+        """Pre-tokenised words: merges of the model alone."""
+        got = list(map(self.letters.get, words))
+        for i, ids in enumerate(got):
+            if ids is None:
+                got[i] = self.pack([t.id for t in self.whole.model.tokenize(words[i].translate(self.bytes_of))])
+                self.letters.put(words[i], got[i])
         return got
 
-    def piece(self, piece: bytes) -> bytes:
-        got = self.pieces.find(piece)
-        if got is None:
-            s = piece.decode()
-            m = self._plain.fullmatch(s)
-            if m:
-                got = self.run(m[1].lower()) + (self.run(m[2]) if m[2] else b"")
-            else:
-                got = self.pack(self.whole.encode(s, add_special_tokens=False).ids)
-            self.pieces.put(piece, got)
-        return got
+    def _segments(self, pieces: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        """For each piece the numbers of its two segments, and the ids of all segments (0: none)."""
+        split = pc.extract_regex(pieces, self.PLAIN)
+        two = np.zeros((len(pieces), 2), np.int64)
+        ids = [b""]
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        for k, part in enumerate((pc.utf8_lower(pc.struct_field(split, "letters")), pc.struct_field(split, "marks"))):
+            code = part.dictionary_encode()
+            two[plain, k] = code.indices.drop_null().to_numpy() + len(ids)
+            ids += self.runs(code.dictionary.to_pylist())
+        other = pieces.filter(pa.array(~plain)).to_pylist()
+        two[~plain, 0] = np.arange(len(other)) + len(ids)
+        ids += [self.pack(self.whole.encode(p, add_special_tokens=False).ids) if p else b"" for p in other]
+        return two, ids
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null), each followed by `end` (packed ids), and their number for each text."""
+        pieces = pc.ascii_split_whitespace(texts)
+        code = pieces.flatten().dictionary_encode()
+        two, ids = self._segments(code.dictionary)
+        many = np.diff(np.asarray(pieces.offsets).astype(np.int64))
+        # segments in order: two for each piece, and the end behind each text
+        ids.append(end)
+        at = 2 * np.cumsum(many)
+        order = np.insert(two[code.indices.to_numpy()].ravel(), at, len(ids) - 1)
+        sizes = np.array(list(map(len, ids)), np.int64) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        order = order[sizes[order] > 0]
+        n = sizes[order]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.repeat(begin[order] - (ends - n), n) + np.arange(total)] if total else np.empty(0, "<u4")
+        sums = np.zeros(len(code.indices) + 1, np.int64)
+        np.cumsum(sizes[two].sum(axis=1)[code.indices.to_numpy()], out=sums[1:])
+        bounds = np.concatenate(([0], np.cumsum(many)))
+        return out, sums[bounds[1:]] - sums[bounds[:-1]] + (len(end) >> 2)
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        parts = text.split()
-        got = list(map(self.pieces.get, parts))
-        if None in got:
-            got = [self.piece(p) if g is None else g for p, g in zip(parts, got)]
-        return b"".join(got)
+        return self.encode_column(pa.array([text.decode()]))[0].astype("<u4").tobytes()
+
+
+def _text_groups(texts: pa.Array):
+    """Ranges of consecutive texts of at most GROUP bytes, one text at least."""
+    sizes = pc.binary_length(texts).to_pylist()
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > GROUP:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -130,11 +164,10 @@ def _encode_partition(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(path), 0
         for batch in batches:
-            texts = T.texts_of(batch["text"])
-            for a, b in T.groups(texts):
-                ids = [enc.encode(t) + end for t in texts[a:b]]
-                n = np.array([len(x) >> 2 for x in ids], np.int64)
-                flat = np.frombuffer(b"".join(ids), "<i4")
+            texts = pc.fill_null(batch["text"].cast(pa.string()), "")
+            for a, b in _text_groups(texts):
+                flat, n = enc.encode_column(texts.slice(a, b - a), end)
+                flat = flat.view("<i4")
                 offsets = np.concatenate(([0], np.cumsum(n)))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(a, b - a), batch["bucket"].slice(a, b - a), pa.array(before + offsets[:-1]),
