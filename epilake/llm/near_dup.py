@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epilake.llm import text as T
-from epilake.llm.tables import lookup, partitions, read_table, written
+from epilake.llm.tables import lookup, only, partitions, ranked, read_table, written
 
 SHINGLE = 5
 THRESHOLD = 75  # percent
@@ -58,8 +58,9 @@ N_HASH = 2 * HALVES * ROWS
 SIGMAS = 5.0
 #: Rounds in which a component tries its most similar pair, before all pairs are tried.
 MERGES = 1
-#: Pairs of a mixed table that are compared at once.
+#: Rows of a mixed table that make a block, and components whose best pair a task holds.
 BLOCK_ROWS = 512
+MOST_HELD = 200_000
 #: Sets in a block that is confirmed as a whole.
 BLOCK_SETS = 64
 #: Pairs of rows of small blocks, and rows of a large one, that are compared at once.
@@ -367,8 +368,8 @@ class _Side:
 def _mixed_partition(threshold: int, best: bool):
     """Pairs of different components of two blocks of a table's rows (or one block with itself).
 
-    best: of the pairs that are compared at once, only the most similar one of each component, under its name;
-    else the set blocks of the pairs.
+    best: of all pairs of a task only the most similar one of each component, under its name, at the task's end (and
+    whenever MOST_HELD components are held); else the set blocks of the pairs.
     """
 
     def pairs_of(x, y, i, j):
@@ -381,9 +382,7 @@ def _mixed_partition(threshold: int, best: bool):
         a, b = np.minimum(x.ids[i], y.ids[j]), np.maximum(x.ids[i], y.ids[j])
         if best:
             names = np.append(x.comps[i], y.comps[j])
-            rows = np.stack([names, np.tile(same, 2), np.tile(a, 2), np.tile(b, 2)])
-            rows = rows[:, np.lexsort((rows[3], rows[2], -rows[1], rows[0]))]
-            return rows[:, np.append(True, np.diff(rows[0]) != 0)[:rows.shape[1]]]
+            return one_each(np.stack([names, np.tile(same, 2), np.tile(a, 2), np.tile(b, 2)]))
         p, q = x.blks[i], y.blks[j]
         return np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
 
@@ -419,20 +418,34 @@ def _mixed_partition(threshold: int, best: bool):
         keep = ~one[rows][row] | (i < j)
         return x.first[rows][row][keep] + i[keep], y.first[rows][row][keep] + j[keep]
 
+    def one_each(rows):
+        """The best row (component, same, a, b) of each component: most agreement, then least ids."""
+        rows = rows[:, np.lexsort((rows[3], rows[2], -rows[1], rows[0]))]
+        return rows[:, np.append(True, np.diff(rows[0]) != 0)[:rows.shape[1]]]
+
     def run(batches):
         seen: set = set()
+        held = np.empty((4, 0), np.int64)
         for batch in batches:
             x, y = _Side(batch, "x"), _Side(batch, "y")
             for i, j in blocks(x, y, np.asarray(batch["one"].to_pylist(), bool)):
                 rows = pairs_of(x, y, i, j)
-                if not best and rows.shape[1]:
+                if best:
+                    held = one_each(np.concatenate([held, rows], axis=1)) if rows.shape[1] else held
+                    if held.shape[1] > MOST_HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], ["component", "same", "a", "b"])
+                        held = np.empty((4, 0), np.int64)
+                    continue
+                if rows.shape[1]:
                     fresh = [t not in seen for t in zip(*rows.tolist())]
                     rows = rows[:, np.array(fresh, bool)]
-                    if len(seen) > 200_000:
+                    if len(seen) > MOST_HELD:
                         seen.clear()
                     seen.update(zip(*rows.tolist()))
                 if rows.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["component", "same", "a", "b"] if best else ["p", "q"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["p", "q"])
+        if held.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], ["component", "same", "a", "b"])
 
     return run
 
@@ -469,20 +482,43 @@ def _untested(placed: DataFrame, reps: DataFrame, threshold: int, best: bool) ->
     `best` only the most similar one of each component, else the blocks (p, q) of such pairs.
 
     Tables inside one component are found by their least and largest component (a
-    partial aggregate) and dropped. The rows of each mixed table are packed into
-    blocks of about BLOCK_ROWS by a hash of the id, and blocks are paired: compares
-    grow with the pairs of a mixed table, rows with the pairs of its blocks.
+    partial aggregate) and dropped. The rows of a mixed table are packed into blocks of about
+    BLOCK_ROWS by component: a component of as many rows there has blocks of its own, the others share
+    blocks. Only blocks that can hold different components are paired, by their numbers; rows are then
+    joined to the pairs by (table, block). So a large component is compared with the outsiders of a
+    table, never with itself, and a hot table spreads over as many tasks as it has blocks.
     """
     rows = placed.mapInArrow(_pair_partition, "key long, id long, component long, blk long")
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n_rows"))
-    mixed = mixed.where("lo < hi").select("key", "n_rows", F.ceil(F.col("n_rows") / BLOCK_ROWS).alias("n_blocks"))
-    rows = lookup(rows, mixed, "key", "near-mixed", how="inner", weight="n_rows")
-    rows = rows.join(_packed_low(reps), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
-    blocks = rows.groupBy("key", "part").agg(F.collect_list(F.struct("id", "component", "n", "blk", "low")).alias("r"))
-    blocks = written(blocks.select("key", "part", F.col("r.id").alias("ids"), F.col("r.component").alias("comps"),
-                                   F.col("r.n").alias("ns"), F.col("r.blk").alias("blks"), F.col("r.low").alias("low")), "near-blocks")
-    x, y = (blocks.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("part", "ids", "comps", "ns", "blks", "low")]) for s in "xy")
-    met = x.join(y, "key").where("x_part <= y_part").withColumn("one", F.col("x_part") == F.col("y_part")).drop("key", "x_part", "y_part")
+    mixed = mixed.where("lo < hi").select("key", "n_rows")
+    rows = written(lookup(rows, mixed, "key", "near-mixed", how="inner", weight="n_rows"), "near-mixed-rows")
+
+    sizes = written(rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "near-mixed-sizes")
+    large = sizes.where(F.col("n") >= BLOCK_ROWS).select("key", "component", F.ceil(F.col("n") / BLOCK_ROWS).alias("n_own"))
+    packs = sizes.where(F.col("n") < BLOCK_ROWS).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_ROWS).alias("n_packs"))
+    # units: a large component with its own blocks, or one shared block
+    units = large.select("key", F.lit(True).alias("own"), F.col("component").alias("unit"), "n_own").unionByName(
+        packs.select("key", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_packs") - 1)).alias("unit"),
+                     F.lit(1).cast("long").alias("n_own")))
+    units = written(units, "near-units")
+    left, right = (units.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("own", "unit", "n_own")]) for s in "xy")
+    order = F.struct("x_own", "x_unit"), F.struct("y_own", "y_unit")
+    met = left.join(right, "key").where((order[0] < order[1]) | ((order[0] == order[1]) & ~F.col("x_own")))
+    number = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    met = met.withColumn("x_at", number("x_n_own")).withColumn("y_at", number("y_n_own"))
+    block = lambda own, unit, at: F.xxhash64("key", own, unit, at)
+    met = met.select(block("x_own", "x_unit", "x_at").alias("x_block"), block("y_own", "y_unit", "y_at").alias("y_block"))
+
+    rows = rows.join(large, ["key", "component"], "left").join(packs, "key", "left").join(_packed_low(reps), "id")
+    own = F.col("n_own").isNotNull()
+    unit = F.when(own, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.col("n_packs")))
+    at = F.when(own, F.pmod(F.xxhash64("id"), F.col("n_own"))).otherwise(F.lit(0).cast("long"))
+    rows = rows.select(block(own, unit, at).alias("block"), F.struct("id", "component", "n", "blk", "low").alias("r"))
+    packed = rows.groupBy("block").agg(F.collect_list("r").alias("r"))  # about BLOCK_ROWS rows
+    packed = written(packed.select("block", F.col("r.id").alias("ids"), F.col("r.component").alias("comps"), F.col("r.n").alias("ns"),
+                                   F.col("r.blk").alias("blks"), F.col("r.low").alias("low")), "near-blocks")
+    x, y = (packed.select(F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "comps", "ns", "blks", "low")]) for s in "xy")
+    met = met.join(x, "x_block").join(y, "y_block").withColumn("one", F.col("x_block") == F.col("y_block")).drop("x_block", "y_block")
     if best:
         pairs = met.mapInArrow(_mixed_partition(threshold, True), PAIR_SCHEMA)
         pairs = pairs.groupBy("component").agg(F.max(F.struct("same", "a", "b")).alias("m")).select("m.a", "m.b")
@@ -571,7 +607,12 @@ def _sketch_filter(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs`."""
+    """doc_id, n_shingles, component_id, kept for every row of `docs`; what is written on the way is deleted."""
+    return only(docs.sparkSession, lambda: _near_duplicates(docs, threshold), "near-result")
+
+
+def _near_duplicates(docs: DataFrame, threshold: int) -> DataFrame:
+    spark = docs.sparkSession
     sketch = written(sketches(docs), "near-sketches")
     full = sketch.where("sig is not null and doc_id is not null")
     classes = full.groupBy("sig").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_docs"))
@@ -590,26 +631,24 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     live = written(live, "near-live")
     table_rows = live.mapInArrow(_pair_partition, "key long, id long")
 
-    tested = written(_first_links(table_rows), "near-tested")
-    links = confirm(_sketch_filter(tested, reps, threshold), docs, threshold)
-    links = written(links.unionByName(same_doc), "near-confirmed")
-    comps = written(components(links), "near-components")
+    tested = only(spark, lambda: _first_links(table_rows), "near-tested")
+    links = only(spark, lambda: confirm(_sketch_filter(tested, reps, threshold), docs, threshold).unionByName(same_doc), "near-confirmed")
+    comps = only(spark, lambda: components(links), "near-components")
 
     first = tested
     for _ in range(MERGES):
-        pairs = _untested(_placed(live, first, comps), reps, threshold, best=True).join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
+        pairs = only(spark, lambda: _untested(_placed(live, first, comps), reps, threshold, best=True).join(tested, ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.head(1):
             break
-        links = written(links.unionByName(confirm(pairs, docs, threshold)), "near-confirmed")
+        links = only(spark, lambda: links.unionByName(confirm(pairs, docs, threshold)), "near-confirmed")
         tested = written(tested.unionByName(pairs), "near-tested")
-        comps = written(components(links), "near-components")
-    placed = _placed(live, first, comps)
-    blocks = written(_untested(placed, reps, threshold, best=False), "near-block-pairs")
+        comps = only(spark, lambda: components(links), "near-components")
+    placed = only(spark, lambda: _placed(live, first, comps), "near-placed")
+    blocks = only(spark, lambda: _untested(placed, reps, threshold, best=False), "near-block-pairs")
     if blocks.head(1):
-        more = written(confirm_blocks(blocks, placed, reps, docs, threshold), "near-more")
+        more = only(spark, lambda: confirm_blocks(blocks, placed, reps, docs, threshold), "near-more")
         if more.head(1):
-            comps = written(components(links.unionByName(more)), "near-components")
+            comps = only(spark, lambda: components(links.unionByName(more)), "near-components")
 
     classes = classes.join(comps, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"), "n_docs")
     out = lookup(sketch.select("doc_id", "n_shingles", "sig"), classes, "sig", "near-labels", weight="n_docs")
@@ -618,5 +657,38 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, one document of each near-duplicate group: that with the smallest doc_id.
+
+    A document is a doc_id with a text: rows that share a doc_id but not the text are judged as documents of their
+    own (the others than the first by text hash behind all doc_ids), of rows that share both one stays. A null doc_id
+    is in no group and stays. Columns and values stay as they are.
+    """
+    spark = docs.sparkSession
+    known = docs.where("doc_id is not null")
+    several = written(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "near-repeated")
+    if not several.head(1):
+        kept = only(spark, lambda: near_duplicates(known, threshold).where("kept").select("doc_id"), "near-kept")
+        return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+    # rows of a repeated doc_id under numbers of their own, one for each text
+    text_hash = F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256)
+    some = lookup(known.select("doc_id", "text"), several, "doc_id", "near-repeated-ids", how="left_semi")
+    texts = some.select("doc_id", text_hash.alias("_hash")).distinct()
+    first = texts.groupBy("doc_id").agg(F.min("_hash").alias("_first"))
+    top = known.agg(F.max("doc_id")).first()[0]
+    numbers = ranked(texts, [F.col("doc_id"), F.col("_hash")], "_rank", "near-texts").join(first, "doc_id")
+    number = F.when(F.col("_hash") == F.col("_first"), F.col("doc_id")).otherwise(F.lit(top) + 1 + F.col("_rank"))
+    numbers = written(numbers.select("doc_id", "_hash", number.alias("_id")), "near-numbers")
+    one = F.min(F.struct(*docs.columns)).alias("_row")
+    rows = lookup(known, several, "doc_id", "near-repeated-rows", how="left_semi")
+    rows = rows.withColumn("_hash", text_hash).groupBy("doc_id", "_hash").agg(one).join(numbers, ["doc_id", "_hash"]).select("_id", "_row")
+    rows = rows.unionByName(known.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row")))
+    rows = written(rows, "near-numbered")
+    kept = only(spark, lambda: near_duplicates(rows.select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text")), threshold)
+                .where("kept").select(F.col("doc_id").alias("_id")), "near-kept")
+    return rows.join(kept, "_id", "left_semi").select("_row.*").unionByName(docs.where("doc_id is null"))
+
+
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -7,7 +7,9 @@ recomputing a lineage.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_work_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+_made = threading.local()
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """`df` written to the shared folder and read back with the same schema."""
     spark = df.sparkSession
@@ -35,9 +40,33 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         out = out.partitionBy(partition_by)
     out.parquet(path)
+    if getattr(_made, "paths", None):
+        _made.paths[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """`build()` written and read back; tables that were written on the way are deleted.
+
+    So a step of several jobs leaves its result alone on the disk. Calls may be nested; an inner result is one of the
+    outer call's tables.
+    """
+    _made.paths = [*getattr(_made, "paths", []), []]
+    try:
+        path = fresh_path(spark, name)
+        df = build()
+        df.write.parquet(path)
+        schema = df.schema
+    finally:
+        spent = _made.paths.pop()
+        for p in spent:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(p)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if _made.paths:
+        _made.paths[-1].append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 #: Rows of an Arrow batch, if the session has Spark's default: whole texts make 10,000 rows too large for a worker.
 ARROW_ROWS = 1000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"

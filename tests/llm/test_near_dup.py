@@ -95,6 +95,69 @@ def test_repeated_and_null_ids(spark):
                           (7, 7, True), (7, 7, True), (7, 7, True), (8, 8, True)], key=str)
 
 
+def test_hot_group_with_outsiders(spark):
+    """Thousands of near copies, and texts that share tables with them without being near."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=120)
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"edit{i}"
+        rows.append(copy)
+    outside = []
+    for i in range(25):  # every 8th to 60th word is another one: shares some tables, few are near
+        copy = list(base)
+        for k in range(rng.randrange(8), len(copy), rng.choice([8, 12, 20, 30, 60])):
+            copy[k] = f"out{i}-{k}"
+        outside.append(copy)
+    texts = [" ".join(r) for r in outside[:12] + rows + outside[12:]]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame([(i, t, "", 1, "") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+
+    def near(i, j):
+        both = len(sets[i] & sets[j])
+        return 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
+
+    copies = set(range(12, 1512))
+    assert len({got[i] for i in copies}) == 1
+    linked = [i for i in range(len(texts)) if i not in copies and any(near(i, j) for j in copies)]
+    alone = [i for i in range(len(texts)) if i not in copies and i not in linked]
+    assert alone and linked
+    assert {got[i] for i in linked} == {got[12]}
+    for i in alone:  # outsiders may be near one another
+        assert got[i] == got[12] or got[i] <= i
+        if not any(near(i, j) for j in range(len(texts)) if j != i):
+            assert got[i] == i
+
+
+def test_keep_one_row_of_each_document(spark):
+    a, b, c = "p q r s t u v w x y z " * 3, "one two three four five six seven", "alpha beta gamma delta epsilon"
+    rows = [(5, a), (5, b), (9, b), (3, a), (None, a), (None, a), (7, c), (7, c), (7, None), (7, ""), (8, None), (6, "lone words are here to stay")]
+    df = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], SCHEMA)
+    got = N.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted(((r[0], r[1]) for r in got.collect()), key=str)
+    # (5, b) or (9, b): the one with the smaller number; 5 keeps its number with the first of its texts by hash
+    fives = [r for r in kept if r[0] == 5]
+    assert len(fives) <= 1 and all(r[1] == b for r in fives)
+    rest = [r for r in kept if r[0] not in (5, 9)]
+    assert rest == sorted([(3, a), (None, a), (None, a), (7, c), (7, None), (7, ""), (8, None), (6, rows[-1][1])], key=str)
+    assert {r[1] for r in kept if r[0] in (5, 9)} == {b} and len(kept) == len(rest) + 1
+    plain = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in [(1, a), (2, a), (4, b), (None, b)]], SCHEMA)
+    assert sorted(((r[0], r[1]) for r in N.keep_one(plain).collect()), key=str) == sorted([(1, a), (4, b), (None, b)], key=str)
+
+
+def test_spent_tables_are_deleted(spark):
+    import os
+    from epilake.session import ensure_work_dir
+    base = f"{ensure_work_dir(spark).removeprefix('file:')}/llm"
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    out = N.near_duplicates(spark.createDataFrame([(i, f"some text of {i % 3} words that is long enough", "", 1, "") for i in range(9)], SCHEMA))
+    left = set(os.listdir(base)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("near-result") and out.count() == 9
+
+
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
