@@ -6,7 +6,8 @@ and reread as the next one's `docs`. All but the last return the columns of
 documents. Rows keep their values; only whole rows go or are repeated.
 
 Edge cases: those of the operators. A null doc_id is in no near-duplicate group
-and stays; repeated rows are copies of each other, of which one stays.
+and stays; of rows that share doc_id and text one stays, rows of one doc_id with
+different texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epilake.llm import decontaminate, lang_id, mixing, near_dup, tokens
-from epilake.llm.tables import read_table, written
+from epilake.llm.tables import only, read_table
 
 
 def language_id(spark, docs, sf_dir):
@@ -25,19 +26,9 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each near-duplicate group: the row whose doc_id is the group's smallest."""
-    labels = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    labels = written(labels, "pipeline-kept")
-    kept = docs.join(labels, F.col("doc_id") == F.col("_id"), "left_semi")
-    # rows that share a kept doc_id: the first by text stays
-    light = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
-    light = written(light, "pipeline-repeated")
-    if light.head(1):
-        first = F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row")
-        again = kept.join(light, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(first)
-        again = again.select("doc_id", "_row.*").select(*docs.columns)
-        kept = kept.join(light, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(again)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document (a doc_id with a text) of each near-duplicate group: that with the smallest doc_id. Rows that share
+    both are one document; null and empty texts, and null doc_ids, are in no group."""
+    return near_dup.keep_one(docs)
 
 
 def decontaminated(spark, docs, sf_dir):
@@ -68,8 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages applied to `documents`; each one's result is written to the shared folder and read back."""
+    """All stages applied to `documents`; each one's result is written to the shared folder and read back, what it wrote on the way is deleted."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = only(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
