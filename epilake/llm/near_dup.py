@@ -288,17 +288,54 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> Da
     return rows.mapInArrow(_confirm_partition(threshold), "a long, b long")
 
 
+#: Links that a task contracts by itself.
+CONTRACT = 200_000
+
+
+def _contract_partition(batches):
+    """The links of a task as stars: each id with the smallest one that it reaches there."""
+    root: dict[int, int] = {}
+
+    def find(i):
+        top = i
+        while (up := root.get(top, top)) != top:
+            top = up
+        while (up := root.get(i, i)) != top:
+            root[i], i = top, up
+        return top
+
+    def stars():
+        rows = [(find(i), i) for i in list(root)]
+        rows = [r for r in rows if r[0] != r[1]]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > 5 * CONTRACT:  # a larger task than planned goes on with an empty memory
+            yield stars()
+            root.clear()
+    yield stars()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id with a link; component is the smallest id reachable.
 
+    Tasks of about CONTRACT links each turn these into stars first, which keeps what is
+    connected; one such task is the result. Stars of several tasks go on in rounds.
     Alternating stars: every id links its larger neighbours to its smallest
     (large star), then its smaller ones and itself to the smallest (small star),
     until nothing changes; a number of rounds that grows with the logarithm of the
     longest path. Aggregates combine before the shuffle, and rounds are written.
     """
     now = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "near-links")
+    tasks = -(-now.count() // CONTRACT)
+    stars = now.coalesce(max(1, tasks)).mapInArrow(_contract_partition, "a long, b long")
+    now = written(stars.distinct() if tasks > 1 else stars, "near-links")
     total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    while total[0]:
+    while total[0] and tasks > 1:
         both = now.select(F.col("b").alias("v"), F.col("a").alias("u")).unionByName(now.select(F.col("a").alias("v"), F.col("b").alias("u")))
         least = both.groupBy("v").agg(F.least("v", F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = lookup(both.where("u > v"), least, "v", "near-least", how="inner", weight="n").select(F.col("m").alias("a"), F.col("u").alias("b")).where("a < b").distinct()

@@ -95,6 +95,27 @@ def test_repeated_and_null_ids(spark):
                           (7, 7, True), (7, 7, True), (7, 7, True), (8, 8, True)], key=str)
 
 
+@pytest.mark.parametrize("contract", [3, 10_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, contract):
+    """Contracted by several tasks with rounds behind them, and by one."""
+    monkeypatch.setattr(N, "CONTRACT", contract)
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(300 + rng.randrange(60), 300 + rng.randrange(60)) for _ in range(50)]
+    links += [(500, 499), (500, 499), (600, 600)]
+    rng.shuffle(links)
+    root = {}
+
+    def find(i):
+        return i if root.get(i, i) == i else find(root[i])
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {(i, find(i)) for link in links if link[0] != link[1] for i in link}
+    got = N.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_hot_group_with_outsiders(spark):
     """Thousands of near copies, and texts that share tables with them without being near."""
     rng = random.Random(5)
