@@ -76,12 +76,15 @@ MODIFIERS = {"has", "no", "not", "with", "without", "is", "enable", "enabled", "
 #: With one of these beside it, "header" names the head of the article itself.
 ARTICLE_WORDS = {"article", "post", "entry", "story"}
 
+# quotes hold a ">" only where they open a value and are closed; a tag with other quotes ends at its first ">"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>"
     r"|<[!?][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: An unquoted value that ends in a slash, which closes nothing.
+_SLASH_VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -180,7 +183,7 @@ def lines(page: str) -> list[tuple[str, str]]:
                 if stack[i][0] == name:
                     leave(i)
                     break
-        elif name not in VOID and not m["attrs"].endswith("/"):
+        elif name not in VOID and (not m["attrs"].endswith("/") or _SLASH_VALUE.search(m["attrs"])):
             if name == "body":  # a head that was not closed
                 leave(0)
             role = _role(name, m["attrs"])

@@ -30,6 +30,17 @@ def test_broken_markup():
     assert H.lines(deep) == [("deep", H.OPEN)]
 
 
+def test_odd_quotes_and_slashes():
+    text = lambda page: H.main_text(H.lines(page), set())
+    assert text("<p class=it's>Hello") == "Hello" and text('<p title="x>Hello') == "Hello"
+    assert text("<p class=it's>Hello, don't <b>go</b></p><p>on") == "Hello, don't go\non"
+    assert text("""<p title="a > b" lang='x>y'>Hello""") == "Hello" and text("<p data-x = 'a>b'>Hello") == "Hello"
+    assert text('<p "odd>Hello "you"') == 'Hello "you"'
+    assert text("<nav class=/a/>menu</nav><article id=/b/><p>text</article>") == "text"
+    assert text('<div class="ad"/><p>text') == "text" and text("<nav a='/'/><p>text") == "text"
+    assert text("<a " + 'b="c" ' * 3000) == "<a " + 'b="c" ' * 2999 + 'b="c"'  # no end: one pass over the attributes
+
+
 def lcs(x, y):
     t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, a in enumerate(x):
