@@ -572,26 +572,31 @@ def _judge_sums(keep: tuple[str, ...], langs: list[str], temperature: float, bou
 
 
 def predict(docs: DataFrame, model: Model | Blocks | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """lang_pred, score, cross_entropy and rejected of every text, beside the columns named in `keep`."""
+    """lang_pred, score, cross_entropy and rejected of every text, beside the columns named in `keep` (a kept text
+    goes to the tasks once)."""
     spark = docs.sparkSession
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     if isinstance(model, Blocks):
         # row numbers are only stable once written
-        rows = written(docs.select(*keep, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_at")), "lang-texts")
-        scored = rows.select("_at", *keep).join(_block_sums(rows, model), "_at").drop("_at")
+        rest = [k for k in keep if k != "text"]
+        rows = written(docs.select(*rest, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_at")), "lang-texts")
+        scored = rows.select("_at", *rest, *([F.col("_text").alias("text")] if "text" in keep else []))
+        scored = scored.join(_block_sums(rows, model), "_at").drop("_at")
         return scored.mapInArrow(_judge_sums(keep, model.langs, model.temperature, model.bounds), f"{kept}, {PREDICT_SCHEMA}")
     shared = spark.sparkContext.broadcast(model)  # within MODEL_ROWS rows
+    own = "text" if "text" in keep else "_text"
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            langs, score, lowest, reject = decide(m, batch["_text"].to_pylist())
+            langs, score, lowest, reject = decide(m, batch[own].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch[k] for k in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64()),
                  pa.array(lowest, pa.float64()), pa.array(reject, pa.bool_())],
                 [*keep, "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kept}, {PREDICT_SCHEMA}")
+    rows = docs.select(*keep) if own in keep else docs.select(*keep, F.col("text").alias(own))
+    return rows.mapInArrow(run, f"{kept}, {PREDICT_SCHEMA}")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -130,6 +130,11 @@ def test_blocks_are_the_whole_model(spark):
     order = lambda rows: sorted(map(str, ((r.doc_id, r.lang_pred, r.rejected, round(r.score, 3), round(r.cross_entropy, 3)) for r in rows)))
     assert order(L.predict(df, small).collect()) == order(L.predict(df, big).collect())
     assert L.predict(df.where("doc_id >= 5000"), small).where("lang_pred = 'rare'").count() == 2
+    for model in (big, small):  # a kept text is the text
+        got = L.predict(df, model, keep=("text", "doc_id"))
+        assert got.columns[:3] == ["text", "doc_id", "lang_pred"]
+        assert order(got.drop("text").collect()) == order(L.predict(df, model).collect())
+        assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
 
 
 def test_noisy_labels_leave_rejection_on(spark):
