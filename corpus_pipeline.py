@@ -21,8 +21,9 @@ from epilake.llm.tables import only, read_table
 def language_id(spark, docs, sf_dir):
     """Learns language models from the rows with lang and drops the documents that they reject."""
     model = lang_id.train(docs.select("doc_id", "text", "lang"))
-    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    return lang_id.predict(packed, model, keep=("_row",)).where(~F.col("rejected")).select("_row.*")
+    packed = docs.select("text", F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))  # texts once, no clash of names
+    kept = lang_id.predict(packed, model, keep=("text", "_row")).where(~F.col("rejected"))
+    return kept.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark, docs, sf_dir):
