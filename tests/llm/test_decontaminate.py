@@ -84,3 +84,92 @@ def test_exact_copies_of_numbers():
         assert found(around.format(item.upper()), item), item
         assert not found(around.format(item.replace("1", "9").replace("2", "6")), item), item
     assert not found("page 2 of the thing er text 42", "page 2") and not found("a 42 b", "42") and not found("one day later", "one day later")
+
+
+def plain_tokens(text):
+    """(kind, value) of the tokens of an ASCII text."""
+    out = []
+    for m in re.finditer(r"\d[A-Za-z0-9]*(?:[.,]\d[A-Za-z0-9]*)*|[A-Za-z][A-Za-z0-9]*", text):
+        w = m[0]
+        if w[0].isdigit() or w.lower() in D.NUMBER_WORDS:
+            kind = D.NUM
+        elif w.lower() in D.UNITS and out and out[-1][2] == D.NUM:
+            kind = D.UNIT
+        else:
+            kind = D.NAME if re.match(r"[A-Z][a-z]", w) else D.LITERAL
+        out.append((kind, w.lower(), kind))
+    return [(k, v) for k, v, _ in out]
+
+
+def plain_found(doc, item):
+    """Whether an item of WINDOW tokens or more is found, by every diagonal of every stream."""
+    d, t = plain_tokens(doc), plain_tokens(item)
+    covered = set()
+    for stream in (0, 1, 2):
+        slots = {0: (D.NUM, D.UNIT), 1: (D.NUM, D.UNIT, D.NAME), 2: ()}[stream]
+        typed = lambda x: ("slot", x[0]) if x[0] in slots else x[1]
+        for shift in range(-len(t), len(d)):
+            own = set()
+            for at in range(len(t) - D.WINDOW + 1):
+                w = t[at:at + D.WINDOW]
+                many = sum(k == D.LITERAL for k, _ in w)
+                names = sum(k == D.NAME for k, _ in w)
+                fits = stream == 2 or (many + names >= D.LITERALS if stream == 0 else names and many >= D.LITERALS)
+                if fits and 0 <= at + shift and [typed(x) for x in w] == [typed(x) for x in d[at + shift:at + shift + D.WINDOW]]:
+                    own |= set(range(at, at + D.WINDOW))
+            if D._consistent([(t[i][0], t[i][1], d[i + shift][1]) for i in sorted(own) if t[i][0] in slots]):
+                covered |= own
+    return len(covered) >= D.MATCHED or len(covered) >= D.SHORT_SHARE * len(t)
+
+
+def templated(rng, n):
+    """Items of a few templates, some with a common first line, and texts made from them with other values."""
+    names, units = ("Boston", "Maria", "Albany", "Peter", "Lima"), ("km", "miles", "hours")
+    shapes = ["{0} buys {1} red boxes and gives {2} of them to {3} who has {1} old ones left",
+              "find the sum of {1} and {2} then divide by {1} to get the answer",
+              "read the text below and answer the question that follows with care, {0} walks {1} {u} in {2} hours to {3}",
+              "read the text below and answer the question that follows with care, the shop sells {1} caps for {2} dollars"]
+
+    def one():
+        a, b = rng.choices(names, k=2)
+        return rng.choice(shapes).format(a, rng.randint(2, 4), rng.randint(2, 4), b, u=rng.choice(units))
+
+    items = [one() for _ in range(n)]
+    texts = []
+    for _ in range(n):
+        words = one().split()
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            words[rng.randrange(len(words))] = rng.choice(("other", "7", "Dora"))
+        texts.append(" ".join(["so it goes"] * rng.randint(0, 2) + words[rng.randint(0, 4):len(words) - rng.randint(0, 4)] * rng.randint(1, 2)))
+    return items, texts
+
+
+def test_classes_against_all_pairs():
+    rng = random.Random(11)
+    items, texts = templated(rng, 60)
+    bench = D.Benchmark(list(range(60)), [x.encode() for x in items])
+    assert len(bench.members[0]) > 1 and len(bench.item) < 160
+    want = {(d, i) for d, x in enumerate(texts) for i, y in enumerate(items) if plain_found(x, y)}
+    assert 200 < len(want) < 3000
+    for limit in (1, 100, D.CHUNK_ROWS):
+        got = [(d, i) for d, u, *_ in D.find(bench, [x.encode() for x in texts], limit) for i in bench.members[u]]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hot_template_is_one_class(spark):
+    """Thousands of items of one template give one row a document; a line that all items begin with costs no pairs."""
+    text = "what is the total price of {} small pens and {} large books at the old shop"
+    items = [(i, text.format(i + 2, 3 * i + 7_000)) for i in range(4000)]
+    docs = [(d, "Exam. " + text.format(d + 31, 20_000 + d) + " End.", "x", 1) for d in range(40)] + [(99, text.format(2, 2), "x", 1), (100, "nothing", "x", 1)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in D.class_matches(df, bench).collect()}
+    assert {(r.item_id, r.items, r.item_share) for r in got.values()} == {(0, 4000, 1.0)} and len(got) == 41
+    assert got[0].changed_slots == 1 and got[30].changed_slots == 1
+    ids = {r.named_id for r in D.members(bench).collect()}  # no names: the key of what all share
+    assert {r.class_id for r in got.values()} == ids
+    assert D.matches(df, bench).count() == 41 * 4000 and [r.doc_id for r in D.remove(df, bench).collect()] == [100]
+
+    line = "please choose the best of all the answers below"
+    some = D.Benchmark(list(range(2000)), [f"{line} q{i} a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}".encode() for i in range(2000)])
+    assert list(D.find(some, [(line + " and then. ").encode() * 200])) == []
