@@ -173,3 +173,14 @@ def test_hot_template_is_one_class(spark):
     line = "please choose the best of all the answers below"
     some = D.Benchmark(list(range(2000)), [f"{line} q{i} a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}".encode() for i in range(2000)])
     assert list(D.find(some, [(line + " and then. ").encode() * 200])) == []
+
+
+def test_classes_of_odd_rows(spark):
+    """Null ids, null and empty texts, copies, texts without a letter, extra columns."""
+    bench = spark.createDataFrame([(None, ITEM, 1), (7, ITEM, 2), (8, None, 3), (9, "", 4), (10, "...", 5)], "item_id long, text string, class_id int")
+    docs = spark.createDataFrame([(None, ITEM, "", 0), (1, ITEM, "", 0), (2, None, "", 0), (3, "", "", 0)], SCHEMA)
+    got = D.class_matches(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.items, r.item_share, r.changed_slots) for r in got) == [("1", 7, 2, 1.0, 0), ("None", 7, 2, 1.0, 0)]
+    exact = {(r.item_id, r.exact_id) for r in D.members(bench).collect()}
+    assert {i for i, k in exact if k == got[0].class_id} == {None, 7} and {i for i, _ in exact} == {None, 7, 9, 10}
+    assert D.members(bench.limit(0)).count() == 0 and D.class_matches(docs.limit(0), bench).count() == 0
