@@ -39,3 +39,9 @@ def test_outbreak_facility_days_are_dealt_by_facilities(panel):
     by_age = {(r.age_days, r.outbreak_curve): r.n for r in rows.groupBy("age_days", "outbreak_curve").agg(F.count(F.lit(1)).alias("n")).collect()}
     # on the day itself the outbreak holds for the facilities behind the first one that reported
     assert by_age == {(None, None): 2, (0, M.outbreak_curve_value(0)): N - 2, (1, M.outbreak_curve_value(1)): N, (2, M.outbreak_curve_value(2)): N}
+
+
+@pytest.mark.parametrize("measure", [I.expected_tb, I.expected_malaria])
+def test_expected_facility_days_are_dealt_by_facilities(panel, measure):
+    rows = measure(panel)
+    assert tasks(rows) == 3 and rows.count() == 3 * N
