@@ -497,5 +497,5 @@ def facility_day_spine(b):
     span = c.agg(F.min("obs_date").alias("d0"), F.max("obs_date").alias("d1"))
     d0 = span.select("d0").scalar()
     d1 = span.select("d1").scalar()
-    fac = I.active_facilities(b).select("facility_id", "geography_id")
+    fac = I.spread_facilities(b)
     return fac.select("facility_id", "geography_id", date_spine(d0, d1, "obs_date"))

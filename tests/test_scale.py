@@ -45,3 +45,9 @@ def test_outbreak_facility_days_are_dealt_by_facilities(panel):
 def test_expected_facility_days_are_dealt_by_facilities(panel, measure):
     rows = measure(panel)
     assert tasks(rows) == 3 and rows.count() == 3 * N
+
+
+def test_spine_is_dealt_by_facilities(panel):
+    from epilake.plans.q_cases import facility_day_spine
+    rows = facility_day_spine(panel)
+    assert tasks(rows) == 3 and rows.count() == 3 * N
