@@ -105,13 +105,15 @@ def sample_key(key_cols: Sequence[str], seed: int) -> Column:
 
 def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
     """Fixed-size sample without replacement: the n rows with the smallest hash
-    (top-k: each task keeps n rows, the merge keeps n)."""
-    return df.orderBy(sample_key(key_cols, seed), *key_cols).limit(n)
+    (top-k: each task keeps n rows, the merge keeps n). The hash is a column, found once a row; as a sort
+    expression it would be found anew in every comparison."""
+    hashed = df.withColumn("_sample_key", sample_key(key_cols, seed))
+    return hashed.orderBy("_sample_key", *key_cols).limit(n).select(*df.columns)
 
 
 # ---------------------------------------------------------- first rows of an order (K2)
-#: Values or ranges of a column that one pass counts; all that the driver sees of it.
-CUT_RANGES = 256
+#: Values of a column that the driver sees at once, and ranges that one pass counts.
+CUT_VALUES, CUT_RANGES = 256, 32
 
 
 def _before(c: str, value) -> Column:
@@ -119,47 +121,54 @@ def _before(c: str, value) -> Column:
     return F.lit(False) if value is None else F.col(c).isNull() | (F.col(c) < F.lit(value))
 
 
-def first_rows(df: DataFrame, n: int, order: Sequence[str], ranges: int = CUT_RANGES) -> DataFrame:
+def _value_at(counts: DataFrame, c: str, n: int, values: int):
+    """The value of `c` at which the n-th row stands, its rows, and n within them; None if there are fewer rows.
+
+    counts: the values with their rows `n`. While there are more than `values` of them, the ranges between some that
+    are drawn by hash are counted, and the range that holds the n-th row is taken.
+    """
+    while len(found := counts.orderBy(F.asc_nulls_first(c)).limit(values + 1).collect()) > values:
+        drawn = counts.where(F.col(c).isNotNull()).orderBy(F.md5(F.concat(F.col(c).cast("string"), F.lit(str(n)))), c).limit(min(values, CUT_RANGES))
+        points = sorted(r[c] for r in drawn.collect())
+        at = sum((F.when(F.col(c) > F.lit(p), 1).otherwise(0) for p in points), F.lit(0))
+        for r in counts.groupBy(at.alias("at")).agg(F.sum("n").alias("n")).orderBy("at").collect():
+            if n <= r["n"]:
+                low = F.lit(True) if r["at"] == 0 else F.col(c) > F.lit(points[r["at"] - 1])
+                high = F.lit(True) if r["at"] == len(points) else F.col(c).isNull() | (F.col(c) <= F.lit(points[r["at"]]))
+                counts = counts.where(low & high)
+                break
+            n -= r["n"]
+        else:
+            return None
+    for r in found:
+        if n <= r["n"]:
+            return r[c], r["n"], n
+        n -= r["n"]
+    return None
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[str], ranges: int = CUT_VALUES) -> DataFrame:
     """The first n rows in `order` (nulls first), without sorting the table.
 
-    The value at which the n-th row stands is found column by column: rows are counted by value or, where a
-    column has more than `ranges` of them, by ranges between `ranges` values drawn by hash, which are
-    counted anew inside the range that holds the cut until it is one value. Each pass is a partial aggregate over
-    the columns it needs and returns at most `ranges` + 1 counts; then one filter keeps the rows in front of the cut. Rows
-    that are equal in all of `order` at the cut are alike; as many of them as belong to the first n are kept.
+    The value at which the n-th row stands is found column by column. For each column the table is read once: the
+    rows that are still in question are counted by value (a partial aggregate, checkpointed in the shared folder), and
+    the cut is looked for in these counts, of which the driver sees at most `ranges` + 1 at a time. Then one filter
+    keeps the rows in front of the cut. Rows that are equal in all of `order` at the cut are alike; as many of them as
+    belong to the first n are kept.
     """
+    from epilake.session import ensure_work_dir
     if n <= 0:
         return df.limit(0)
+    ensure_work_dir(df.sparkSession)
     same, keep, left = F.lit(True), F.lit(False), n
     for c in order:
-        inside = F.lit(True)  # the range of this column that holds the cut
-        while True:
-            rows = df.where(same & inside)
-            counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_first(c)).limit(ranges + 1).collect()
-            if len(counts) <= ranges:
-                break
-            drawn = rows.where(F.col(c).isNotNull()).select(c).distinct().orderBy(F.md5(F.concat(F.col(c).cast("string"), F.lit(str(left)))), c).limit(ranges)
-            points = sorted(r[0] for r in drawn.collect())
-            at = sum((F.when(F.col(c) > F.lit(p), 1).otherwise(0) for p in points[1:]), F.when(F.col(c) > F.lit(points[0]), 1).otherwise(0))
-            for r in rows.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n")).orderBy("at").collect():
-                if left <= r["n"]:
-                    low = F.lit(True) if r["at"] == 0 else F.col(c) > F.lit(points[r["at"] - 1])
-                    high = F.lit(True) if r["at"] == len(points) else F.col(c).isNull() | (F.col(c) <= F.lit(points[r["at"]]))
-                    if r["at"]:
-                        keep = keep | (same & inside & (F.col(c).isNull() | (F.col(c) <= F.lit(points[r["at"] - 1]))))
-                    inside = inside & low & high
-                    break
-                left -= r["n"]
-            else:
-                return df  # fewer than n rows
-        for value, count in counts:
-            if left <= count:
-                keep = keep | (same & inside & _before(c, value))
-                same = same & F.col(c).eqNullSafe(F.lit(value))
-                break
-            left -= count
-        else:
-            return df
+        counts = df.where(same).groupBy(c).agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+        cut = _value_at(counts, c, left, ranges)
+        if cut is None:
+            return df  # fewer than n rows
+        value, count, left = cut
+        keep = keep | (same & _before(c, value))
+        same = same & F.col(c).eqNullSafe(F.lit(value))
         if left == count:
             return df.where(keep | same)
     return df.where(keep).unionByName(df.where(same).limit(left))

@@ -51,3 +51,20 @@ def test_spine_is_dealt_by_facilities(panel):
     from epilake.plans.q_cases import facility_day_spine
     rows = facility_day_spine(panel)
     assert tasks(rows) == 3 and rows.count() == 3 * N
+
+
+def test_first_rows_reads_the_table_once_a_column(spark):
+    """The cut is looked for in the counts of a column's values, however many there are."""
+    from epilake.operators.generic import first_rows
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i % 2000, i) for i in range(4000)], 2).map(lambda r: read.add(1) or r)
+    got = first_rows(spark.createDataFrame(rows, "a int, b int"), 1001, ["a", "b"])
+    assert read.value == 2 * 4000
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(i % 2000, i) for i in range(4000) if i % 2000 < 500] + [(500, 500)])
+
+
+def test_sample_hashes_each_row_once(spark):
+    from epilake.operators.generic import sample_n
+    df = spark.range(10).select(F.col("id").cast("string").alias("k"))
+    top = [x for x in sample_n(df, 3, ["k"])._jdf.queryExecution().executedPlan().toString().split("\n") if "TakeOrderedAndProject" in x][0]
+    assert "md5" not in top
