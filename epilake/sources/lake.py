@@ -152,26 +152,40 @@ def split_checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ---------------------------------------------------------------- globally ordered files (K3)
-def write_csv_sorted(df: DataFrame, path: str, order: list[str]) -> str:
+#: Rows of a task and file of `write_csv_sorted`, and (as a power of two) of a piece that `sorted_manifest` looks at.
+SORTED_FILE_ROWS, PIECE_BITS = 500_000, 16
+
+
+def write_csv_sorted(df: DataFrame, path: str, order: list[str], file_rows: int = SORTED_FILE_ROWS) -> str:
     """CSV files in `order` over the whole table: file k holds smaller keys than file k + 1, rows in each are sorted.
 
     Ranges come from sampled split points, so one task and one file hold about the same number of rows, and rows of
-    equal keys are in one file.
+    equal keys are in one file. Their number grows with the rows, so that what a task sorts does not.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // file_rows))
     return write_csv(df.repartitionByRange(parts, *order), path, sort_cols=order)
 
 
-def sorted_manifest(spark: SparkSession, path: str, schema: T.StructType, order: list[str]) -> DataFrame:
+def sorted_manifest(spark: SparkSession, path: str, schema: T.StructType, order: list[str], piece_bits: int = PIECE_BITS) -> DataFrame:
     """file_no, n_rows, first and last key (structs) of the files of `write_csv_sorted`, and whether the rows of the
-    file come in order: read from the files themselves, so it proves what was written."""
-    rows = read_csv(spark, path, schema).select(
-        F.struct(*order).alias("key"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    rows = rows.withColumn("at", F.monotonically_increasing_id())
-    before = F.lag("key").over(Window.partitionBy("file").orderBy("block", "at"))
-    rows = rows.withColumn("ok", F.coalesce(before <= F.col("key"), F.lit(True)))
-    return rows.groupBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("file_no")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first"), F.max("key").alias("last"), F.bool_and("ok").alias("in_order"))
+    file come in order: read from the files themselves, so it proves what was written.
+
+    Rows are compared inside pieces of consecutive rows, which go to as many tasks as the scan has, and pieces (one
+    row each) with the one before in their file: no task holds a file.
+    """
+    file_no = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    rows = read_csv(spark, path, schema).select(F.struct(*order).alias("key"), file_no.alias("file_no"), F.col("_metadata.file_block_start").alias("block"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("piece", F.shiftright("at", piece_bits))
+    of_piece = ["file_no", "block", "piece"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    before = F.lag("key").over(Window.partitionBy(*of_piece).orderBy("at"))
+    rows = rows.repartition(tasks, *of_piece).withColumn("ok", F.coalesce(before <= F.col("key"), F.lit(True)))
+    pieces = rows.groupBy(*of_piece).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first"), F.max("key").alias("last"), F.bool_and("ok").alias("ok"))
+    before = F.lag("last").over(Window.partitionBy("file_no").orderBy("block", "piece"))
+    pieces = pieces.withColumn("ok", F.col("ok") & F.coalesce(before <= F.col("first"), F.lit(True)))
+    return pieces.groupBy("file_no").agg(
+        F.sum("n_rows").alias("n_rows"), F.min("first").alias("first"), F.max("last").alias("last"), F.bool_and("ok").alias("in_order"))
 
 
 def prove_order(manifest: DataFrame) -> DataFrame:
