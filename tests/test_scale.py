@@ -83,3 +83,9 @@ def test_sorted_files_grow_with_the_rows_and_are_proved_by_pieces(spark, tmp_pat
     for name, rows in (("inside", [1, 2, 4, 3]), ("between", list(range(8, 16)) + list(range(8)))):  # the latter: pieces in order alone
         L.write_csv(spark.createDataFrame([(a, "x") for a in rows], schema).coalesce(1), f"{tmp_path}/{name}")
         assert not L.prove_order(L.sorted_manifest(spark, f"{tmp_path}/{name}", schema, ["a", "b"], piece_bits=3)).first().in_order
+
+
+def test_expected_count_is_evaluated_once(spark):
+    assert str(M.positive_or_zero(F.col("counted"))).count("counted") == 1
+    df = spark.createDataFrame([(0, None), (1, -1.0), (2, -0.0), (3, 2.5), (4, float("nan"))], "i int, e double")
+    assert [str(r.p) for r in df.select("i", M.positive_or_zero(F.col("e")).alias("p")).orderBy("i").collect()] == ["0.0", "0.0", "0.0", "2.5", "nan"]
