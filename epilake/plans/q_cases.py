@@ -195,7 +195,7 @@ def excess_cases_bucketed(b):
     """The same from cases and expected counts that are stored bucketed by facility and day: no shuffle."""
     base = tagged_path(b.spark, b.t.sf_dir, "bucketed", uuid.uuid4().hex[:12])
     cases = write_bucketed(b.reports().select("facility_id", "report_date", "disease", "new_cases"), f"{base}/case", ["facility_id", "report_date"])
-    wide = write_bucketed(expected_wide(b), f"{base}/expected", ["facility_id", "obs_date"])
+    wide = write_bucketed(expected_wide(b).select("facility_id", "obs_date", *DISEASE_COLS), f"{base}/expected", ["facility_id", "obs_date"])
     return excess(b, b.spark.table(wide), b.spark.table(cases))
 
 
@@ -206,15 +206,16 @@ def excess(b, wide, cases=None):
     only the result is unpivoted: a third of the rows in the shuffle. Reports of a
     disease without a column have no expected cases and bypass the join.
     """
-    c = (b.case() if cases is None else cases).withColumnRenamed("report_date", "obs_date")
+    c = (b.reports() if cases is None else cases).withColumnRenamed("report_date", "obs_date")
     known = F.coalesce(F.col("disease").isin(DISEASE_COLS), F.lit(False))
     sums = [F.sum(F.when(F.col("disease") == d, F.col("new_cases"))).alias(f"_s_{d}") for d in DISEASE_COLS]
     seen = [F.count(F.when(F.col("disease") == d, F.lit(1))).alias(f"_n_{d}") for d in DISEASE_COLS]
     obs = c.filter(known).groupBy("facility_id", "obs_date").agg(*sums, *seen)
     j = obs.join(wide.select("facility_id", "obs_date", *DISEASE_COLS), ["facility_id", "obs_date"], "full")
-    long = j.select("facility_id", "obs_date", F.explode(F.array(*[F.struct(
-        F.lit(d).alias("disease"), F.col(f"_s_{d}").alias("observed"), F.when(F.col(d) > 0, F.col(d)).alias("expected_cases"),
-        (F.coalesce(F.col(f"_n_{d}"), F.lit(0)) > 0).alias("seen")) for d in DISEASE_COLS])).alias("v")).select("facility_id", "obs_date", "v.*")
+    wide_row = j.select("facility_id", "obs_date", *[c for d in DISEASE_COLS for c in (
+        F.col(f"_s_{d}"), F.when(F.col(d) > 0, F.col(d)).alias(f"_e_{d}"), (F.coalesce(F.col(f"_n_{d}"), F.lit(0)) > 0).alias(f"_r_{d}"))])
+    columns = ", ".join(f"(_s_{d}, _e_{d}, _r_{d}) AS {d}" for d in DISEASE_COLS)
+    long = b.spark.sql("SELECT * FROM {rows} UNPIVOT INCLUDE NULLS ((observed, expected_cases, seen) FOR disease IN (" + columns + "))", rows=wide_row)
     long = long.filter(F.col("seen") | F.col("expected_cases").isNotNull()).drop("seen")
     other = c.filter(~known).groupBy("facility_id", "obs_date", "disease").agg(F.sum("new_cases").alias("observed"))
     long = long.unionByName(other.withColumn("expected_cases", F.lit(None).cast("double")))
