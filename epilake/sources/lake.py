@@ -93,27 +93,32 @@ _INTEGERS = {"int", "bigint", "smallint", "tinyint"}
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
-def _typed(c: str, kind: str) -> tuple[F.Column, list[tuple[str, F.Column]]]:
-    """The typed value of a text field and the named violations that make it null."""
-    text = F.col(f"_t.{c}")
-    given = text.isNotNull()
+def _typed(text: F.Column, number: F.Column, kind: str) -> F.Column:
+    """The typed value of a text field; `number` holds it as a double if the field is a whole number."""
     if kind == "string":
-        return text, []
+        return text
     if kind == "date":
-        day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
-        return day, [(f"bad_{c}", given & day.isNull())]
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
     if kind == "boolean":
-        flag = F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
-        return flag, [(f"bad_{c}", given & flag.isNull())]
-    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    bad = (f"bad_{c}", given & number.isNull())
+        return F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
     if kind not in _INTEGERS:
-        return number.cast(kind), [bad]
+        return F.when(text.rlike(_NUMBER), text.try_cast("double")).cast(kind)
     # digits alone are read as they are; 12.0 is a count that was printed as a float
-    value = F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(kind)), whole_number(number, kind))
-    fraction = number != F.floor(number)
-    return value, [bad, (f"fractional_{c}", F.coalesce(fraction, F.lit(False))),
-                   (f"out_of_range_{c}", given & number.isNotNull() & ~F.coalesce(fraction, F.lit(False)) & value.isNull())]
+    return F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(kind)), whole_number(number, kind))
+
+
+def _violation(number: F.Column, c: str, kind: str) -> F.Column:
+    """The name of what makes a given field null."""
+    if kind not in _INTEGERS:
+        return F.lit(f"bad_{c}")
+    return (F.when(number.isNull(), F.lit(f"bad_{c}")).when(number != F.floor(number), F.lit(f"fractional_{c}"))
+            .otherwise(F.lit(f"out_of_range_{c}")))
+
+
+def _with_step(rows: DataFrame, columns: list[F.Column]) -> DataFrame:
+    """`rows` with `columns`, which later steps read and do not evaluate again: projections that follow each other
+    become one, in which a value stands as often as it is used, and so large a method is not compiled."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns)))) if columns else rows
 
 
 def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -126,22 +131,30 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> Da
     all lines, and no line ends the job. The scan reads text fields, so one narrow pass is enough; `line` is the
     line as it was read if it is corrupt, else its fields as CSV.
     """
-    names = [f.name for f in schema.fields]
-    texts = T.StructType([T.StructField(c, T.StringType()) for c in names] + [T.StructField("_corrupt", T.StringType())])
+    names, at = [f.name for f in schema.fields], [f"_text_{i}" for i in range(len(schema))]
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*at, "_corrupt"]])
     rows = spark.read.schema(texts).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", header=False,
                                             recursiveFileLookup=True).csv(path)
     header = F.lit(True)
-    for c in names:
-        header = header & F.col(c).eqNullSafe(F.lit(c))
-    rows = rows.where(~header).select(F.struct(*names, "_corrupt").alias("_t"), F.col("_metadata.file_path").alias("file"))
-    corrupt = F.col("_t._corrupt").isNotNull()
-    values, found = [], [F.when(corrupt, F.lit("corrupt_line"))]
-    for f in schema.fields:
-        value, violations = _typed(f.name, f.dataType.simpleString())
-        values.append(F.when(~corrupt, value).alias(f.name))
-        found += [F.when(~corrupt & cond, F.lit(name)) for name, cond in violations]
-    line = F.coalesce("_t._corrupt", F.to_csv(F.struct(*[F.col(f"_t.{c}") for c in names])))
-    return rows.select(*values, F.array_compact(F.array(*found)).alias("violations"), line.alias("line"), "file")
+    for t, c in zip(at, names):
+        header = header & F.col(t).eqNullSafe(F.lit(c))
+    corrupt = F.col("_corrupt").isNotNull()
+    kinds = [f.dataType.simpleString() for f in schema.fields]
+    rows = rows.where(~header).select(*at, "_corrupt", F.col("_metadata.file_path").alias("file"))
+    rows = _with_step(rows, [F.when(F.col(t).rlike(_NUMBER), F.col(t).try_cast("double")).alias(f"_number_{i}")
+                             for i, (t, kind) in enumerate(zip(at, kinds)) if kind in _INTEGERS])
+    rows = _with_step(rows, [F.when(~corrupt, _typed(F.col(t), F.col(f"_number_{i}"), kind)).alias(f"_value_{i}")
+                             for i, (t, kind) in enumerate(zip(at, kinds))])
+    found = [F.when(corrupt, F.lit("corrupt_line"))]
+    for i, (t, c, kind) in enumerate(zip(at, names, kinds)):
+        if kind != "string":
+            wrong = ~corrupt & F.col(t).isNotNull() & F.col(f"_value_{i}").isNull()
+            found.append(F.when(wrong, _violation(F.col(f"_number_{i}"), c, kind)))
+    # nulls go by array_except: array_compact would leave generated code, and with it all that the array is made of
+    none = F.array().cast("array<string>")
+    violations = F.when(F.coalesce(*found).isNull(), none).otherwise(F.array_except(F.array(*found), F.array(F.lit(None).cast("string"))))
+    line = F.coalesce("_corrupt", F.to_csv(F.struct(*at)))
+    return rows.select(*[F.col(f"_value_{i}").alias(c) for i, c in enumerate(names)], violations.alias("violations"), line.alias("line"), "file")
 
 
 def split_checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
