@@ -125,9 +125,14 @@ def dedupe_first(cases: DataFrame) -> DataFrame:
 
     A session of the id holds the smallest report (a struct) as its state and releases it when the watermark passes
     the session's end. Copies are merged inside each task before the shuffle, so an id with very many copies reaches
-    its state as one row a task.
+    its state as one row a task. A session is looked up by a scan of its id's keys, which would pass all that released
+    sessions leave behind in the store until it is compacted; so each commit compacts it, and rows are not counted.
     """
-    cases.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    use_rocksdb(cases.sparkSession)
+    conf = cases.sparkSession.conf
+    conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+    conf.set("spark.sql.streaming.stateStore.rocksdb.compactOnCommit", "true")
     first = ["report_date", "facility_id", "disease"]
     first = [c for c in first if c in cases.columns]
     order = first + [c for c in cases.columns if c not in first and c != "case_id"]
